@@ -1,0 +1,63 @@
+import hashlib
+import random
+import re
+
+from sparkgate.llm.secrets import redact, scan_secrets, span_text
+from pyspark.sql import functions as F
+
+KINDS = ["assign", "access", "hex"]
+
+
+def brute(text):
+    text = text or ""
+    out = []
+    for m in re.finditer(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[1]) >= 8:
+            out.append(("assign", *m.span()))
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(out, key=lambda x: (x[1], KINDS.index(x[0]))))
+
+
+def texts():
+    rng = random.Random(3)
+    parts = ["password", "Token", "api_key", "APIKEY", " = ", ":", '"', "'", "AKIA", "AKIAABCDEFGHIJKL", "0123456789abcdef" * 2, "deadbeef", "é", "😀", " ", "\n", "ZX9", "secret=token:abcdefgh1", "passwd==", "hunter2hunter2"]
+    rows = ["".join(rng.choices(parts, k=rng.randrange(1, 25))) for _ in range(300)]
+    return rows + ["", None, "x " * 50_000 + "token = abcdefgh12345", rows[0], rows[0]]
+
+
+def test_base_spans_match_brute_force(spark):
+    rows = texts()
+    docs = spark.createDataFrame([(i, t, f"o{i % 7}" if i % 5 else None, "clash") for i, t in enumerate(rows)], "doc_id long, text string, source string, found string")
+    got = {r.doc_id: r for r in scan_secrets(docs).select("doc_id", span_text(F.filter("spans", lambda x: x["kind"].isin(*KINDS))).alias("b")).collect()}
+    assert len(got) == len(rows)
+    for i, t in enumerate(rows):
+        assert got[i].b == brute(t), (i, t)
+
+
+def test_ownership_separates_copied_from_owned(spark):
+    shared, own, dull = "Ab3dE5gH7jK9mN1p", "Zy8xW6vU4tS2rQ0p", "aaaaaaaaaaaa"
+    rows = [(i, f"token = {shared}", f"owner{i}") for i in range(4)] + [(10, f"password: {own}", "owner1"), (11, f"password: {own}", "owner1"), (12, f"secret={dull}", "owner2"), (13, f"token = {shared}", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.s for r in scan_secrets(docs).select("doc_id", span_text(F.col("spans")).alias("s")).collect()}
+    assert got[0] == got[13] == "assign:0:24,example:8:24"
+    assert got[10] == got[11] == "assign:0:26,live:10:26"
+    assert got[12] == "assign:0:19"
+    clean = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert clean[0] == rows[0][1] and clean[10] == "password: [SECRET]" and clean[12] == rows[6][1]
+    assert redact(docs).columns == docs.columns
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert scan_secrets(docs).count() == 0 and redact(docs).count() == 0
+
+
+def test_query_shape(spark):
+    from sparkgate.llm.secrets import op3_ownership_secrets
+
+    rows = op3_ownership_secrets(spark, "/root/testdata/sf0.001").collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.base_sha256 == hashlib.sha256(brute(texts[r.doc_id]).encode()).hexdigest()
