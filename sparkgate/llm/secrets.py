@@ -55,7 +55,7 @@ def span_text(spans: Column) -> Column:
     """kind:start:end by start, then kind in the order of KINDS, comma-joined."""
     rank = {k: i for i, k in enumerate(KINDS)}
     order = F.create_map(*[x for k, i in rank.items() for x in (F.lit(k), F.lit(i))])
-    keyed = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("s"), order[x["kind"]].alias("k"), x["end"].alias("e"), x["kind"].alias("kind"))))
+    keyed = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("s"), order[x["kind"]].alias("k"), x["end"].alias("e"), x["kind"].alias("kind"))))
     return F.array_join(F.transform(keyed, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
 
 
@@ -108,7 +108,7 @@ def redact(docs: DataFrame, kinds: tuple[str, ...] = ("live",), mark: str = "[SE
     flagged = docs.where(any_hit).withColumn("_key", F.sha2(F.col(text_col), 256))
     source = flagged.select(F.col("_key"), F.col(text_col).alias("_text"), F.col(repository_col).alias("_repository"), F.col(owner_col).alias("_owner"))
     spans = scan_secrets(source, text_col="_text", id_col="_key", repository_col="_repository", owner_col="_owner", **options)
-    cuts = F.array_sort(F.transform(F.filter("spans", lambda x: x["kind"].isin(*kinds)), lambda x: F.struct((-x["start"]).alias("s"), x["end"].alias("e"))))
+    cuts = F.sort_array(F.transform(F.filter("spans", lambda x: x["kind"].isin(*kinds)), lambda x: F.struct((-x["start"]).alias("s"), x["end"].alias("e"))))
     hit = spans.select(F.col("doc_id").alias("_key"), cuts.alias("_cuts")).where(F.size("_cuts") > 0).dropDuplicates(["_key"])
     joined = flagged.join(hit, "_key", "left")
     cut = F.aggregate(
