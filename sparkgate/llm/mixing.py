@@ -38,42 +38,83 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return ranked.select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("weight") * level), F.col("cap")).alias("target"))
 
 
+def _order(u: Column, p: Column) -> Column:
+    """The Pareto variable; null where nothing is drawn."""
+    return F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))
+
+
+def _bin(order: Column) -> Column:
+    return F.floor(order / (1 + order) * BINS)
+
+
+def draw_plan(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """One row per source of sized (doc_id, source, size, u): source_size, target, whole (certain copies), p (inclusion probability of one
+    more), and where the draw ends: cut_bin and cut, the last (order, doc_id) taken in that bin.
+
+    The order is cut by a histogram of BINS bins per source; only the bin where the missing words run out is sorted, so no source meets in one task.
+    """
+    plan = source_targets(sized, weights, share, most)
+    copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    plan = plan.withColumn("whole", F.floor(copies).cast("long")).withColumn("p", copies - F.floor(copies)).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = materialize(plan.withColumnRenamed("source", "s"), "targets")
+    placed = sized.join(plan.select("s", "p", "need"), F.col("source").eqNullSafe(F.col("s"))).withColumn("order", _order(F.col("u"), F.col("p"))).withColumn("bin", _bin(F.col("order"))).where("bin is not null")
+    bins = placed.groupBy("s", "bin").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
+    upto = F.sum("words").over(Window.partitionBy("s").orderBy("bin"))
+    ends = bins.withColumn("upto", upto).where("upto > need").groupBy("s").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("end"))
+    ends = materialize(ends.select("s", F.col("end.bin").alias("cut_bin"), F.col("end.before").alias("before")), "ends")
+    near = placed.join(ends.withColumnRenamed("s", "e"), F.col("s").eqNullSafe(F.col("e")) & (F.col("bin") == F.col("cut_bin")))
+    # Rows of one id have one rank: the default frame takes them together.
+    run = F.sum("size").over(Window.partitionBy("s").orderBy("order", "doc_id"))
+    last = near.withColumn("run", run).where(F.col("before") + F.col("run") - F.col("size") / 2 <= F.col("need")).groupBy("s").agg(F.max(F.struct("order", "doc_id")).alias("cut"))
+    last = last.withColumnRenamed("s", "l")
+    full = plan.join(ends.withColumnRenamed("s", "e"), F.col("s").eqNullSafe(F.col("e")), "left").join(last, F.col("s").eqNullSafe(F.col("l")), "left")
+    return materialize(full.drop("e", "l", "before", "need"), "plan")
+
+
+def _copies(u: Column, id_: Column) -> Column:
+    order = _order(u, F.col("p"))
+    b = _bin(order)
+    key = F.struct(order.alias("order"), id_.alias("doc_id"))
+    extra = b.isNotNull() & (F.col("cut_bin").isNull() | (b < F.col("cut_bin")) | ((b == F.col("cut_bin")) & F.col("cut").isNotNull() & (key <= F.col("cut"))))
+    return F.col("whole") + F.when(extra, 1).otherwise(0)
+
+
+def _sized(docs: DataFrame, seed: str, text_col: str, source_col: str, id_col: str) -> DataFrame:
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    return materialize(base.withColumn("u", unit_hash(F.col("doc_id"), seed)), "sizes")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: str = "mix", text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """How often to take each document so that sources reach their target weights.
 
     A source with target t and size s is worth f = t / s copies of each of its documents. floor(f) copies are certain. The
     fraction p = f - floor(f) is the inclusion probability of one more copy: documents are ranked by the Pareto variable
     (u / (1 - u)) / (p / (1 - p)) with u hashed from the id, and the smallest are taken until the words still missing are
-    reached, so that each source misses its target by at most half a document. The order is cut by a histogram
-    of BINS bins per source; only the bin where the cut falls is sorted, so no source meets in one task.
+    reached, so that each source misses its target by at most half a document.
 
-    One row per input row: the input's id and source columns, size, source_size, target, copies and taken = copies * size. A
-    null text has size 0; a null source is a source of its own; a null id is a key like any other. Repeated ids have the same
-    rank and are ordered by text; equal rows that straddle the cut are told apart by a stored row number. An empty table gives
-    an empty result. Other columns of docs are not carried.
+    One row per input row: doc_id, source, size, source_size, target, copies and taken = copies * size. A
+    null text has size 0; a null source is a source of its own; a null id is a key like any other. Rows that repeat an id have one
+    rank and are drawn together. An empty table gives an empty result. Other columns of docs are not carried.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = materialize(base.withColumn("u", unit_hash(F.col("doc_id"), seed)).withColumn("row", F.monotonically_increasing_id()), "sizes")
-    plan = source_targets(sized, weights, share, most)
-    copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = plan.withColumn("whole", F.floor(copies).cast("long")).withColumn("p", copies - F.floor(copies)).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = materialize(plan, "targets")
-    odds = F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
-    q = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("order", odds)
-    q = q.withColumn("bin", F.floor(F.col("order") / (1 + F.col("order")) * BINS))
-    # The bin of each source in which the missing words run out.
-    bins = q.where("bin is not null").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
-    cut = bins.withColumn("upto", upto).where("upto > need").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
-    cut = materialize(cut.select(F.col("source").alias("s"), F.col("cut.bin").alias("cut_bin"), F.col("cut.before").alias("before")), "cuts")
-    placed = q.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    in_cut = F.col("bin") == F.col("cut_bin")
-    near = placed.where(in_cut)
-    run = F.sum("size").over(Window.partitionBy("source").orderBy("order", "doc_id", "row"))
-    near = near.withColumn("extra", (F.col("before") + run - F.col("size") / 2 <= F.col("need")).cast("long"))
-    far = placed.where(~F.coalesce(in_cut, F.lit(False))).withColumn("extra", F.when(F.col("bin").isNotNull() & (F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin"))), 1).otherwise(0).cast("long"))
-    both = near.unionByName(far).withColumn("copies", F.col("whole") + F.col("extra"))
-    return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    sized = _sized(docs, seed, text_col, source_col, id_col)
+    plan = draw_plan(sized, weights, share, most)
+    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies(F.col("u"), F.col("doc_id")))
+    return joined.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: str = "mix", text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """The mix itself: each row of docs as often as mix_sources() says, with the columns of docs.
+
+    Texts are not shuffled: each row meets the plan of its source, one row per source, and decides for itself.
+    """
+    names = docs.columns
+    plan = draw_plan(_sized(docs, seed, text_col, source_col, id_col), weights, share, most).select("s", "whole", "p", "cut_bin", "cut")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("held"), F.col(source_col).alias("_source"))
+    joined = held.join(plan, F.col("_source").eqNullSafe(F.col("s")))
+    copies = _copies(unit_hash(F.col(f"held.`{id_col}`"), seed), F.col(f"held.`{id_col}`"))
+    many = joined.select("held", copies.alias("copies")).where("copies > 0").select("held", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return many.select("held.*")
 
 
 def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

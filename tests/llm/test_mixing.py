@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from sparkgate.llm.mixing import OP9_SQL, mix_sources, op9_pareto_mix, source_targets
+from sparkgate.llm.mixing import OP9_SQL, mix_sources, mixed_documents, op9_pareto_mix, source_targets
 
 
 def test_targets_stop_at_the_cap_and_share_the_rest(spark):
@@ -23,6 +23,8 @@ def test_mix_reaches_targets(spark):
         assert own[0].source_size == sum(r.size for r in own)
     again = mix_sources(docs.repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
+    mixed = mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
 
 
 def test_empty_and_wordless_tables(spark):
