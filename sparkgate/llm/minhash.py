@@ -7,10 +7,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkgate.operators.components import connected_components
+from sparkgate.llm.vectors import spanning
 from sparkgate.session import materialize
 
 SHINGLE = 5
@@ -21,6 +22,8 @@ CHUNKS, WIDTH, ERRORS, BITS = 14, 6, 1, 16
 #: One more bit of each of SKETCH hash functions goes along with the keys; pairs that differ in more than FAR of
 #: them are not confirmed on full sets. At similarity 0.75 the mean is 16 and the standard deviation 3.7.
 SKETCH, FAR = 128, 38
+#: Up to how many members a bucket lists its pairs, and the most members that meet on either side of one task.
+FEW, TILE = 16, 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -128,12 +131,9 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketch = np.zeros((len(sets), 2), dtype=np.int64)
             if full:
                 symbols, bits = signatures([sets[k] for k in full])
-                own = index_keys(symbols)
-                keys = np.zeros((len(sets), own.shape[1]), dtype=np.int64)
-                keys[full], sketch[full] = own.view(np.int64), bits.view(np.int64)
+                keys, sketch[full] = index_keys(symbols).view(np.int64), bits.view(np.int64)
             sizes = [keys.shape[1] if len(s) else 0 for s in sets]
-            flat = pa.array(keys[full].ravel()) if full else pa.array([], pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys.ravel()))
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), lists], names=names)
 
@@ -147,15 +147,72 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), flat)], names=["id", "set"])
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those (a, b) whose full shingle sets have 100 * intersection >= percent * union. Sets are made again from the texts of the ids in pairs only."""
-    pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, set array<long>")
-    sets = materialize(sets, "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """[len(x), len(y)]: in how many sketch bits rows of x and y differ."""
+    return sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(np.int16) for k in range(2))
+
+
+def _forest(ids: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.Table:
+    """A spanning forest (a, b) of the edges u - v between places of ids."""
+    root = spanning(u, v, len(ids))
+    (child,) = np.nonzero(root != np.arange(len(ids)))
+    return pa.table({"a": pa.array(ids[root[child]], pa.int64()), "b": pa.array(ids[child], pa.int64())})
+
+
+def _near_in_bucket(table: pa.Table) -> pa.Table:
+    """A spanning forest of the pairs of one tile of a bucket that are within FAR."""
+    ids = table["id"].to_numpy()
+    sketch = np.stack([table[c].to_numpy().view(np.uint64) for c in ("s1", "s2")], axis=1)
+    query, target = (np.flatnonzero(table[c].to_numpy(zero_copy_only=False)) for c in ("query", "target"))
+    us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for k in range(0, len(query), 256):
+        i, j = np.nonzero(_differ(sketch[query[k : k + 256]], sketch[target]) <= FAR)
+        us.append(query[k : k + 256][i])
+        vs.append(target[j])
+    return _forest(ids, np.concatenate(us), np.concatenate(vs))
+
+
+def _links_in_cluster(percent: int):
+    """A spanning forest of the links of one tile of a cluster, from full sets: the tile's inverted index gives all intersections of a query."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table["id"].to_numpy()
+        lists = table["set"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        edges = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy()[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        size = np.diff(edges)
+        query, target = (table[c].to_numpy(zero_copy_only=False) for c in ("query", "target"))
+        _, code = np.unique(flat, return_inverse=True)
+        owner = np.repeat(np.arange(len(ids)), size)
+        mine = target[owner]
+        order = np.argsort(code[mine], kind="stable")
+        posted = owner[mine][order]
+        start = np.concatenate([[0], np.cumsum(np.bincount(code[mine], minlength=code.max(initial=-1) + 1))])
+        us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for q in np.flatnonzero(query):
+            common = np.zeros(len(ids), dtype=np.int64)
+            for k in range(edges[q], edges[q + 1], 1024):  # at most TILE places of each shingle at once
+                own = code[k : min(k + 1024, edges[q + 1])]
+                n = start[own + 1] - start[own]
+                common += np.bincount(posted[np.repeat(start[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())], minlength=len(ids))
+            (v,) = np.nonzero((common > 0) & (100 * common >= percent * (size[q] + size - common)) & (np.arange(len(ids)) != q))
+            us.append(np.full(len(v), q))
+            vs.append(v)
+        return _forest(ids, np.concatenate(us), np.concatenate(vs))
+
+    return run
+
+
+def _tiles(rows: DataFrame, key: str, parts: DataFrame, *carried: str) -> DataFrame:
+    """rows dealt into tiles (q, t), q <= t, of their key's group: parts gives how many rows of tiles a group has, one if it isn't listed.
+
+    A row is a query in the tiles of its own part with all later ones, and a target in those of its own part with all earlier ones.
+    """
+    dealt = rows.join(parts, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    tile = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("own")).alias("q"), F.greatest(p, F.col("own")).alias("t"), (p >= F.col("own")).alias("query"), (p <= F.col("own")).alias("target")))
+    return dealt.select(key, "id", *carried, F.explode(tile).alias("p")).select(key, "id", *carried, "p.*")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -167,37 +224,41 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text_col: str = "text",
     1. Documents with equal sets form a class; its smallest id stands for it. Classes are linked by definition.
     2. Each representative has a signature. Its chunks, each with every choice of ERRORS symbols left out, are the keys of a
        multi-index: a pair within the signature distance of CHUNKS * (ERRORS + 1) - 1 shares one.
-    3. In each bucket every member is paired with the smallest one: as many pairs as members. Confirmed pairs are joined to components.
-    4. Buckets that still hold several components pair their members across components. So large groups of near
-       copies are settled in step 3 without all their pairs, and no pair is left out that could join two components.
+    3. Pairs that share a key and differ in at most FAR sketch bits are candidates. Buckets of at most FEW members list their pairs, at
+       most FEW - 1 per member; larger ones send a spanning forest of theirs, made in tiles of TILE by TILE. Connected candidates form a cluster.
+    4. The full sets of each cluster meet, in tiles again, and all links within a tile are found from its inverted index; a tile sends a
+       spanning forest of its links.
+
+    So no link is left out between documents that are candidates or connected by candidates, none is false, and what is sent grows with the members of a group, not with
+    its pairs. Full sets are made again from the texts of clustered documents only.
 
-    Pairs are confirmed on full sets, which leave no false link. An id that is null has component null and is kept. A null or wordless text has no shingles and no links. Rows
-    that repeat an id give repeated rows; if their texts differ the first read stands for the id in step 2. An empty table gives an empty
+    An id that is null has component null and is kept. A null or wordless text has no shingles and no links. Rows
+    that repeat an id give repeated rows; if their texts differ the first read stands for the id in step 4. An empty table gives an empty
     result. Other columns of docs are not carried.
     """
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
     base = materialize(read.mapInArrow(_prepare, "id long, n long, class binary, s1 long, s2 long, keys array<long>"), "signatures")
     known = base.where("n > 0 and id is not null")
-    classes = known.groupBy("class").agg(F.min("id").alias("rep"))
-    reps = known.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "s1", "s2", "keys")
-    keyed = reps.select("id", "s1", "s2", F.explode("keys").alias("key")).dropDuplicates(["key", "id"])
-    far = lambda a, b: F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2"))) <= FAR
-    heads = keyed.groupBy("key").agg(F.min(F.struct("id", "s1", "s2")).alias("head"), F.count("*").alias("members")).where("members > 1")
-    members = materialize(keyed.join(heads.select("key", "head"), "key"), "buckets")
-    texts = read
-    first = members.alias("m").where("id <> head.id").where(F.bit_count(F.col("s1").bitwiseXOR(F.col("head.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("head.s2"))) <= FAR)
-    links = materialize(confirm(first.select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct(), texts, percent), "links")
-    joined = materialize(connected_components(links), "joined")
-    tagged = members.where("id <> head.id").join(joined, "id", "left").select("key", "id", "s1", "s2", F.coalesce("component", "id").alias("c"))
-    open_keys = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = materialize(tagged.join(open_keys, "key", "left_semi"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & far("x", "y"))
-    more = confirm(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), texts, percent)
-    copies = known.join(classes, "class").select("id", "rep")
-    own = copies.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    # One pass over what joins components: step 3 as stars, step 4, and rows of one id whose texts differ.
-    parts = connected_components(joined.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more).union(own))
+    classes = materialize(known.groupBy("class").agg(F.min("id").alias("rep")), "classes")
+    reps = known.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    keyed = reps.select("id", F.explode(F.array_distinct("keys")).alias("key"))
+    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    sketches = known.select("id", "s1", "s2").dropDuplicates(["id"])
+    members = materialize(shared.join(sketches, "id"), "buckets")
+    few = members.where(F.col("n") <= FEW)
+    x, y = few.alias("x"), few.alias("y")
+    differ = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
+    listed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (differ <= FAR)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    many = members.where(F.col("n") > FEW)
+    wide = materialize(many.where(F.col("n") > TILE).groupBy("key").agg(F.ceil(F.max("n") / TILE).cast("int").alias("parts")), "wide")
+    forests = _tiles(many.select("key", "id", "s1", "s2"), "key", wide, "s1", "s2").groupBy("key", "q", "t").applyInArrow(_near_in_bucket, "a long, b long")
+    clusters = materialize(connected_components(listed.union(forests).distinct()), "clusters")
+    raw = read.join(clusters.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    sets = raw.mapInArrow(_sets, "id long, set array<long>").join(clusters.withColumnRenamed("component", "cluster"), "id")
+    big = materialize(clusters.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("cluster", F.ceil(F.col("n") / TILE).cast("int").alias("parts")), "big")
+    links = _tiles(sets, "cluster", big, "set").groupBy("cluster", "q", "t").applyInArrow(_links_in_cluster(percent), "a long, b long")
+    copies = known.join(classes, "class").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    parts = connected_components(links.union(copies))
     out = base.select("id", "n").join(parts.withColumnRenamed("component", "_c"), "id", "left")
     component = F.coalesce("_c", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

@@ -2,7 +2,9 @@ import random
 import re
 
 import duckdb
+import pytest
 
+from sparkgate.llm import minhash
 from sparkgate.llm.minhash import OP6_SQL, near_duplicates, op6_hamming_near_dedup, shingle_hashes, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -64,7 +66,10 @@ def test_words_and_shingles():
         assert len(shingle_hashes(t.encode())) == len(shingles(t))
 
 
-def test_components_match_brute_force(spark):
+@pytest.mark.parametrize("few, tile", [(16, 1024), (3, 20)])
+def test_components_match_brute_force(spark, monkeypatch, few, tile):
+    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "TILE", tile)
     docs = corpus()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, keys string").repartition(3)).collect()}
     assert got == brute(docs)
