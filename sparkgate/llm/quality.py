@@ -116,7 +116,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, b
     score = F.when(n_grams > 0, total / n_grams).otherwise(F.lit(0.0))
     counted = paired.select(*carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("_h"), F.col("_p")).cast("long").alias("n_repeat_words"), score.alias("score"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    # The partition number keeps a filter on kept above this projection: pushed below, it would compute the array expressions anew inside lambdas.
+    kept = ~F.col("base_failed") & (F.col("score") >= threshold) & (F.spark_partition_id() >= 0)
+    return counted.withColumn("base_failed", failed).withColumn("kept", kept)
 
 
 def op5_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
