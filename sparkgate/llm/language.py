@@ -55,6 +55,18 @@ def gram_slots(texts: list[str | None], orders: tuple[int, ...]) -> tuple[np.nda
     return np.concatenate(slots), np.concatenate(where), has
 
 
+def runs(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """[start, end) of rows of about `most` characters together, so that a batch of long texts doesn't fill a task's memory; a longer text is a run of its own."""
+    start = held = 0
+    for k, t in enumerate(texts):
+        if k > start and held + len(t or "") > most:
+            yield start, k
+            start, held = k, 0
+        held += len(t or "")
+    if start < len(texts):
+        yield start, len(texts)
+
+
 @dataclass(frozen=True)
 class Model:
     """languages in order; table[w, p] holds the bits of languages 64 * w to 64 * w + 63 at filter position p; fill is the share of set bits per language."""
@@ -78,13 +90,15 @@ def count_grams(docs: DataFrame, orders: tuple[int, ...], text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = batch.column(1).to_pylist()
-            slots, rows, _ = gram_slots(batch.column(0).to_pylist(), orders)
-            codes = np.array([hash_of[x] for x in langs], dtype=np.int32) if (hash_of := {x: k for k, x in enumerate(sorted(set(langs)))}) else np.array([], dtype=np.int32)
-            of = codes[rows] if len(rows) else rows
-            for lang, k in hash_of.items():
-                tables.setdefault(lang, np.zeros(SLOTS, dtype=np.int64))
-                tables[lang] += np.bincount(slots[of == k], minlength=SLOTS)
+            langs, texts = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            code = {x: k for k, x in enumerate(sorted(set(langs)))}
+            codes = np.array([code[x] for x in langs], dtype=np.int32)
+            for start, end in runs(texts):
+                slots, rows, _ = gram_slots(texts[start:end], orders)
+                of = codes[start:end][rows]
+                for lang, k in code.items():
+                    tables.setdefault(lang, np.zeros(SLOTS, dtype=np.int64))
+                    tables[lang] += np.bincount(slots[of == k], minlength=SLOTS)
         for lang, table in tables.items():
             (at,) = np.nonzero(table)
             for some in np.array_split(at, max(1, len(at) // 50_000)):
@@ -161,7 +175,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = decide(shared.value, batch.column(at).to_pylist())
+            texts = batch.column(at).to_pylist()
+            parts = [decide(shared.value, texts[start:end]) for start, end in runs(texts)]
+            lang, score = ([x for p in parts for x in p[k]] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     schema = held.select("*", F.lit("").cast("string").alias("lang_pred"), F.lit(0.0).alias("score")).schema
