@@ -123,8 +123,8 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     names = ["id", "n", "class", "s1", "s2", "keys"]
     for batch in batches:
-        for part in range(0, batch.num_rows, 1000):
-            rows = batch.slice(part, 1000)
+        for part in range(0, batch.num_rows, 300):
+            rows = batch.slice(part, 300)
             sets = [shingle_hashes(x or b"") for x in rows.column(1).to_pylist()]
             full = [k for k, s in enumerate(sets) if len(s)]
             keys = np.zeros((len(sets), 0), dtype=np.int64)
