@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkgate.session import materialize
+
 #: Slots into which n-grams are hashed, before the filters.
 SLOTS = 1 << 20
 SPACE = 32
@@ -115,7 +117,7 @@ def learn(docs: DataFrame, orders: tuple[int, ...] = (2, 3), least_share: float
     its share in any language. The first bound keeps at most 1 / least_share n-grams per language at any input size, and the table has
     filter_bits positions, so what reaches the driver is bounded.
     """
-    counts = count_grams(docs, orders, text_col, lang_col)
+    counts = materialize(count_grams(docs, orders, text_col, lang_col), "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     share = counts.join(totals, "lang").select("slot", "lang", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= least_share)
     best = share.groupBy("slot").agg(F.max("share").alias("best"))
