@@ -18,7 +18,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Pieces that share a drain of the pools: bounds what a task holds, in tokens.
 POOL_TOKENS = 1 << 19
 #: Distinct pre-tokens that a worker remembers.
-MEMORY = 400_000
+MEMORY = 1_000_000
 
 
 @cache
@@ -55,9 +55,7 @@ def encoder(path: str | None) -> Callable[[str], np.ndarray]:
             got = known.get(token)
             if got is None:
                 got = tuple(pieces._encode_single_piece(token.encode()))
-                if len(token) <= 40:
-                    if len(known) >= MEMORY:
-                        known.clear()
+                if len(token) <= 40 and len(known) < MEMORY:  # what comes early is what comes often
                     known[token] = got
             out.append(got)
         return list(chain.from_iterable(out))
