@@ -292,7 +292,7 @@ def part_nodes(spark, sf):
 
 
 def g02(spark, sf):
-    return graph.represented_and_live(part_nodes(spark, sf), part_edges(spark, sf))
+    return graph.represented_and_live(part_nodes(spark, sf), part_edges(spark, sf)).select("node", "represented", "live")
 
 
 def nation_edges(spark, sf):
@@ -392,7 +392,7 @@ SQL = {
     "t04_whole_word_filter": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9_$])(license|Licensed|rights|Version)($|[^A-Za-z0-9_$])')",
     "t05_import_gate": "SELECT page_id, array_to_string(list_filter([CASE WHEN page_id % 5 = 0 THEN 'anthropic' END, CASE WHEN page_id % 3 = 0 THEN 'openai' END], lambda x: x IS NOT NULL), ',') AS packages FROM pages",
     "g01_grounded": f"WITH RECURSIVE {PART_EDGES} SELECT node FROM grounded",
-    "g02_represented_live": f"WITH RECURSIVE {PART_EDGES}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), rep(node) AS (SELECT node FROM grounded WHERE node % 3 = 0 UNION SELECT e.dst FROM rep r JOIN edges e ON e.src = r.node), live(node) AS (SELECT node FROM rep WHERE node % 3 = 0 UNION SELECT e.dst FROM live l JOIN edges e ON e.src = l.node AND e.fold) SELECT node, node IN (SELECT node FROM rep) AS represented, node IN (SELECT node FROM live) AS live FROM nodes",
+    "g02_represented_live": f"WITH RECURSIVE {PART_EDGES}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), sound AS (SELECT * FROM edges WHERE src % 3 <> 2), ground(node) AS (SELECT node FROM nodes WHERE node NOT IN (SELECT dst FROM sound) UNION SELECT e.dst FROM ground g JOIN sound e ON e.src = g.node), rep(node) AS (SELECT e.dst FROM sound e JOIN ground g ON g.node = e.src WHERE e.src % 3 = 0 UNION SELECT e.dst FROM rep r JOIN sound e ON e.src = r.node), live(node) AS (SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM rep) UNION SELECT e.dst FROM live l JOIN sound e ON e.src = l.node AND e.fold) SELECT node, node IN (SELECT node FROM rep) AS represented, node IN (SELECT node FROM live) AS live FROM nodes",
     "g03_folded_closure": f"WITH RECURSIVE {NATION_EDGES}, c(start, reached) AS (SELECT src, dst FROM edges UNION SELECT c.start, e.dst FROM c JOIN edges e ON e.src = c.reached) SELECT * FROM c",
     "g04_bounded_paths": "WITH RECURSIVE e AS (SELECT CAST(n_nationkey AS BIGINT) AS src, CAST((n_nationkey * 3 + 1) % 25 AS BIGINT) AS dst FROM nation UNION SELECT CAST(n_nationkey AS BIGINT), CAST((n_nationkey + 2) % 5 AS BIGINT) FROM nation), p(p, depth, recursive) AS (SELECT [CAST(x AS BIGINT)], 0, false FROM range(5) t(x) UNION ALL SELECT list_append(p, dst), depth + 1, list_contains(p, dst) FROM p JOIN e ON e.src = p[len(p)] WHERE NOT recursive AND depth < 5) SELECT array_to_string(p, '>') AS path, depth, recursive FROM p WHERE depth > 0",
     "g05_suffix_ids": "WITH r AS (SELECT o_orderkey, 'o' || o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders) SELECT o_orderkey, CASE WHEN i = 1 THEN id ELSE id || '-' || i END AS id FROM r",
