@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from sparkgate.plans.catalogue import QUERIES, SQL
+from sparkgate.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.01"
 
