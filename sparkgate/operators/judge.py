@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkgate.session import materialize
+
 # Failure classes by status.
 AUTHENTICATION, UNAVAILABLE = (401, 403), (408, 429)
 
@@ -60,18 +62,37 @@ def ledger_totals(attempts: DataFrame) -> DataFrame:
 def admit(attempts: DataFrame, budget: int, run_col: str = "run", order_col: str = "seq", amount_col: str = "amount") -> DataFrame:
     """attempts with admitted: an attempt is let in while the sum of what was let in before, with its own amount, stays within the budget of its run.
 
-    A refusal leaves room for a smaller attempt later, so the decision is a fold over the attempts of a run in order; a run is one
-    evaluation with its own budget and stays in one row while it is folded.
+    A refusal leaves room for a smaller attempt later. A round takes, with `left` of a run's budget, attempts of at most half of it for let in
+    and larger ones for refused, up to the first that this is wrong for: a large one that fits or a small one that doesn't. From there on less than
+    half is left, so rounds grow with the bits of the budget only. Sums run within sub-ranges of a run; between them go only totals. Null and negative amounts are refused.
     """
-    ordered = F.sort_array(F.collect_list(F.struct(order_col, amount_col)))
-    step = lambda acc, x: F.struct(
-        F.when((x[amount_col] >= 0) & (acc["spent"] + x[amount_col] <= budget), acc["spent"] + x[amount_col]).otherwise(acc["spent"]).alias("spent"),
-        F.concat(acc["out"], F.array(F.struct(x[order_col].alias(order_col), F.coalesce((x[amount_col] >= 0) & (acc["spent"] + x[amount_col] <= budget), F.lit(False)).alias("admitted")))).alias("out"),
-    )
-    kind = attempts.schema[order_col].dataType.simpleString()
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast(f"array<struct<{order_col}:{kind},admitted:boolean>>").alias("out"))
-    folded = attempts.groupBy(run_col).agg(F.aggregate(ordered, start, step)["out"].alias("o"))
-    return folded.select(run_col, F.explode("o").alias("o")).select(run_col, "o.*")
+    pos, amount, left = F.col("_pos"), F.col("_a"), F.col("_left")
+    dealt = attempts.select(F.col(run_col).alias("_run"), F.col(order_col).alias("_seq"), F.col(amount_col).cast("long").alias("_a"))
+    # Positions in order of run and seq: the upper bits are the number of the range.
+    dealt = materialize(dealt.repartitionByRange("_run", "_seq", "_a").sortWithinPartitions("_run", "_seq", "_a").withColumn("_pos", F.monotonically_increasing_id()), "attempts").withColumn("_part", F.shiftright(pos, 33))
+    state = materialize(dealt.select("_run").distinct().select("_run", F.lit(-1).cast("long").alias("_at"), F.lit(budget).cast("long").alias("_left")), "budgets")
+    small = 2 * amount <= left
+    rounds = None
+    while not state.isEmpty():
+        s = state.withColumnRenamed("_run", "_r")
+        open_ = dealt.join(s, F.col("_run").eqNullSafe(F.col("_r"))).where((pos > F.col("_at")) & (amount >= 0) & (amount <= left)).drop("_r").withColumn("_own", F.when(small, amount).otherwise(0))
+        totals = open_.groupBy("_run", "_part").agg(F.sum("_own").alias("_t"))
+        base = totals.select(F.col("_run").alias("_r"), F.col("_part").alias("_p"), (F.sum("_t").over(Window.partitionBy("_run").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")).alias("_base"))
+        within = F.sum("_own").over(Window.partitionBy("_run", "_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0))
+        summed = open_.withColumn("_w", within).join(base, F.col("_run").eqNullSafe(F.col("_r")) & (F.col("_part") == F.col("_p"))).withColumn("_s", F.col("_w") + F.col("_base"))
+        wrong = F.when(small, F.col("_s") > left).otherwise(F.col("_s") + amount <= left)
+        rest = F.when(small, left - (F.col("_s") - amount)).otherwise(left - F.col("_s") - amount)
+        cut = summed.where(wrong).groupBy(F.col("_run").alias("_r")).agg(F.min(F.struct("_pos", rest.alias("_rest"))).alias("_c"))
+        done = materialize(state.join(cut, F.col("_run").eqNullSafe(F.col("_r")), "left").select("_run", "_at", "_left", F.col("_c._pos").alias("_to"), F.col("_c._rest").alias("_rest")), "rounds")
+        rounds = done if rounds is None else rounds.union(done)
+        state = done.where("_to is not null").select("_run", F.col("_to").alias("_at"), F.col("_rest").alias("_left"))
+    if rounds is None:
+        return attempts.select(run_col, order_col, F.lit(False).alias("admitted"))
+    # A row is decided in the first round that ends at or after it; a run has few rounds.
+    ends = rounds.groupBy(F.col("_run").alias("_r")).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_to", F.lit((1 << 63) - 1)).alias("to"), "_left"))).alias("_rounds"))
+    own = dealt.join(ends, F.col("_run").eqNullSafe(F.col("_r"))).withColumn("_x", F.element_at(F.filter("_rounds", lambda r: r["to"] >= F.col("_pos")), 1)).withColumn("_left", F.col("_x._left"))
+    let_in = F.when(small, pos != F.col("_x.to")).otherwise(pos == F.col("_x.to")) & (amount >= 0) & (amount <= left)
+    return own.select(F.col("_run").alias(run_col), F.col("_seq").alias(order_col), F.coalesce(let_in, F.lit(False)).alias("admitted"))
 
 
 def failure_class(status: Column, names_unknown_model: Column) -> Column:

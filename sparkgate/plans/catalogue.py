@@ -223,9 +223,17 @@ def j05(spark, sf):
     return judge.ledger_totals(attempts(spark, sf))
 
 
+def tries(spark, sf):
+    return attempts(spark, sf).select((F.col("event_id") % 10).alias("run"), F.col("event_id").alias("seq"), F.col("reserved").alias("amount"))
+
+
 def j06(spark, sf):
-    a = attempts(spark, sf).select((F.col("event_id") % 10).alias("run"), F.col("event_id").alias("seq"), F.col("reserved").alias("amount")).where("seq < 2000")
-    return judge.admit(a, 100_000).select("run", F.col("seq").alias("event_id"), "admitted")
+    """Only the first 2,000 events, which is what its SQL covers; j06_full takes all."""
+    return judge.admit(tries(spark, sf).where("seq < 2000"), 100_000).select("run", F.col("seq").alias("event_id"), "admitted")
+
+
+def j06_full(spark, sf):
+    return judge.admit(tries(spark, sf), 100_000).select("run", F.col("seq").alias("event_id"), "admitted")
 
 
 def j07(spark, sf):
@@ -344,7 +352,7 @@ QUERIES = {
     "m07_choice_confusion": m07, "m08_multilabel_metrics": m08, "m09_score_levels": m09, "m10_triage": m10, "m11_cascade_cost": m11, "m12_self_agreement": m12,
     "m13_adjudication_order": m13, "i01_group_inputs": i01, "i02_half_split": i02, "i03_verify_split": i03, "i04_strata_batches": i04, "i05_validate_state": i05,
     "i06_unknown_site": i06, "i07_select_capped": i07, "j01_judge_reasons": j01, "j02_policy_state": j02, "j03_price_precedence": j03, "j04_registry_shadow": j04,
-    "j05_ledger_totals": j05, "j06_budget_admission": j06, "j07_failure_class": j07, "t01_prompt_signals": t01, "t02_redact": t02, "t02_redact_full": t02_full,
+    "j05_ledger_totals": j05, "j06_budget_admission": j06, "j06_budget_admission_full": j06_full, "j07_failure_class": j07, "t01_prompt_signals": t01, "t02_redact": t02, "t02_redact_full": t02_full,
     "t03_entropy": t03, "t04_whole_word_filter": t04, "t05_import_gate": t05, "g01_grounded": g01, "g02_represented_live": g02, "g03_folded_closure": g03,
     "g04_bounded_paths": g04, "g05_suffix_ids": g05, "s01_scan_summary": s01, "s02_python_scan": s02,
 }
