@@ -6,6 +6,7 @@ import pytest
 
 from sparkgate.operators import judge
 from sparkgate.plans.registry import QUERIES
+from sparkgate.streaming import flows
 
 SF = "/root/testdata/sf0.01"
 
@@ -33,8 +34,19 @@ def test_admit_of_nothing(spark):
     assert judge.admit(spark.createDataFrame([], "run long, seq long, amount long"), 5).count() == 0
 
 
-@pytest.mark.parametrize("name", ["j06_budget_admission_full"])
+@pytest.mark.parametrize("name", ["j06_budget_admission_full", "x01_stream_admission_full"])
 def test_all_events_are_judged(spark, name):
     events = spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_id % 10", "event_id", "cast(round(value * 100) as long)")
     got = [tuple(r) for r in QUERIES[name](spark, SF).select("run", "event_id", "admitted").collect()]
     assert sorted(got, key=str) == folded([tuple(r) for r in events.collect()], 100_000)
+
+
+def test_stream_in_several_batches(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2]), seq, rng.choice([None, -5, 0, rng.randrange(40), rng.randrange(1100)])) for seq in range(900)]
+    rng.shuffle(rows)
+    stream = flows.in_order(spark.createDataFrame(rows, "run long, seq long, amount long").repartition(5), spark, "tries", "seq", most=200)
+    judged = flows.admitted(stream, 3000).writeStream.format("memory").queryName("judged").outputMode("append").trigger(availableNow=True).start()
+    judged.awaitTermination()
+    assert sum(p["numInputRows"] > 0 for p in judged.recentProgress) == 5 and max(p["numInputRows"] for p in judged.recentProgress) < 300
+    assert sorted((tuple(r) for r in spark.table("judged").collect()), key=str) == folded(rows, 3000)
