@@ -281,26 +281,52 @@ def part_edges(spark, sf):
     return li.select(F.col("l_partkey").cast("long").alias("src"), ((F.col("l_partkey") * 13 + F.col("l_suppkey")) % 2000).cast("long").alias("dst"), (F.col("l_suppkey") % 2 == 0).alias("fold")).where("src % 4 <> 0").distinct()
 
 
+def all_edges(spark, sf):
+    """An edge of every line. A caller and its callee agree in p % 5; callees lie below 1500, so what is above is a root. A part with p % 5 = 0 calls itself and perhaps its neighbour, so no root reaches it. A third of the callees are never folded, else none would be hidden."""
+    p, s = F.col("l_partkey").cast("long"), F.col("l_suppkey").cast("long")
+    dst = F.when(p % 5 == 0, p + 5 * (s % 2)).otherwise(5 * ((p * 13 + s) % 300) + p % 5)
+    lines = table(spark, sf, "lineitem").select(p.alias("src"), dst.alias("dst"), (s % 2 == 0).alias("even"))
+    k = F.floor(F.col("dst") / 5) % 3
+    return lines.select("src", "dst", ((k == 0) | ((k == 1) & F.col("even"))).alias("fold")).distinct()
+
+
 PART_EDGES = """
 edges AS (
   SELECT DISTINCT CAST(l_partkey AS BIGINT) AS src, CAST((l_partkey * 13 + l_suppkey) % 2000 AS BIGINT) AS dst, l_suppkey % 2 = 0 AS fold
   FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0 AND l_partkey % 4 <> 0),
 roots AS (SELECT src AS node FROM edges EXCEPT SELECT dst FROM edges),
 grounded(node) AS (SELECT node FROM roots UNION SELECT e.dst FROM grounded g JOIN edges e ON e.src = g.node)"""
+ALL_EDGES = """
+lines AS (
+  SELECT CAST(l_partkey AS BIGINT) AS src, CAST(CASE WHEN l_partkey % 5 = 0 THEN l_partkey + 5 * (l_suppkey % 2) ELSE 5 * ((l_partkey * 13 + l_suppkey) % 300) + l_partkey % 5 END AS BIGINT) AS dst, l_suppkey % 2 = 0 AS even
+  FROM lineitem),
+edges AS (SELECT DISTINCT src, dst, dst // 5 % 3 = 0 OR dst // 5 % 3 = 1 AND even AS fold FROM lines),
+roots AS (SELECT src AS node FROM edges EXCEPT SELECT dst FROM edges),
+grounded(node) AS (SELECT node FROM roots UNION SELECT e.dst FROM grounded g JOIN edges e ON e.src = g.node)"""
 
 
 def g01(spark, sf):
+    """Only the edges that its SQL covers, as in g02 and g07; g01_full, g02_full and g07_full take every line."""
     return graph.grounded(part_edges(spark, sf).select("src", "dst").distinct())
 
 
-def part_nodes(spark, sf):
-    e = part_edges(spark, sf)
+def g01_full(spark, sf):
+    return graph.grounded(all_edges(spark, sf).select("src", "dst").distinct())
+
+
+def part_nodes(e):
     n = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
     return n.withColumn("status", F.when(F.col("node") % 3 == 0, "distinct").when(F.col("node") % 3 == 1, "folded").otherwise("ambiguous"))
 
 
 def g02(spark, sf):
-    return graph.represented_and_live(part_nodes(spark, sf), part_edges(spark, sf)).select("node", "represented", "live")
+    e = part_edges(spark, sf)
+    return graph.represented_and_live(part_nodes(e), e).select("node", "represented", "live")
+
+
+def g02_full(spark, sf):
+    e = materialize(all_edges(spark, sf), "edges")
+    return graph.represented_and_live(part_nodes(e), e).select("node", "represented", "live")
 
 
 def nation_edges(spark, sf):
@@ -353,7 +379,7 @@ QUERIES = {
     "m13_adjudication_order": m13, "i01_group_inputs": i01, "i02_half_split": i02, "i03_verify_split": i03, "i04_strata_batches": i04, "i05_validate_state": i05,
     "i06_unknown_site": i06, "i07_select_capped": i07, "j01_judge_reasons": j01, "j02_policy_state": j02, "j03_price_precedence": j03, "j04_registry_shadow": j04,
     "j05_ledger_totals": j05, "j06_budget_admission": j06, "j06_budget_admission_full": j06_full, "j07_failure_class": j07, "t01_prompt_signals": t01, "t02_redact": t02, "t02_redact_full": t02_full,
-    "t03_entropy": t03, "t04_whole_word_filter": t04, "t05_import_gate": t05, "g01_grounded": g01, "g02_represented_live": g02, "g03_folded_closure": g03,
+    "t03_entropy": t03, "t04_whole_word_filter": t04, "t05_import_gate": t05, "g01_grounded": g01, "g01_grounded_full": g01_full, "g02_represented_live": g02, "g02_represented_live_full": g02_full, "g03_folded_closure": g03,
     "g04_bounded_paths": g04, "g05_suffix_ids": g05, "s01_scan_summary": s01, "s02_python_scan": s02,
 }
 
@@ -406,3 +432,4 @@ SQL = {
     "g05_suffix_ids": "WITH r AS (SELECT o_orderkey, 'o' || o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders) SELECT o_orderkey, CASE WHEN i = 1 THEN id ELSE id || '-' || i END AS id FROM r",
     "s01_scan_summary": "WITH t AS (SELECT p_partkey % 9 = 0 AS excluded, CASE WHEN p_partkey % 31 = 0 THEN 'review' WHEN p_partkey % 4 <> 0 AND p_partkey % 3 = 0 THEN 'not_decision' WHEN p_partkey % 4 <> 0 AND p_partkey % 5 <= 1 THEN 'sure' WHEN p_partkey % 4 <> 0 THEN 'likely' WHEN p_partkey % 6 = 0 THEN 'likely' WHEN p_partkey % 20 = 4 THEN 'review' WHEN p_partkey % 8 <> 0 AND trim(p_name) <> '' THEN 'not_decision' ELSE 'review' END AS tier FROM part), s AS (SELECT count(*) AS total, count(*) FILTER (tier = 'sure') AS sure, count(*) FILTER (tier = 'likely') AS likely, count(*) FILTER (tier = 'review') AS review, count(*) FILTER (tier = 'not_decision') AS not_decision, count(*) FILTER (NOT excluded) AS counted, count(*) FILTER (NOT excluded AND tier IN ('sure', 'likely')) AS decisions FROM t) SELECT *, CASE WHEN counted > 0 THEN round(decisions * 1000 / counted::DOUBLE) / 10 ELSE 0 END AS decision_pct FROM s",
 }
+SQL |= {f"{name}_full": SQL[name].replace(PART_EDGES, ALL_EDGES) for name in ("g01_grounded", "g02_represented_live")}

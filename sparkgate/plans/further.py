@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkgate.operators import answers, evidence, graph, judge, metrics, resolve
-from sparkgate.plans.catalogue import PART_EDGES, RECORDS, part_edges, table, tries, valid
-from sparkgate.session import scratch_path
+from sparkgate.plans.catalogue import ALL_EDGES, PART_EDGES, RECORDS, all_edges, part_edges, table, tries, valid
+from sparkgate.session import materialize, scratch_path
 from sparkgate.sources import files
 from sparkgate.streaming import flows
 
@@ -163,7 +163,14 @@ def g06(spark, sf):
 
 
 def g07(spark, sf):
-    e = part_edges(spark, sf)
+    return disposed(part_edges(spark, sf))
+
+
+def g07_full(spark, sf):
+    return disposed(materialize(all_edges(spark, sf), "edges"))
+
+
+def disposed(e):
     ends = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
     k = F.col("node")
     status = F.when(k % 6 == 0, "ambiguous").when(k % 6 == 1, "multiple_decisions").when(k % 6 < 4, "folded").otherwise("distinct")
@@ -200,7 +207,7 @@ def x02(spark, sf):
 QUERIES = {
     "m14_output_agreement": m14, "m15_adjudication": m15, "m16_run_estimate": m16, "m17_recorded_price": m17, "m18_policy_blockers": m18, "j08_policy_coverage": j08, "i08_order_violations": i08,
     "i09_field_names": i09, "i10_canonical_answer": i10, "i11_batch_inputs": i11, "i12_supplied_rows": i12, "r01_python_imports": r01, "r02_ts_imports": r02, "r03_cache_lookup": r03, "r04_cache_upsert": r04,
-    "r05_model_catalogue": r05, "r06_resolve_model": r06, "r07_rows_of_sites": r07, "r08_unmatched_keys": r08, "g06_occurrence_status": g06, "g07_dispositions": g07, "x01_stream_admission": x01, "x01_stream_admission_full": x01_full, "x02_stream_judge": x02,
+    "r05_model_catalogue": r05, "r06_resolve_model": r06, "r07_rows_of_sites": r07, "r08_unmatched_keys": r08, "g06_occurrence_status": g06, "g07_dispositions": g07, "g07_dispositions_full": g07_full, "x01_stream_admission": x01, "x01_stream_admission_full": x01_full, "x02_stream_judge": x02,
 }
 
 Z2 = repr(metrics.Z * metrics.Z) + "::DOUBLE"
@@ -232,3 +239,4 @@ SQL = {
     "g07_dispositions": f"WITH RECURSIVE {PART_EDGES}, ends AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), n AS (SELECT node, node % 7 = 0 AS direct, node IN (SELECT dst FROM edges) AS wrapper, node % 11 = 3 AS exceeded, CASE WHEN node % 5 <> 4 THEN CASE WHEN node % 6 = 0 THEN 'ambiguous' WHEN node % 6 = 1 THEN 'multiple_decisions' WHEN node % 6 < 4 THEN 'folded' ELSE 'distinct' END END AS status FROM ends), sound AS (SELECT e.*, n.status FROM edges e JOIN n ON n.node = e.src WHERE NOT direct AND NOT exceeded AND status IN ('folded', 'distinct')), ground(node) AS (SELECT node FROM ends WHERE node NOT IN (SELECT dst FROM sound) UNION SELECT e.dst FROM ground g JOIN sound e ON e.src = g.node), rep(node) AS (SELECT e.dst FROM sound e JOIN ground g ON g.node = e.src WHERE e.status = 'distinct' UNION SELECT e.dst FROM rep r JOIN sound e ON e.src = r.node), live(node) AS (SELECT node FROM ends WHERE node NOT IN (SELECT node FROM rep) UNION SELECT e.dst FROM live l JOIN sound e ON e.src = l.node AND e.fold), d AS (SELECT node, CASE WHEN direct THEN CASE WHEN NOT wrapper THEN 'direct' WHEN node NOT IN (SELECT dst FROM sound) THEN 'no_callers' WHEN node IN (SELECT node FROM live) THEN 'represented' ELSE 'hidden' END WHEN exceeded THEN 'depth_exceeded' WHEN status = 'distinct' AND node NOT IN (SELECT node FROM live) THEN 'hidden' ELSE status END AS disposition FROM n) SELECT * FROM d WHERE disposition IS NOT NULL",
     "x02_stream_judge": "WITH r AS (SELECT conv_id, turn, CASE WHEN strlen(text) = 0 THEN 'invalid_request' WHEN strlen(text) > 3000 THEN 'invalid_input' WHEN conv_id % 11 = 0 THEN 'policy_missing' WHEN strlen(text) % 4 = 0 THEN 'low_confidence' END AS reason FROM conversations) SELECT conv_id, turn, CASE WHEN reason IS NULL THEN 'accepted' WHEN reason LIKE 'invalid%' THEN 'error' ELSE 'deferred' END AS status, reason FROM r",
 }
+SQL["g07_dispositions_full"] = SQL["g07_dispositions"].replace(PART_EDGES, ALL_EDGES)
