@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkgate.session import materialize, scratch_path
@@ -42,6 +42,23 @@ def mark_revisits(payloads: DataFrame, least_bytes: int) -> DataFrame:
     return marked.withColumn("refers_to", refers).withColumn("record_type", F.when(refers.isNull(), "response").otherwise("revisit")).drop("first")
 
 
+def named(marked: DataFrame, ids: DataFrame) -> DataFrame:
+    """marked with name, unique per row, and target, the name of the response that a revisit refers to. ids has the page_id of each row.
+
+    A name is the page_id; of rows with the same page_id it is page_id.digest.number, and of rows without one null.number. Only repeated ids are put in groups.
+    """
+    again = materialize(ids.where("page_id is not null").groupBy(F.col("page_id").alias("again")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    plain = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("null."), F.monotonically_increasing_id().cast("string")))
+    if again.isEmpty():
+        return marked.withColumn("name", plain).withColumn("target", F.col("refers_to").cast("string"))
+    to = again.withColumnRenamed("again", "to")
+    first = F.when(F.col("to").isNull(), F.col("refers_to").cast("string")).otherwise(F.concat_ws(".", "refers_to", "digest", F.lit(1)))
+    rows = marked.join(to, F.col("refers_to") == F.col("to"), "left").withColumn("target", first).drop("to").join(again, F.col("page_id") == F.col("again"), "left")
+    number = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
+    repeats = rows.where("again is not null").withColumn("name", F.concat_ws(".", "page_id", "digest", number))
+    return rows.where("again is null").withColumn("name", plain).unionByName(repeats).drop("again")
+
+
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
     out = [b"%x\r\n%s\r\n" % (len(part), part) for part in (payload[k : k + size] for k in range(0, len(payload), size))]
     return b"".join([*out, b"0\r\n\r\n"])
@@ -62,8 +79,8 @@ def dechunk(body: bytes) -> bytes:
         at = end + 4 + n
 
 
-def records(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The WARC/1.1 records of one page: a response in one or more segments, or a revisit without a body."""
+def records(page_id: int | str, url: str, payload: bytes, digest: str, refers_to: int | str | None, segment: int = SEGMENT) -> Iterator[bytes]:
+    """The WARC/1.1 records of one page: a response in one or more segments, or a revisit without a body. page_id and refers_to are unique names of records, as named() gives them."""
     uri = "<urn:page:%s>"
     url = "".join(c if 32 < ord(c) < 127 else "%%%02X" % ord(c) if ord(c) < 256 else "?" for c in url or "about:blank")
     head = ["WARC/1.1", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}"]
@@ -86,10 +103,10 @@ def records(page_id: int, url: str, payload: bytes, digest: str, refers_to: int
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, segment: int = SEGMENT, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Gzipped WARC files of pages (id, url, html) under path, written by Spark: any store, no local file.
 
-    A null html is an empty payload, a null url about:blank. Pages need distinct ids that are not null; other columns are not written.
+    A null html is an empty payload, a null url about:blank. Ids may repeat or be null: each row has records of its own, and rows without an id are responses. Other columns are not written.
     """
     read = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
-    marked = mark_revisits(read, least_bytes)
+    marked = named(mark_revisits(read, least_bytes), read.select("page_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +118,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, segment: i
                 # The writer copies a string's bytes; a segment may end within a character, so the bytes are not checked as text.
                 yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.string(), len(raw), raw.buffers())], names=["value"])
 
-    lines = marked.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "value string")
+    lines = marked.select("name", "url", "payload", "digest", "target").mapInArrow(run, "value string")
     lines.write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -224,12 +241,14 @@ def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
     found = read_archives(spark, path)
-    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?[0-9]+)>$", 1).cast("long")
-    read = materialize(found.select(number("record_id").alias("page_id"), number("refers_to").alias("refers_to"), "record_type", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")), "read")
-    # A revisit has the payload of the response it names.
-    named = read.where("record_type = 'response'").select(F.col("page_id").alias("to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
-    own = read.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    visits = read.where("record_type = 'revisit'").join(named, F.col("refers_to") == F.col("to"), "left").select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to")
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?[0-9]+)(?:\.[A-Z2-7]+\.[0-9]+)?>$", 1).try_cast("long")
+    read = materialize(found.select("record_id", F.col("refers_to").alias("target"), number("record_id").alias("page_id"), number("refers_to").alias("refers_to"), "record_type", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")), "read")
+    # A revisit has the payload of the response it names; names are unique.
+    responses = read.where("record_type = 'response'").select(F.col("record_id").alias("to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
+    # As in the SQL, a page without an id is not the first of its payload.
+    kind = F.when(F.col("page_id").isNull(), "revisit").otherwise(F.col("record_type")).alias("record_type")
+    own = read.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", kind, "refers_to")
+    visits = read.where("record_type = 'revisit'").join(responses, F.col("target") == F.col("to"), "left").select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to")
     return own.unionByName(visits)
 
 

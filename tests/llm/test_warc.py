@@ -64,3 +64,19 @@ def test_query_matches_sql(spark):
     con.execute(f"create view pages as select * from '{sf}/pages.parquet'")
     want = sorted(con.execute(OP8_SQL).fetchall())
     assert sorted(tuple(r) for r in op8_warc_segments(spark, sf).collect()) == want
+
+
+def test_null_and_repeated_ids_match_sql(spark, tmp_path):
+    long, other = "é" * 50_000, "o" * 80_000
+    rows = [(1, "u", long), (1, "u", long), (3, "u", long), (None, "u", long), (None, "u", "alone"), (None, None, None), (5, "a", "short"), (5, "a", "short"), (5, "b", other), (6, "c", "short"), (6, "c", "short"), (7, "d", other), (8, "e", "one"), (-2, "f", "one")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = [tuple(r) for r in op8_warc_segments(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(con.execute(OP8_SQL).fetchall(), key=str) and len(got) == len(rows)
+    assert all(r[1] is not None for r in got)
+    path = f"{tmp_path}/archive"
+    write_archives(spark.read.parquet(f"{tmp_path}/pages.parquet"), path)
+    read = {r.record_id: r for r in read_archives(spark, path).collect()}
+    assert len(read) == len(rows)
+    assert all(read[r.refers_to].record_type == "response" and read[r.refers_to].digest == r.digest for r in read.values() if r.record_type == "revisit")
