@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from sparkgate.session import materialize
 
-#: Slots into which n-grams are hashed, before the filters.
-SLOTS = 1 << 20
 SPACE = 32
+#: Distinct n-grams that a task holds while it counts, and the largest table of filters that is sent to the executors, in bytes.
+HELD, MOST_BYTES = 1 << 21, 1 << 28
 
 
 @cache
@@ -30,15 +30,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def gram_slots(texts: list[str | None], orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slots, row of each slot, which rows have a letter) for the n-grams of lower-cased words with a blank at both ends."""
+def grams(texts: list[str | None], orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grams, row of each, which rows have a letter) for the n-grams of lower-cased words with a blank at both ends.
+
+    A gram is the mix of its code points, 21 bits each: of at most three, so that no two n-grams share a number.
+    """
     joined = " ".join(["", *[(t or "").lower().replace("\0", " ") + " \0" for t in texts], ""])
     codes = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)
     rows = np.cumsum(codes == 0, dtype=np.int32)
     letter = _letters()[codes]
     has = np.bincount(rows[letter], minlength=len(texts))[: len(texts)] > 0
     x = np.where(letter, codes, SPACE).astype(np.uint64)
-    slots, where = [], []
+    found, where = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int32)]
     for n in orders:
         if len(x) < n:
             continue
@@ -47,14 +50,14 @@ def gram_slots(texts: list[str | None], orders: tuple[int, ...]) -> tuple[np.nda
         some = np.zeros(len(h), dtype=bool)
         for k in range(n):
             part = slice(k, len(x) - n + 1 + k)
-            h = h * np.uint64(0x100000001B3) + x[part] + np.uint64(n)
+            h |= x[part] << np.uint64(21 * k)
             some |= letter[part]
             if 0 < k < n - 1:
                 inner &= letter[part]
         use = inner & some
-        slots.append((_mix(h[use]) & np.uint64(SLOTS - 1)).astype(np.int64))
+        found.append(_mix(h[use]))
         where.append(rows[: len(h)][use])
-    return np.concatenate(slots), np.concatenate(where), has
+    return np.concatenate(found), np.concatenate(where), has
 
 
 def runs(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -80,96 +83,142 @@ class Model:
     orders: tuple[int, ...]
 
 
-def positions(slots: np.ndarray, size: int, hashes: int) -> list[np.ndarray]:
-    h = _mix(slots.astype(np.uint64) + np.uint64(0x51ED27))
-    step = (h >> np.uint64(40)) | np.uint64(1)
-    return [((h + np.uint64(k) * step) & np.uint64(size - 1)).astype(np.int64) for k in range(hashes)]
+def width_of(size: int, hashes: int) -> int:
+    """Bits of a gram that make one position; grams are well mixed, so each position takes bits of its own."""
+    width = size.bit_length() - 1
+    if size != 1 << width or width * hashes > 64:
+        raise ValueError("filters have a power of two of positions, and all positions of a gram come from its 64 bits")
+    return width
+
+
+def positions(found: np.ndarray, size: int, hashes: int) -> list[np.ndarray]:
+    width = width_of(size, hashes)
+    return [((found >> np.uint64(width * k)) & np.uint64(size - 1)).astype(np.int64) for k in range(hashes)]
+
+
+def _added(u: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of u, with the sums of n."""
+    order = np.argsort(u, kind="stable")
+    u, n = u[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, dtype=np.int64)
+    return u[first], np.add.reduceat(n, first) if len(u) else n
+
+
+def _counted(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found = np.sort(found)
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, dtype=np.int64)
+    return found[first], np.diff(np.concatenate([first, [len(found)]])).astype(np.int64)
 
 
 def count_grams(docs: DataFrame, orders: tuple[int, ...], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, slot, n) over all docs with a lang: each task adds up its partition, so the shuffle holds a row per language, slot and task."""
+    """(lang, gram, n) over all docs with a lang.
+
+    A task adds up the n-grams of its texts, about a million characters at a time, and sends what it has when that is more than HELD
+    distinct ones of all languages: bounded, however many languages and n-grams there are. Spark adds up the rest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = after = 0
+
+        def merge() -> int:
+            for lang, parts in held.items():
+                if len(parts) > 1:
+                    held[lang] = [_added(*map(np.concatenate, zip(*parts)))]
+            return sum(len(parts[0][0]) for parts in held.values())
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                u, n = parts[0]
+                for k in range(0, len(u), 50_000):
+                    some = slice(k, k + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u[some]), pa.string()), pa.array(u[some].view(np.int64)), pa.array(n[some])], names=["lang", "gram", "n"])
+            held.clear()
+
         for batch in batches:
-            langs, texts = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            code = {x: k for k, x in enumerate(sorted(set(langs)))}
-            codes = np.array([code[x] for x in langs], dtype=np.int32)
-            for start, end in runs(texts):
-                slots, rows, _ = gram_slots(texts[start:end], orders)
-                of = codes[start:end][rows]
-                for lang, k in code.items():
-                    tables.setdefault(lang, np.zeros(SLOTS, dtype=np.int64))
-                    tables[lang] += np.bincount(slots[of == k], minlength=SLOTS)
-        for lang, table in tables.items():
-            (at,) = np.nonzero(table)
-            for some in np.array_split(at, max(1, len(at) // 50_000)):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(table[some], pa.int64())], names=["lang", "slot", "n"])
+            by_lang: dict[str, list[str]] = {}
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by_lang.setdefault(lang, []).append(text)
+            for lang, texts in by_lang.items():
+                for start, end in runs(texts):
+                    part = _counted(grams(texts[start:end], orders)[0])
+                    held.setdefault(lang, []).append(part)
+                    size += len(part[0])
+                    if size > max(HELD // 4, 2 * after):
+                        size = after = merge()
+                        if after > HELD:
+                            yield from out()
+                            size = after = 0
+        merge()
+        yield from out()
 
     known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    return known.mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    return known.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, orders: tuple[int, ...] = (2, 3), least_share: float = 2e-5, rival: float = 0.25, filter_bits: int = 1 << 20, hashes: int = 3, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Filters of all languages in docs, from all rows that have a language and a text.
 
     An n-gram belongs to a language if its share among the language's n-grams is at least least_share and at least `rival` times
-    its share in any language. The first bound keeps at most 1 / least_share n-grams per language at any input size, and the table has
-    filter_bits positions, so what reaches the driver is bounded.
+    its share in any language. The filters are filled on the executors: each n-gram sets the bit of its languages at `hashes` positions, and a
+    bitwise or adds them up. What reaches the driver is the table of filters, filter_bits rows for each 64 languages at most, and
+    the list of languages.
     """
+    if max(orders) > 3:
+        raise ValueError("n-grams have at most three code points")
+    width = width_of(filter_bits, hashes)
     counts = materialize(count_grams(docs, orders, text_col, lang_col), "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    share = counts.join(totals, "lang").select("slot", "lang", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= least_share)
-    best = share.groupBy("slot").agg(F.max("share").alias("best"))
-    member = share.join(best, "slot").where(F.col("share") >= rival * F.col("best")).select("lang", "slot")
-    found = member.groupBy("lang").agg(F.collect_list("slot").alias("slots")).collect()
-    languages = tuple(sorted(r["lang"] for r in found))
-    table = np.zeros((len(languages) + 63) // 64 * filter_bits, dtype=np.uint64).reshape(-1, filter_bits)
-    for r in found:
-        k = languages.index(r["lang"])
-        for at in positions(np.array(r["slots"], dtype=np.int64), filter_bits, hashes):
-            table[k // 64, at] |= np.uint64(1) << np.uint64(k % 64)
+    share = counts.join(totals, "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= least_share)
+    best = share.groupBy("gram").agg(F.max("share").alias("best"))
+    member = materialize(share.join(best, "gram").where(F.col("share") >= rival * F.col("best")).select("lang", "gram"), "members")
+    languages = tuple(sorted(r["lang"] for r in member.select("lang").distinct().collect()))
+    words = (len(languages) + 63) // 64
+    if words * filter_bits * 8 > MOST_BYTES:
+        raise ValueError(f"filters of {len(languages)} languages are larger than {MOST_BYTES} bytes: take fewer filter_bits")
+    code = docs.sparkSession.createDataFrame(list(enumerate(languages)), "k int, lang string")
+    at = F.explode(F.array(*[F.shiftrightunsigned("gram", width * i).bitwiseAND(F.lit(filter_bits - 1).cast("long")) for i in range(hashes)]))
+    bit = F.expr("shiftleft(1L, k % 64)")
+    slices = member.join(code, "lang").select(F.floor(F.col("k") / 64).alias("w"), at.alias("p"), bit.alias("bit")).groupBy("w", "p").agg(F.bit_or("bit").alias("bits"))
+    table = np.zeros((words, filter_bits), dtype=np.uint64)
+    found = slices.toArrow()
+    table[found["w"].to_numpy(), found["p"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     fill = np.array([((table[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(languages))])
     return Model(languages, table, fill, hashes, orders)
 
 
+def popcounts(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hits [languages, texts], n-grams per text, which texts have a letter): an n-gram hits every language whose bit is set at all its positions."""
+    found, rows, has = grams(texts, model.orders)
+    n = np.bincount(rows, minlength=len(texts))[: len(texts)]
+    at = positions(found, model.table.shape[1], model.hashes)
+    hits = np.zeros((len(model.languages), len(texts)), dtype=np.int64)
+    for w in range(len(model.table)):
+        held = np.bitwise_and.reduce([model.table[w, p] for p in at])
+        for k in range(64 * w, min(64 * w + 64, len(model.languages))):
+            own = rows[(held >> np.uint64(k % 64)) & np.uint64(1) == 1]
+            hits[k] = np.bincount(own, minlength=len(texts))[: len(texts)]
+    return hits, n, has
+
+
 def decide(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and score of each text: hits per language, less what false positives give, over the n-grams of the text."""
-    slots, rows, has = gram_slots(texts, model.orders)
-    n = np.bincount(rows, minlength=len(texts))[: len(texts)].astype(float)
-    words = [_member(model, w)[slots] for w in range(len(model.table))]
-    corrected = np.zeros((len(model.languages), len(texts)))
-    for k in range(len(model.languages)):
-        hit = (words[k // 64] >> np.uint64(k % 64)) & np.uint64(1)
-        c = np.bincount(rows, weights=hit.astype(float), minlength=len(texts))[: len(texts)]
-        fp = model.fill[k] ** model.hashes
-        corrected[k] = np.maximum(0.0, (c - fp * n) / max(1.0 - fp, 1e-9))
     if not model.languages:
         return ["und"] * len(texts), [0.0] * len(texts)
+    hits, n, has = popcounts(model, texts)
+    fp = (model.fill**model.hashes)[:, None]
+    corrected = np.maximum(0.0, (hits - fp * n) / np.maximum(1.0 - fp, 1e-9))
     best = corrected.argmax(axis=0)
-    score = np.where(has & (n > 0), np.minimum(1.0, corrected[best, np.arange(len(texts))] / np.maximum(n, 1.0)), 0.0)
+    score = np.where(has & (n > 0), np.minimum(1.0, corrected[best, np.arange(len(texts))] / np.maximum(n, 1)), 0.0)
     return [model.languages[b] if h else "und" for b, h in zip(best, has)], score.tolist()
 
 
-def _member(model: Model, word: int) -> np.ndarray:
-    """For each slot the languages whose filters hold it: the AND over its positions, once per worker."""
-    got = _members.get((id(model), word))
-    if got is None:
-        at = positions(np.arange(SLOTS), model.table.shape[1], model.hashes)
-        got = np.bitwise_and.reduce([model.table[word, p] for p in at])
-        _members[id(model), word] = got
-    return got
-
-
-_members: dict[tuple[int, int], np.ndarray] = {}
-
-
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (0 to 1), from the text alone.
 
     A text that is null or has no letter is `und` with score 0; so is every text if the model knows no language. Ties go to the first language by code point. One
-    row per input row; columns of these names are replaced. An empty table gives an empty result. Narrow: no shuffle; the model is broadcast, its
-    size is fixed by filter_bits.
+    row per input row; columns of these names are replaced. An empty table gives an empty result. Narrow: no shuffle; the model is broadcast, and
+    learn() bounds its size by MOST_BYTES.
     """
     held = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)

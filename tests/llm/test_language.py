@@ -1,6 +1,10 @@
+from collections import Counter
+
 import numpy as np
+import pytest
 
-from sparkgate.llm.language import SLOTS, decide, gram_slots, identify, learn, op10_bloom_language, positions
+from sparkgate.llm import language
+from sparkgate.llm.language import count_grams, decide, grams, identify, learn, op10_bloom_language, popcounts, positions
 
 DOCS = [(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, "der hund und die katze", "de"), (4, None, "en"), (5, "x", None)]
 
@@ -9,20 +13,76 @@ def test_filters_hold_every_learned_gram(spark):
     model = learn(spark.createDataFrame(DOCS, "doc_id long, text string, lang string"), least_share=1e-9, rival=0.0)
     assert model.languages == ("de", "en", "fr")
     for _, text, lang in DOCS[:3]:
-        slots, _, _ = gram_slots([text], model.orders)
-        mask = np.bitwise_and.reduce([model.table[0, p] for p in positions(slots, model.table.shape[1], model.hashes)])
+        found, _, _ = grams([text], model.orders)
+        mask = np.bitwise_and.reduce([model.table[0, p] for p in positions(found, model.table.shape[1], model.hashes)])
         assert ((mask >> np.uint64(model.languages.index(lang))) & np.uint64(1)).all()
     assert decide(model, ["the dog and the cat", "et le chien", "die katze und der hund", "12 34", "", None])[0] == ["en", "fr", "de", "und", "und", "und"]
 
 
+def plain_grams(text, orders=(2, 3)):
+    x = "".join(c if c.isalpha() else " " for c in " " + (text or "").lower() + "  ")
+    return [x[i : i + n] for n in orders for i in range(len(x) - n + 1) if x[i : i + n].strip() and " " not in x[i + 1 : i + n - 1]]
+
+
 def test_grams_match_brute_force():
-    slots, rows, has = gram_slots(["Ab c", None, "1"], (2,))
+    found, rows, has = grams(["Ab c", None, "1"], (2,))
     assert rows.tolist().count(0) == 5 and set(rows.tolist()) == {0}  # " a", "ab", "b ", " c", "c "
-    assert has.tolist() == [True, False, False] and (slots < SLOTS).all()
-    one = [gram_slots([t], (2, 3))[0].tolist() for t in ("Ab c", "é 😀z", "")]
-    both = gram_slots(["Ab c", "é 😀z", ""], (2, 3))
-    for k in range(3):
-        assert sorted(both[0][both[1] == k].tolist()) == sorted(one[k])
+    assert has.tolist() == [True, False, False]
+    texts = ["Ab c", "é 😀z", "", "a\tb-c", "ÄÖ über x", "xyz" * 50]
+    both = grams(texts, (2, 3))
+    for k, t in enumerate(texts):
+        assert sorted(both[0][both[1] == k].tolist()) == sorted(grams([t], (2, 3))[0].tolist())
+        assert sorted(Counter(both[0][both[1] == k].tolist()).values()) == sorted(Counter(plain_grams(t)).values())
+
+
+@pytest.mark.parametrize("held", [1 << 21, 40])
+def test_counts_match_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(language, "HELD", held)
+    texts = [(f"word{k % 7} and {chr(97 + k % 26) * 3} {chr(0x430 + k % 20)}", "ab"[k % 2]) for k in range(200)]
+    got = count_grams(spark.createDataFrame(texts, "text string, lang string").repartition(3), (2, 3)).collect()
+    want = Counter((lang, g) for t, lang in texts for g in plain_grams(t))
+    assert sum(r.n for r in got) == sum(want.values()) and len(got) == len(want) == len({(r.lang, r.gram) for r in got})
+    assert sorted(r.n for r in got) == sorted(want.values())
+
+
+def test_decisions_match_brute_force(spark):
+    """70 languages, so two words of bits; hits, the correction and the argmax against plain sets of n-grams."""
+    alphabet = [chr(c) for c in range(0x430, 0x430 + 30)] + list("abcdefghijklmnopqrstuvwxyz")
+    rng = np.random.default_rng(3)
+    words = {f"l{k:02d}": ["".join(rng.choice(alphabet, 4)) for _ in range(12)] for k in range(70)}
+    docs = [(" ".join(rng.choice(w, 30)), lang) for lang, w in words.items() for _ in range(2)]
+    model = learn(spark.createDataFrame(docs, "text string, lang string"), least_share=1e-9, rival=0.25, filter_bits=1 << 14, hashes=4)
+    count = {lang: Counter(g for t, x in docs if x == lang for g in plain_grams(t)) for lang in words}
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in count.items()}
+    best = Counter()
+    for s in share.values():
+        for g, x in s.items():
+            best[g] = max(best[g], x)
+    member = {lang: {g for g, x in s.items() if x >= 0.25 * best[g]} for lang, s in share.items()}
+    texts = [" ".join(rng.choice(words[lang], 8)) for lang in words] + ["", None, "1 2", "qq", " ".join(rng.choice(words["l05"], 20_000))]
+    hits, n, _ = popcounts(model, texts)
+    fp = model.fill**model.hashes
+    for k, t in enumerate(texts):
+        own = plain_grams(t)
+        assert n[k] == len(own)
+        for i, lang in enumerate(model.languages):
+            true = sum(g in member[lang] for g in own)
+            assert true <= hits[i, k] <= true + 4 + 6 * fp[i] * len(own)  # never too few, and hardly too many
+    got, score = decide(model, texts)
+    corrected = np.maximum(0, (hits - fp[:, None] * n) / (1 - fp[:, None]))
+    assert got[:70] == list(words) and got[70:73] == ["und"] * 3 and got[74] == "l05"
+    assert np.allclose([s for s, x in zip(score, n) if x], [min(1, c.max() / x) for c, x in zip(corrected.T, n) if x])
+
+
+def test_ties_and_other_models(spark):
+    same = learn(spark.createDataFrame([("one two", "b"), ("one two", "a")], "text string, lang string"))
+    assert decide(same, ["one"])[0] == ["a"]
+    for k in range(20):  # models made and freed in turn never answer for each other
+        other = learn(spark.createDataFrame([("one two", f"x{k}")], "text string, lang string"))
+        assert decide(other, ["two"])[0] == [f"x{k}"]
+        del other
+    with pytest.raises(ValueError):
+        learn(spark.createDataFrame([("one", "a")], "text string, lang string"), filter_bits=1 << 30, hashes=2)
 
 
 def test_rows_and_empty_tables(spark):
