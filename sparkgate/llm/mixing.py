@@ -38,26 +38,49 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return ranked.select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("weight") * level), F.col("cap")).alias("target"))
 
 
+def inclusion(size: Column, c: Column) -> Column:
+    """The inclusion probability of one more copy: in proportion to size, 1 at most."""
+    return F.least(F.lit(1.0), c * size)
+
+
 def _order(u: Column, p: Column) -> Column:
-    """The Pareto variable; null where nothing is drawn."""
-    return F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))
+    """The Pareto variable, random odds over inclusion odds: 0 where a copy is certain, null where none is drawn."""
+    return F.when(p > 0, (u / (1 - u)) * ((1 - p) / p))
 
 
 def _bin(order: Column) -> Column:
     return F.floor(order / (1 + order) * BINS)
 
 
+def inclusion_rates(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """(r, c) per source r with words to draw: c such that inclusion probabilities min(1, c * size) draw `need` words in expectation.
+
+    The longest documents are certain as far as c * size would pass 1. One row per source and distinct size is put in order, from a
+    partial aggregate: as many rows as the longest document has words, at most.
+    """
+    sizes = sized.where("size > 0").groupBy(F.col("source").alias("r"), "size").agg(F.count("*").alias("n"))
+    sizes = sizes.join(plan.select("s", "need"), F.col("r").eqNullSafe(F.col("s"))).where("need > 0")
+    down = Window.partitionBy("r").orderBy(F.col("size").desc())
+    words = F.col("n").cast("decimal(20,0)") * F.col("size")
+    before = F.coalesce(F.sum(words).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+    rest = F.sum((words * F.col("size")).cast("decimal(38,0)")).over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing)).cast("double")
+    tried = sizes.select("r", "size", ((F.col("need") - before) / rest).alias("c"))
+    return tried.groupBy("r").agg(F.coalesce(F.max_by("c", F.when(F.col("c") * F.col("size") <= 1, F.col("size"))), F.lit(1.0)).alias("c"))
+
+
 def draw_plan(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """One row per source of sized (doc_id, source, size, u): source_size, target, whole (certain copies), p (inclusion probability of one
-    more), and where the draw ends: cut_bin and cut, the last (order, doc_id) taken in that bin.
+    """One row per source of sized (doc_id, source, size, u): source_size, target, whole (certain copies), c (inclusion probability of one
+    more copy, per word of a document), and where the draw ends: cut_bin and cut, the last (order, doc_id) taken in that bin.
 
     The order is cut by a histogram of BINS bins per source; only the bin where the missing words run out is sorted, so no source meets in one task.
     """
     plan = source_targets(sized, weights, share, most)
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = plan.withColumn("whole", F.floor(copies).cast("long")).withColumn("p", copies - F.floor(copies)).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = plan.withColumn("whole", F.floor(copies).cast("long")).withColumn("need", F.col("target") - F.floor(copies) * F.col("source_size"))
     plan = materialize(plan.withColumnRenamed("source", "s"), "targets")
-    placed = sized.join(plan.select("s", "p", "need"), F.col("source").eqNullSafe(F.col("s"))).withColumn("order", _order(F.col("u"), F.col("p"))).withColumn("bin", _bin(F.col("order"))).where("bin is not null")
+    plan = plan.join(inclusion_rates(sized, plan), F.col("s").eqNullSafe(F.col("r")), "left").drop("r").withColumn("c", F.coalesce("c", F.lit(0.0)))
+    plan = materialize(plan, "rates")
+    placed = sized.join(plan.select("s", "c", "need"), F.col("source").eqNullSafe(F.col("s"))).withColumn("order", _order(F.col("u"), inclusion(F.col("size"), F.col("c")))).withColumn("bin", _bin(F.col("order"))).where("bin is not null")
     bins = placed.groupBy("s", "bin").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
     upto = F.sum("words").over(Window.partitionBy("s").orderBy("bin"))
     ends = bins.withColumn("upto", upto).where("upto > need").groupBy("s").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("end"))
@@ -71,35 +94,39 @@ def draw_plan(sized: DataFrame, weights: tuple[float, ...], share: float, most:
     return materialize(full.drop("e", "l", "before", "need"), "plan")
 
 
-def _copies(u: Column, id_: Column) -> Column:
-    order = _order(u, F.col("p"))
+def _copies(u: Column, id_: Column, size: Column) -> Column:
+    order = _order(u, inclusion(size, F.col("c")))
     b = _bin(order)
     key = F.struct(order.alias("order"), id_.alias("doc_id"))
     extra = b.isNotNull() & (F.col("cut_bin").isNull() | (b < F.col("cut_bin")) | ((b == F.col("cut_bin")) & F.col("cut").isNotNull() & (key <= F.col("cut"))))
     return F.col("whole") + F.when(extra, 1).otherwise(0)
 
 
+def size_of(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def _sized(docs: DataFrame, seed: str, text_col: str, source_col: str, id_col: str) -> DataFrame:
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
     return materialize(base.withColumn("u", unit_hash(F.col("doc_id"), seed)), "sizes")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: str = "mix", text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """How often to take each document so that sources reach their target weights.
 
-    A source with target t and size s is worth f = t / s copies of each of its documents. floor(f) copies are certain. The
-    fraction p = f - floor(f) is the inclusion probability of one more copy: documents are ranked by the Pareto variable
-    (u / (1 - u)) / (p / (1 - p)) with u hashed from the id, and the smallest are taken until the words still missing are
+    A source with target t and size s is worth f = t / s copies of each of its documents. floor(f) copies are certain. The words
+    still missing come from one more copy of some documents: the inclusion probability p of a document is in proportion to its
+    size, 1 at most, so that the expected words are those missing. Documents are ranked by the Pareto variable
+    (u / (1 - u)) / (p / (1 - p)) with u hashed from the id, and the smallest are taken until the missing words are
     reached, so that each source misses its target by at most half a document.
 
     One row per input row: doc_id, source, size, source_size, target, copies and taken = copies * size. A
-    null text has size 0; a null source is a source of its own; a null id is a key like any other. Rows that repeat an id have one
+    null text has size 0 and is never drawn beyond certain copies; a null source is a source of its own; a null id is a key like any other. Rows that repeat an id have one
     rank and are drawn together. An empty table gives an empty result. Other columns of docs are not carried.
     """
     sized = _sized(docs, seed, text_col, source_col, id_col)
     plan = draw_plan(sized, weights, share, most)
-    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies(F.col("u"), F.col("doc_id")))
+    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies(F.col("u"), F.col("doc_id"), F.col("size")))
     return joined.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -109,10 +136,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     Texts are not shuffled: each row meets the plan of its source, one row per source, and decides for itself.
     """
     names = docs.columns
-    plan = draw_plan(_sized(docs, seed, text_col, source_col, id_col), weights, share, most).select("s", "whole", "p", "cut_bin", "cut")
+    plan = draw_plan(_sized(docs, seed, text_col, source_col, id_col), weights, share, most).select("s", "whole", "c", "cut_bin", "cut")
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("held"), F.col(source_col).alias("_source"))
     joined = held.join(plan, F.col("_source").eqNullSafe(F.col("s")))
-    copies = _copies(unit_hash(F.col(f"held.`{id_col}`"), seed), F.col(f"held.`{id_col}`"))
+    copies = _copies(unit_hash(F.col(f"held.`{id_col}`"), seed), F.col(f"held.`{id_col}`"), size_of(F.col(f"held.`{text_col}`")))
     many = joined.select("held", copies.alias("copies")).where("copies > 0").select("held", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return many.select("held.*")
 
@@ -142,12 +169,20 @@ targets AS (
   SELECT source, source_size, least(cap, weight * chosen.level) AS target FROM levels, chosen),
 parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0::DOUBLE END AS f FROM targets),
+counted AS (SELECT source, size, count(*) AS n FROM sized WHERE size > 0 GROUP BY 1, 2),
+wanted AS (SELECT *, target - floor(f) * source_size AS need FROM parts),
+tried AS (
+  SELECT c.source, c.size, (w.need - coalesce(sum(c.n * c.size) OVER (PARTITION BY c.source ORDER BY c.size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+         / sum(c.n * c.size * c.size) OVER (PARTITION BY c.source ORDER BY c.size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS c
+  FROM counted c JOIN wanted w ON c.source IS NOT DISTINCT FROM w.source WHERE w.need > 0),
+rates AS (SELECT source, coalesce(arg_max(c, size) FILTER (c * size <= 1), 1::DOUBLE) AS c FROM tried GROUP BY 1),
+odds AS (
+  SELECT d.doc_id, d.source, d.size, d.u, w.source_size, w.target, w.need, CAST(floor(w.f) AS BIGINT) AS whole, least(1::DOUBLE, coalesce(r.c, 0::DOUBLE) * d.size) AS p
+  FROM sized d JOIN wanted w ON d.source IS NOT DISTINCT FROM w.source LEFT JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+pareto AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) * ((1 - p) / p) END AS pareto FROM odds),
 ordered AS (
-  SELECT d.doc_id, d.size, p.source_size, p.target, CAST(floor(p.f) AS BIGINT) AS whole, p.f - floor(p.f) AS frac,
-         p.target - floor(p.f) * p.source_size AS need,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
-  FROM sized d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source)
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY pareto NULLS LAST, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM pareto)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN frac > 0 AND run - size / 2::DOUBLE <= need THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (whole + CASE WHEN pareto IS NOT NULL AND run - size / 2::DOUBLE <= need THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM ordered
 """

@@ -40,3 +40,16 @@ def test_query_matches_sql(spark):
     want = {r[0]: r[1:] for r in con.execute(OP9_SQL).fetchall()}
     got = {r.doc_id: r[1:] for r in op9_pareto_mix(spark, sf).collect()}
     assert got == want
+
+
+def test_odds_grow_with_size(spark):
+    """Of a source that gives a third of its words, documents twice as long are drawn about twice as often."""
+    docs = spark.createDataFrame([(i, "w " * (10 if i % 2 else 20), "s") for i in range(6000)] + [(i, "w " * 30, "t") for i in range(6000, 9000)], "doc_id long, text string, source string")
+    got = [r for r in mix_sources(docs, weights=(1.0, 2.0), share=0.5).collect() if r.source == "s"]
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 10
+    share = {n: sum(r.copies for r in got if r.size == n) / 3000 for n in (10, 20)}
+    assert 1.8 < share[20] / share[10] < 2.2
+    # Where doubling would pass 1, the longest are certain and the others make up for the rest.
+    rest = [r for r in mix_sources(docs, weights=(4.0, 1.0), share=0.6).collect() if r.source == "s"]
+    extra = {n: [r.copies - min(x.copies for x in rest) for r in rest if r.size == n] for n in (10, 20)}
+    assert all(e == 1 for e in extra[20]) and 0 < sum(extra[10]) < 3000
