@@ -49,10 +49,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Delete a table that materialize() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/sparkgate-" in path:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            remove_path(df.sparkSession, path)
