@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkgate.session import materialize, scratch_path
+from sparkgate.session import materialize, remove_path, scratch_path
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2020-01-01T00:00:00Z"
@@ -59,8 +59,19 @@ def named(marked: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.where("again is null").withColumn("name", plain).unionByName(repeats).drop("again")
 
 
+def pieces(data: bytes, size: int) -> Iterator[bytes]:
+    """data in pieces of at most `size` bytes that end between characters of UTF-8, so that each is text; a character is never longer than size."""
+    at = 0
+    while at < len(data):
+        end = min(at + size, len(data))
+        while end < len(data) and data[end] & 0xC0 == 0x80 and end > at + max(1, size - 3):
+            end -= 1
+        yield data[at:end]
+        at = end
+
+
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
-    out = [b"%x\r\n%s\r\n" % (len(part), part) for part in (payload[k : k + size] for k in range(0, len(payload), size))]
+    out = [b"%x\r\n%s\r\n" % (len(part), part) for part in pieces(payload, size)]
     return b"".join([*out, b"0\r\n\r\n"])
 
 
@@ -90,7 +101,7 @@ def records(page_id: int | str, url: str, payload: bytes, digest: str, refers_to
         yield "\r\n".join([*head, *extra, "", ""]).encode() + http + b"\r\n\r\n"
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
-    parts = [block[k : k + segment] for k in range(0, len(block), segment)]
+    parts = list(pieces(block, segment))
     for k, part in enumerate(parts):
         kind = ["WARC-Type: response", "WARC-Record-ID: " + uri % page_id, f"WARC-Payload-Digest: sha1:{digest}"] if k == 0 else ["WARC-Type: continuation", "WARC-Record-ID: " + uri % f"{page_id}:{k + 1}", "WARC-Segment-Origin-ID: " + uri % page_id]
         if len(parts) > 1:
@@ -112,11 +123,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, segment: i
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
                 rows = batch.slice(part, 500)
-                # A record ends in a line feed, which the text writer puts there.
-                lines = [r[:-1] for x in zip(*(c.to_pylist() for c in rows.columns)) for r in records(*x, segment=segment)]
-                raw = pa.array(lines, pa.binary())
-                # The writer copies a string's bytes; a segment may end within a character, so the bytes are not checked as text.
-                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.string(), len(raw), raw.buffers())], names=["value"])
+                # A record ends in a line feed, which the text writer puts there. Segments and chunks end between characters, so every record is text.
+                lines = [r[:-1].decode() for x in zip(*(c.to_pylist() for c in rows.columns)) for r in records(*x, segment=segment)]
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
 
     lines = marked.select("name", "url", "payload", "digest", "target").mapInArrow(run, "value string")
     lines.write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
@@ -200,15 +209,26 @@ def reassemble(rows: DataFrame) -> DataFrame:
     Segments are grouped by origin and put in order by their number. A group is whole when its numbers run from 1 without a gap or a repeat and the
     last gives the total length of all; anything else has block null. Records without a segment number are not shuffled.
     """
-    single = rows.where("segment is null").select("record_id", "record_type", "refers_to", "digest", "url", "block")
+    names = ["record_id", "record_type", "refers_to", "digest", "url", "block"]
+    schema = "record_id string, record_type string, refers_to string, digest string, url string, block binary"
+    single = rows.where("segment is null").select(*names)
     parts = F.sort_array(F.collect_list(F.struct("segment", "block", "total", "record_type", "refers_to", "digest", "url")))
     groups = rows.where("segment is not null").groupBy(F.col("origin").alias("record_id")).agg(parts.alias("p"))
-    block = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["block"]))
     # Numbers 1, 2, 3, ... with the total at the last.
-    whole = F.forall(F.transform("p", lambda x, k: x["segment"] == k + 1), lambda x: x) & F.element_at("p", -1)["total"].eqNullSafe(F.octet_length("block"))
-    groups = groups.withColumn("block", block).withColumn("block", F.when(whole, F.col("block")))
+    last = F.element_at("p", -1)["total"]
+    whole = F.forall(F.transform("p", lambda x, k: x["segment"] == k + 1), lambda x: x)
     head = lambda name: F.element_at("p", 1)[name].alias(name)
-    return single.unionByName(groups.select("record_id", head("record_type"), head("refers_to"), head("digest"), head("url"), "block"))
+    ordered = groups.select("record_id", head("record_type"), head("refers_to"), head("digest"), head("url"), F.when(whole, last).alias("total"), F.transform("p", lambda x: x["block"]).alias("blocks"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                block = b"".join(row.column(6)[0].as_py())
+                block = block if len(block) == row.column(5)[0].as_py() else None
+                yield pa.RecordBatch.from_arrays([*row.columns[:5], pa.array([block], pa.binary())], names=names)
+
+    return single.unionByName(ordered.mapInArrow(join, schema))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -243,6 +263,7 @@ def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read_archives(spark, path)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?[0-9]+)(?:\.[A-Z2-7]+\.[0-9]+)?>$", 1).try_cast("long")
     read = materialize(found.select("record_id", F.col("refers_to").alias("target"), number("record_id").alias("page_id"), number("refers_to").alias("refers_to"), "record_type", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")), "read")
+    remove_path(spark, path)
     # A revisit has the payload of the response it names; names are unique.
     responses = read.where("record_type = 'response'").select(F.col("record_id").alias("to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
     # As in the SQL, a page without an id is not the first of its payload.
