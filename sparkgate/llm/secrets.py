@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkgate.session import materialize
@@ -16,33 +16,47 @@ PROVIDER = r"gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{20,}+|sk_live_[
 #: Kinds in the order that breaks ties of equal starts.
 KINDS = ("assign", "access", "hex", "provider", "live", "example")
 SPAN = "struct<start:int,end:int,kind:string>"
+#: Code points of a text that redact() cuts at a time.
+BLOCK = 1000
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as array<struct<start, hit>>: the lengths of the pieces between them give positions in code points."""
+def _matches(text: Column, pattern: str, row) -> Column:
+    """Leftmost non-overlapping matches as an array of row(place, gap, hit), gap being the code points between a match and the one before.
+
+    Only lengths are kept; where a match starts is a running sum over them, which candidates() makes.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    lengths = F.transform(hits, F.length)
-    placed = F.aggregate(
-        F.arrays_zip(gaps.alias("g"), lengths.alias("l"), hits.alias("h")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,hit:string>>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x["g"] + F.coalesce(x["l"], F.lit(0))).alias("at"), F.when(x["h"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), x["h"].alias("hit"))))).alias("out")),
-    )["out"]
-    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast("array<struct<start:int,hit:string>>"))
+    placed = F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit")), lambda x, i: row(i, x["gap"], x["hit"]))
+    return F.when(text.rlike(pattern), placed)
 
 
 def _found(text: Column) -> Column:
-    """Base and provider candidates: array<struct<start, end, kind, at, secret>>, at being where the secret starts."""
+    """All matches: array<struct<kind, i, gap, size, ok, skip, length, hash, alive>>, the secret being `length` code points after `skip` of the match."""
+
+    def kind(name, secret, ok):
+        def row(i, gap, hit):
+            value = secret(hit)
+            return F.struct(F.lit(name).alias("kind"), i.alias("i"), gap.alias("gap"), F.length(hit).alias("size"), ok(hit, value).alias("ok"), (F.length(hit) - F.length(value)).alias("skip"), F.length(value).alias("length"), F.sha2(value, 256).alias("hash"), _looks_live(value).alias("alive"))
+
+        return row
 
-    def row(x, kind, secret, at):
-        return F.struct(x["start"].alias("start"), (x["start"] + F.length(x["hit"])).alias("end"), F.lit(kind).alias("kind"), at.alias("at"), secret.alias("secret"))
+    whole, yes = lambda hit: hit, lambda hit, value: F.lit(True)
+    assign = _matches(text, ASSIGN, kind("assign", lambda hit: F.regexp_extract(hit, ASSIGN, 2), lambda hit, value: F.length(value) >= 8))
+    access = _matches(text, ACCESS, kind("access", whole, lambda hit, value: F.length(hit) >= 16))
+    parts = [assign, access, _matches(text, HEX, kind("hex", whole, yes)), _matches(text, PROVIDER, kind("provider", whole, yes))]
+    return F.flatten(F.array_compact(F.array(*parts)))
 
-    value = lambda x: F.regexp_extract(x["hit"], ASSIGN, 2)
-    assign = F.transform(F.filter(_matches(text, ASSIGN), lambda x: F.length(value(x)) >= 8), lambda x: row(x, "assign", value(x), x["start"] + F.length(x["hit"]) - F.length(value(x))))
-    access = F.transform(F.filter(_matches(text, ACCESS), lambda x: F.length(x["hit"]) >= 16), lambda x: row(x, "access", x["hit"], x["start"]))
-    hexes = F.transform(_matches(text, HEX), lambda x: row(x, "hex", x["hit"], x["start"]))
-    provider = F.transform(_matches(text, PROVIDER), lambda x: row(x, "provider", x["hit"], x["start"]))
-    return F.concat(assign, access, hexes, provider)
+
+def candidates(base: DataFrame) -> DataFrame:
+    """One row per candidate of base (row, repository, owner, found): row, repository, owner and x (start, end, kind, at, length, hash, alive).
+
+    Starts are running sums in a window over the matches of one kind in one text: lengths only, in n log n.
+    """
+    each = base.where(F.size("found") > 0).select("row", "repository", "owner", F.inline("found"))
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    placed = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).where("ok")
+    return placed.select("row", "repository", "owner", F.struct("start", "end", "kind", (F.col("start") + F.col("skip")).alias("at"), "length", "hash", "alive").alias("x"))
 
 
 def _looks_live(secret: Column) -> Column:
@@ -59,6 +73,12 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(keyed, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
 
 
+def _distinct(spans: Column) -> Column:
+    """Distinct spans in order. Structs have no hash set in array_distinct, so equal ones are found side by side."""
+    alone = lambda ordered: F.filter(ordered, lambda x, i: (i == 0) | (x != F.get(ordered, i - 1)))
+    return F.element_at(F.transform(F.array(F.sort_array(spans)), alone), 1)
+
+
 def scan_secrets(docs: DataFrame, shared_owners: int = 3, shared_repositories: int = 3, text_col: str = "text", id_col: str = "doc_id", repository_col: str = "source", owner_col: str = "source") -> DataFrame:
     """Secrets of each text, each told apart by how many owners and repositories hold the same value.
 
@@ -73,10 +93,10 @@ def scan_secrets(docs: DataFrame, shared_owners: int = 3, shared_repositories: i
     Texts are read once and never shuffled: only candidates are, in two partial aggregates (distinct holders, then counts) and
     one equi-join on the hash that the skew join can split.
     """
-    found = F.transform(_found(F.coalesce(F.col(text_col), F.lit(""))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["at"].alias("at"), F.length(x["secret"]).alias("length"), F.sha2(x["secret"], 256).alias("hash"), _looks_live(x["secret"]).alias("alive")))
+    found = _found(F.coalesce(F.col(text_col), F.lit("")))
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(repository_col).alias("repository"), F.col(owner_col).alias("owner"), found.alias("found"))
     base = materialize(base, "secrets")
-    each = base.where(F.size("found") > 0).select("row", "repository", "owner", F.explode("found").alias("x"))
+    each = materialize(candidates(base), "candidates")
     holders = each.select(F.col("x.hash").alias("hash"), F.explode(F.array(F.struct(F.lit("owner").alias("role"), F.col("owner").alias("name")), F.struct(F.lit("repository").alias("role"), F.col("repository").alias("name")))).alias("h")).select("hash", "h.role", "h.name").distinct()
     counts = holders.groupBy("hash").agg(F.count(F.when((F.col("role") == "owner"), F.col("name"))).alias("owners"), F.count(F.when(F.col("role") == "repository", F.col("name"))).alias("repositories"))
     shared = (F.col("owners") >= shared_owners) | (F.col("repositories") >= shared_repositories)
@@ -88,7 +108,7 @@ def scan_secrets(docs: DataFrame, shared_owners: int = 3, shared_repositories: i
     plain = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")).cast(SPAN))
     added = F.transform(F.filter("found", lambda x: x["class"] != "other"), lambda x: F.struct(x["at"].alias("start"), (x["at"] + x["length"]).alias("end"), x["class"].alias("kind")).cast(SPAN))
     # Two kinds may hold the same value; what ownership adds is listed once.
-    return out.withColumn("spans", F.concat(plain, F.array_distinct(added)))
+    return out.withColumn("spans", F.concat(plain, _distinct(added)))
 
 
 def op3_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,23 +118,39 @@ def op3_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def _blocks(cuts: DataFrame) -> DataFrame:
+    """(_key, i, cuts) of spans (_key, start, end): overlapping and touching spans are one, and are dealt to the blocks of BLOCK code points they lie in.
+
+    cuts are (start, end, first) within the block, in order; first is true in the block where the span starts.
+    """
+    order = Window.partitionBy("_key").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    group = F.sum(F.when(F.col("start") > F.col("reach"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    merged = cuts.withColumn("reach", reach).withColumn("group", group).groupBy("_key", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    first, last = F.floor(F.col("start") / BLOCK).cast("int"), F.floor((F.col("end") - 1) / BLOCK).cast("int")
+    dealt = merged.select("_key", "start", "end", first.alias("first"), F.explode(F.sequence(first, last)).alias("i"))
+    local = F.struct(F.greatest(F.col("start") - F.col("i") * BLOCK, F.lit(0)).alias("start"), F.least(F.col("end") - F.col("i") * BLOCK, F.lit(BLOCK)).alias("end"), (F.col("i") == F.col("first")).alias("first"))
+    return dealt.groupBy("_key", "i").agg(F.sort_array(F.collect_list(local)).alias("cuts"))
+
+
 def redact(docs: DataFrame, kinds: tuple[str, ...] = ("live",), mark: str = "[SECRET]", text_col: str = "text", repository_col: str = "source", owner_col: str = "source", **options) -> DataFrame:
     """docs with every span of the given kinds replaced by a mark: same columns, same rows. A null text stays null.
 
-    Only texts with a candidate are shuffled, keyed by their SHA-256; all others pass through. Spans are cut from the right, so
-    that positions hold; overlapping spans are cut as one. Repeated rows are redacted alike.
+    Only texts with a candidate are shuffled, keyed by their SHA-256; all others pass through. A text with something to cut is cut in
+    blocks of BLOCK code points, so that very many spans in a very long text take time in proportion to it. Overlapping and touching
+    spans are cut as one. Repeated rows are redacted alike.
     """
     any_hit = F.coalesce(F.col(text_col).rlike(f"{ASSIGN}|{ACCESS}|{HEX}|{PROVIDER}"), F.lit(False))
     flagged = docs.where(any_hit).withColumn("_key", F.sha2(F.col(text_col), 256))
     source = flagged.select(F.col("_key"), F.col(text_col).alias("_text"), F.col(repository_col).alias("_repository"), F.col(owner_col).alias("_owner"))
     spans = scan_secrets(source, text_col="_text", id_col="_key", repository_col="_repository", owner_col="_owner", **options)
-    cuts = F.sort_array(F.transform(F.filter("spans", lambda x: x["kind"].isin(*kinds)), lambda x: F.struct((-x["start"]).alias("s"), x["end"].alias("e"))))
-    hit = spans.select(F.col("doc_id").alias("_key"), cuts.alias("_cuts")).where(F.size("_cuts") > 0).dropDuplicates(["_key"])
-    joined = flagged.join(hit, "_key", "left")
-    cut = F.aggregate(
-        "_cuts",
-        F.struct(F.col(text_col).alias("t"), F.length(text_col).alias("limit")),
-        lambda acc, x: F.struct(F.concat(F.substring(acc["t"], F.lit(1), -x["s"]), F.when(x["e"] < acc["limit"], F.lit(mark)).otherwise(F.when(acc["limit"] == F.length(acc["t"]), F.lit(mark)).otherwise(F.lit(""))), F.substring(acc["t"], F.least(x["e"], acc["limit"]) + 1, F.lit(2**31 - 1))).alias("t"), (-x["s"]).alias("limit")),
-    )["t"]
-    redacted = joined.withColumn(text_col, F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    cuts = spans.select(F.col("doc_id").alias("_key"), F.explode(F.filter("spans", lambda x: x["kind"].isin(*kinds))).alias("x")).select("_key", "x.start", "x.end").distinct()
+    blocks = materialize(_blocks(cuts), "cuts")
+    texts = source.select("_key", "_text").join(blocks.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
+    pieces = texts.select("_key", F.posexplode(F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("i", "piece")).join(blocks, ["_key", "i"], "left")
+    # From the right, so that positions hold.
+    cut = F.aggregate(F.reverse("cuts"), F.col("piece"), lambda acc, x: F.concat(F.substring(acc, F.lit(1), x["start"]), F.when(x["first"], F.lit(mark)).otherwise(F.lit("")), F.substring(acc, x["end"] + 1, F.lit(2**31 - 1))))
+    whole = pieces.select("_key", "i", F.when(F.col("cuts").isNull(), F.col("piece")).otherwise(cut).alias("piece")).groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("i", "piece"))).alias("p"))
+    clean = whole.select("_key", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("_clean"))
+    redacted = flagged.join(clean, "_key", "left").withColumn(text_col, F.coalesce("_clean", text_col)).select(*docs.columns)
     return docs.where(~any_hit).unionByName(redacted)
