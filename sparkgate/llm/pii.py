@@ -16,17 +16,22 @@ KINDS = ("email", "ip", "card", "phone", "address", "account")
 BASE = KINDS[:4]
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
 
-# Anchors and the shapes around them.
-SCHEMES = ("http://", "https://", "ftp://", "ssh://", "HTTP://", "HTTPS://")
-STREETS = (" Street", " Avenue", " Road", " Boulevard", " Lane", " Drive", "straße", "strasse")
-ACCOUNTS = ("IBAN", "iban", "Iban", "account no", "Account no", "account number", "Account number", "Account Number", "SSN", "ssn", "Kontonummer", "passport no", "Passport no")
+# Anchors, in either case, and the shapes around them.
+SCHEMES = ("http://", "https://", "ftp://", "ssh://")
+STREETS = (" street", " avenue", " road", " boulevard", " lane", " drive", " square", " court")
+SUFFIXES = ("straße", "strasse")
+ACCOUNTS = ("iban", "account no", "account number", "ssn", "kontonummer", "passport no")
+#: Words of a street's name before its kind.
+MOST_WORDS = 4
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"(?:[A-Za-z0-9._~%!$&'*+,;=:-]+@[A-Za-z0-9.-]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?::[0-9]{1,5})?(?:/[^\x20\x09-\x0D\"'<>]*)?")
-HOUSE = re.compile(r"(?<![0-9])[0-9]{1,5}[A-Za-z]?\x20(?:[A-Z][A-Za-z.'-]*\x20){0,3}[A-Z][A-Za-z.'-]*\Z")
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz.'-")
+HOUSE = re.compile(r"\x20[0-9]{1,5}[A-Za-z]?(?![A-Za-z0-9])")
+ASCII_LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 IBAN = re.compile(r"[\x20:#.]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 NUMBER = re.compile(r"(?:\x20?(?:number|no)\.?)?[\x20:#.]{1,4}([A-Z]{0,2}[0-9](?:[\x20-]?[0-9]){5,19})(?![A-Za-z0-9])")
 
@@ -50,18 +55,45 @@ def anchors():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for group, kind in ((("@",), "at"), (("+",), "plus"), (tuple("0123456789"), "digit"), (SCHEMES, "scheme"), (STREETS, "street"), (ACCOUNTS, "account")):
+    for group, kind in ((("@",), "at"), (("+",), "plus"), (tuple("0123456789"), "digit"), (SCHEMES, "scheme"), (STREETS, "street"), (SUFFIXES, "suffix"), (ACCOUNTS, "account")):
         for word in group:
             found.add_word(word, (kind, len(word)))
     found.make_automaton()
     return found
 
 
+def folded(text: str) -> str:
+    """text in lower case, position by position."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(ASCII_LOWER)
+
+
+def house_before(text: str, left: int, at: int) -> int | None:
+    """Where a house number starts that stands before up to MOST_WORDS capitalised words which end at `at`, the farthest if there are several; nothing before left is read."""
+    found = None
+    for _ in range(MOST_WORDS):
+        start = at
+        while start > left and text[start - 1] in NAME:
+            start -= 1
+        if start == at or not "A" <= text[start] <= "Z" or start <= left or text[start - 1] != " ":
+            break
+        at = start - 1
+        number = at
+        if number > left and "A" <= text[number - 1].upper() <= "Z" and text[number - 1].isascii():
+            number -= 1
+        digits = number
+        while digits > left and "0" <= text[digits - 1] <= "9" and number - digits < 6:
+            digits -= 1
+        if 1 <= number - digits <= 5:
+            found = digits
+    return found
+
+
 def find_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of one text, by start and kind. Work is in proportion to the text: no parser goes back over what its kind has read."""
     spans: list[tuple[int, int, str]] = []
     after = dict.fromkeys(KINDS, 0)  # where each kind may match again
-    for last, (kind, size) in anchors().iter(text):
+    for last, (kind, size) in anchors().iter(folded(text)):
         at = last - size + 1
         if kind == "digit":
             if at >= after["ip"] and not (at and "0" <= text[at - 1] <= "9" and at - 1 >= after["ip"]) and (m := IP.match(text, at)):
@@ -89,11 +121,17 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
                 after["address"] = m.end()
                 spans.append((at, m.end(), "address"))
         elif kind == "street":
-            left = max(after["address"], at - 80)
-            if (last + 1 == len(text) or not text[last + 1].isalpha()) and (m := HOUSE.search(text, left, at)):
+            if (last + 1 == len(text) or not text[last + 1].isalpha()) and (start := house_before(text, after["address"], at)) is not None:
                 after["address"] = last + 1
-                spans.append((m.start(), last + 1, "address"))
-        elif at >= after["account"]:
+                spans.append((start, last + 1, "address"))
+        elif kind == "suffix" and at >= after["address"]:
+            start = at
+            while start > after["address"] and text[start - 1].isalpha():
+                start -= 1
+            if text[start].isupper() and (m := HOUSE.match(text, last + 1)):
+                after["address"] = m.end()
+                spans.append((start, m.end(), "address"))
+        elif kind == "account" and at >= after["account"] and not (at and text[at - 1].isalnum()):
             if m := IBAN.match(text, last + 1):
                 if iban_ok(m[1]):
                     after["account"] = m.end()
@@ -107,8 +145,8 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with pii_spans, an array of (start, end, kind) by start and kind; positions in code points, end exclusive.
 
-    Base kinds: email, ip, card, phone. The method adds address (links with user data or a bare address as host, street
-    addresses) and account (IBAN with a right checksum, numbers behind an account cue). One row per input row, in whole texts. A null text is empty; an
+    Base kinds: email, ip, card, phone. The method adds address (links with user data or a bare address as host, house numbers
+    before up to MOST_WORDS capitalised words and a kind of street, street names with a number behind) and account (IBAN with a right checksum, numbers behind an account cue). Schemes, streets and cues count in either case. One row per input row, in whole texts. A null text is empty; an
     empty table gives an empty result; a column named pii_spans is replaced. Narrow: no shuffle, a batch of texts in memory.
     """
     held = docs.drop("pii_spans")
