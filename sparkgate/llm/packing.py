@@ -19,11 +19,13 @@ TOKENIZER = "byte_bpe_50k.json"
 POOL_TOKENS = 1 << 19
 #: Distinct pre-tokens that a worker remembers.
 MEMORY = 1_000_000
+#: Texts on which the cached path must give the library's own ids before it is used.
+PROBES = ("", "Hello, world! It's 12345 o'clock.", "  two  blanks \n\n\tand\ttabs \r\n", "naïve Straße Ελληνικά Привет 日本語 한국어 العربية", "😀👩‍👩‍👧 e\u0301 \u00a0\u200b", "def f(x):\n    return x['a'] + 0x1F  # ünï", "A" * 70 + "aaaa" * 30, "don't WE'LL I'VE 3rd 1,000.50 ---==== <|x|>", "\x00\x7f\x1b")
 
 
 @cache
 def encoder(path: str | None) -> Callable[[str], np.ndarray]:
-    """ids of a text by the tokenizer file. Byte-level BPE files take a cached path of the same ids, others the library's own.
+    """ids of a text by the tokenizer file. Byte-level BPE files take a cached path if it gives the library's ids on PROBES, others the library's own.
 
     path None is the public 50k byte-level vocabulary of the installed tokenizer files.
     """
@@ -36,15 +38,23 @@ def encoder(path: str | None) -> Callable[[str], np.ndarray]:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     plain = spec["model"].get("type") == "BPE" and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not spec.get("normalizer")
+    whole = Tokenizer.from_file(path)
+
+    def library(text: str) -> np.ndarray:
+        return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
     if not plain:
-        whole = Tokenizer.from_file(path)
-        return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return library
     # Byte-level vocabularies write bytes as printable characters; ids of such a vocabulary are its merge ranks.
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letter = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-    ranks = {bytes(letter[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
-    pieces = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    vocabulary = {token: k for token, k in spec["model"]["vocab"].items() if token not in special}
+    if any(c not in letter for token in vocabulary for c in token):
+        return library
+    ranks = {bytes(letter[c] for c in token): k for token, k in vocabulary.items()}
+    # The pattern takes a pre-token whole, as it comes from the split below.
+    pieces = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
     split = regex.compile(public_tokenizers.PATTERN).findall
     marks = regex.compile("|".join(map(regex.escape, special))) if special else None
     known: dict[str, tuple[int, ...]] = {}
@@ -54,7 +64,7 @@ def encoder(path: str | None) -> Callable[[str], np.ndarray]:
         for token in split(text):
             got = known.get(token)
             if got is None:
-                got = tuple(pieces._encode_single_piece(token.encode()))
+                got = tuple(pieces.encode_ordinary(token))
                 if len(token) <= 40 and len(known) < MEMORY:  # what comes early is what comes often
                     known[token] = got
             out.append(got)
@@ -67,7 +77,12 @@ def encoder(path: str | None) -> Callable[[str], np.ndarray]:
             at = m.end()
         return np.array(out + ids(text[at:]) if at or out else ids(text), dtype="<u4")
 
-    return encode
+    texts = [*PROBES, *(f"a{mark} b" for mark in special)]
+    try:
+        same = all(np.array_equal(encode(t), library(t)) for t in texts)
+    except BaseException:  # ids that are no ranks make the cached path panic
+        same = False
+    return encode if same else library
 
 
 class Packer:
@@ -150,7 +165,7 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = (256, 512, 1024, 2048), end_i
 
     Per piece: doc_id, start (the document's ids before it), length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset (in
     the sequence, gapless), context (the window's length) and step_group (sequences of step_tokens window tokens, give or take one
-    window, so that the groups of a partition weigh the same).
+    window, so that the groups of a partition weigh the same but for its last one).
 
     A document is its ids plus end_id (None: no end). A null text is empty; with no end_id an empty document has no piece. Ids of documents may be
     null or repeat: each row is packed for itself. Very long texts are cut into whole windows as they come. An empty table gives an

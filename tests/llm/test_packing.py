@@ -89,3 +89,20 @@ def test_tiers_fill_gaps_and_groups_balance():
         weight[g] += contexts[s]
     whole = [w for g, w in weight.items() if g != max(weight)]
     assert max(whole) - min(whole) <= 2 * 2048
+
+
+def test_ids_that_are_no_ranks_come_from_the_library(tmp_path):
+    import json
+
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab = spec["model"]["vocab"]
+    top = max(vocab.values())
+    spec["model"]["vocab"] = {t: (k if k < 300 else top + 300 - k) for t, k in vocab.items()}
+    path = tmp_path / "turned.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    text = "Hello there, naïve world 123 😀"
+    want = Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+    assert encoder(str(path))(text).tolist() == want != encoder(None)(text).tolist()
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert encoder(other)(text).tolist() == Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids
