@@ -11,14 +11,14 @@ from sparkgate.session import drop_materialized, materialize
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round over edges (v, m) with v > m.
 
-    The minimum per node is a partial aggregate and comes back by an equi-join, so that a node with very many
-    neighbours is split by the skew join instead of meeting in one task.
+    The minimum per node is a partial aggregate, written, and comes back by an equi-join: between two shuffled tables the skew
+    join can split a node with very many neighbours, which it can't where one side is still an aggregate.
     """
     if large:
         both = edges.select(F.col("v").alias("u"), F.col("m").alias("n")).union(edges.select(F.col("m").alias("u"), F.col("v").alias("n")))
     else:
         both = edges.select(F.col("v").alias("u"), F.col("m").alias("n"))
-    least = both.groupBy("u").agg(F.least(F.min("n"), F.first("u")).alias("least"))
+    least = materialize(both.groupBy("u").agg(F.least(F.min("n"), F.first("u")).alias("least")), "least")
     joined = both.join(least, "u")
     if large:
         out = joined.where("n > u").select(F.col("n").alias("v"), F.col("least").alias("m"))
