@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgate.operators.components import connected_components
 from sparkgate.llm.vectors import spanning
-from sparkgate.session import materialize
+from sparkgate.session import drop_materialized, materialize
 
 SHINGLE = 5
 #: The signature: CHUNKS chunks of WIDTH symbols of BITS bits. Each chunk may differ in ERRORS symbols, so all pairs with at most
-#: CHUNKS * (ERRORS + 1) - 1 different symbols share a key. A pair of similarity s misses every key with
-#: probability (1 - s**6 - 6 * (1 - s) * s**5) ** 14: 2.3e-5 at 0.75, 2e-8 at 0.8.
-CHUNKS, WIDTH, ERRORS, BITS = 14, 6, 1, 16
-#: One more bit of each of SKETCH hash functions goes along with the keys; pairs that differ in more than FAR of
-#: them are not confirmed on full sets. At similarity 0.75 the mean is 16 and the standard deviation 3.7.
+#: CHUNKS * (ERRORS + 1) - 1 = 21 of the 55 symbols different share a key, and of the pairs beyond most do: a pair of similarity s misses
+#: every key with probability (1 - s**5 - 5 * (1 - s) * s**4) ** 11: 1.7e-5 at 0.75, 5e-7 at 0.8.
+CHUNKS, WIDTH, ERRORS, BITS = 11, 5, 1, 16
+#: One more bit of each of SKETCH hash functions is compared before full sets are: candidates that differ in more than FAR of them
+#: are given up. A bit differs with probability (1 - s) / 2, so that loses a pair of similarity 0.75 or more with
+#: probability 1.3e-7 at most (far_loss), a hundredth of what the keys miss.
 SKETCH, FAR = 128, 38
 #: Up to how many members a bucket lists its pairs, and the most members that meet on either side of one task.
 FEW, TILE = 16, 1024
@@ -118,33 +121,56 @@ def index_keys(symbols: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
+def far_loss(similarity: float) -> float:
+    """How likely a pair of this similarity differs in more than FAR of SKETCH bits: a binomial tail."""
+    q = (1 - similarity) / 2
+    return sum(comb(SKETCH, k) * q**k * (1 - q) ** (SKETCH - k) for k in range(FAR + 1, SKETCH + 1))
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
 
-    names = ["id", "n", "class", "s1", "s2", "keys"]
+def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, raw, carried ...) as (id, n, class, s1, s2, symbols, carried ...)."""
     for batch in batches:
+        names = [batch.schema.names[0], "n", "class", "s1", "s2", "symbols", *batch.schema.names[2:]]
         for part in range(0, batch.num_rows, 300):
             rows = batch.slice(part, 300)
             sets = [shingle_hashes(x or b"") for x in rows.column(1).to_pylist()]
             full = [k for k, s in enumerate(sets) if len(s)]
-            keys = np.zeros((len(sets), 0), dtype=np.int64)
+            symbols: list[bytes | None] = [None] * len(sets)
             sketch = np.zeros((len(sets), 2), dtype=np.int64)
             if full:
-                symbols, bits = signatures([sets[k] for k in full])
-                keys, sketch[full] = index_keys(symbols).view(np.int64), bits.view(np.int64)
-            sizes = [keys.shape[1] if len(s) else 0 for s in sets]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys.ravel()))
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), lists], names=names)
+                own, bits = signatures([sets[k] for k in full])
+                sketch[full] = bits.view(np.int64)
+                for k, x in zip(full, own.astype("<u2")):
+                    symbols[k] = x.tobytes()
+            digest = [_digest(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), pa.array(symbols, pa.binary()), *rows.columns[2:]], names=names)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, symbols) as (node, key), a row per index key."""
+    for batch in batches:
+        for part in range(0, batch.num_rows, 2000):
+            rows = batch.slice(part, 2000)
+            symbols = np.frombuffer(b"".join(rows.column(1).to_pylist()), dtype="<u2").reshape(-1, CHUNKS * WIDTH)
+            keys = index_keys(symbols.astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows.column(0).to_numpy(), keys.shape[1])), pa.array(keys.ravel())], names=["node", "key"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(raw, class, node, cluster, parts) as (node, cluster, parts, set): rows whose text is not of that class are another row of the same id."""
     for batch in batches:
-        for part in range(0, batch.num_rows, 500):
-            rows = batch.slice(part, 500)
-            sets = [shingle_hashes(x or b"").view(np.int64) for x in rows.column(1).to_pylist()]
-            flat = pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets]))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), flat)], names=["id", "set"])
+        for part in range(0, batch.num_rows, 300):
+            rows = batch.slice(part, 300)
+            sets = [shingle_hashes(x or b"") for x in rows.column(0).to_pylist()]
+            own = [k for k, (s, c) in enumerate(zip(sets, rows.column(1).to_pylist())) if _digest(s) == c]
+            flat = pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *[sets[k] for k in own]]).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(sets[k]) for k in own])]), pa.int32()), flat)
+            at = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(2).take(at), rows.column(3).take(at), rows.column(4).take(at), lists], names=["node", "cluster", "parts", "set"])
 
 
 def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -205,67 +231,87 @@ def _links_in_cluster(percent: int):
     return run
 
 
-def _tiles(rows: DataFrame, key: str, parts: DataFrame, *carried: str) -> DataFrame:
-    """rows dealt into tiles (q, t), q <= t, of their key's group: parts gives how many rows of tiles a group has, one if it isn't listed.
+def _tiles(rows: DataFrame, key: str, *carried: str) -> DataFrame:
+    """rows (key, node, parts, carried ...) dealt into tiles (q, t), q <= t, of their key's group: parts is how many rows of tiles the group has.
 
     A row is a query in the tiles of its own part with all later ones, and a target in those of its own part with all earlier ones.
     """
-    dealt = rows.join(parts, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     tile = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("own")).alias("q"), F.greatest(p, F.col("own")).alias("t"), (p >= F.col("own")).alias("query"), (p <= F.col("own")).alias("target")))
-    return dealt.select(key, "id", *carried, F.explode(tile).alias("p")).select(key, "id", *carried, "p.*")
+    return dealt.select(key, F.col("node").alias("id"), *carried, F.explode(tile).alias("p")).select(key, "id", *carried, "p.*")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of docs.
+def _parts(n: str) -> Column:
+    return F.ceil(F.col(n) / TILE).cast("int").alias("parts")
 
-    Documents are linked when 100 * intersection >= percent * union of their sets of 5-word shingles; component_id is the smallest
-    id reachable over links and kept says that it is the document's own.
 
-    1. Documents with equal sets form a class; its smallest id stands for it. Classes are linked by definition.
-    2. Each representative has a signature. Its chunks, each with every choice of ERRORS symbols left out, are the keys of a
-       multi-index: a pair within the signature distance of CHUNKS * (ERRORS + 1) - 1 shares one.
-    3. Pairs that share a key and differ in at most FAR sketch bits are candidates. Buckets of at most FEW members list their pairs, at
+def near_duplicates(docs: DataFrame, percent: int = 75, text_col: str = "text", id_col: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, chosen) and the carried columns per row of docs.
+
+    Documents are linked when 100 * intersection >= percent * union of their sets of 5-word shingles; component_id is the smallest
+    id reachable over links and kept says that it is the document's own. chosen is true for one row of each group: the one with that
+    id, or one of them if it repeats.
+
+    1. Rows with equal sets form a class, of which one row is the node. Classes are linked by definition.
+    2. Each node has a signature. Its chunks, each with every choice of ERRORS symbols left out, are the keys of a
+       multi-index: a pair within the signature distance of CHUNKS * (ERRORS + 1) - 1 shares one. Keys are counted in a partial
+       aggregate; only those that nodes share are joined back, so a hot key is split by the skew join.
+    3. Pairs that share a key and differ in at most FAR sketch bits (see far_loss) are candidates. Buckets of at most FEW members list their pairs, at
        most FEW - 1 per member; larger ones send a spanning forest of theirs, made in tiles of TILE by TILE. Connected candidates form a cluster.
     4. The full sets of each cluster meet, in tiles again, and all links within a tile are found from its inverted index; a tile sends a
        spanning forest of its links.
 
     So no link is left out between documents that are candidates or connected by candidates, none is false, and what is sent grows with the members of a group, not with
-    its pairs. Full sets are made again from the texts of clustered documents only.
+    its pairs. Full sets are made again from the texts of clustered nodes only: texts are shuffled once, at any size.
 
-    An id that is null has component null and is kept. A null or wordless text has no shingles and no links. Rows
-    that repeat an id give repeated rows; if their texts differ the first read stands for the id in step 4. An empty table gives an empty
+    Rows stand for themselves: a repeated id with another text is another row. An id that is null has component null, links with nothing and is kept and
+    chosen. A null or wordless text has no shingles and no links, and is chosen. An empty table gives an empty
     result. Other columns of docs are not carried.
     """
-    read = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
-    base = materialize(read.mapInArrow(_prepare, "id long, n long, class binary, s1 long, s2 long, keys array<long>"), "signatures")
-    known = base.where("n > 0 and id is not null")
-    classes = materialize(known.groupBy("class").agg(F.min("id").alias("rep")), "classes")
-    reps = known.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    keyed = reps.select("id", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    sketches = known.select("id", "s1", "s2").dropDuplicates(["id"])
-    members = materialize(shared.join(sketches, "id"), "buckets")
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("raw"), *[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(carried)])
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in read.schema.fields[2:])
+    rows = read.mapInArrow(_prepare, f"id long, n long, class binary, s1 long, s2 long, symbols binary{kinds}")
+    base = materialize(rows.withColumn("class", F.when(F.col("id").isNotNull(), F.col("class"))).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    least = F.min(F.struct("id", F.col("row").alias("node"), "s1", "s2", "symbols")).alias("x")
+    classes = materialize(base.where("class is not null").groupBy("class").agg(least).select("class", "x.*"), "classes")
+
+    keyed = classes.select("node", "symbols").mapInArrow(_keys, "node long, key long")
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    members = materialize(keyed.join(shared, "key").join(classes.select("node", "s1", "s2"), "node"), "buckets")
     few = members.where(F.col("n") <= FEW)
     x, y = few.alias("x"), few.alias("y")
     differ = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
-    listed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (differ <= FAR)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    many = members.where(F.col("n") > FEW)
-    wide = materialize(many.where(F.col("n") > TILE).groupBy("key").agg(F.ceil(F.max("n") / TILE).cast("int").alias("parts")), "wide")
-    forests = _tiles(many.select("key", "id", "s1", "s2"), "key", wide, "s1", "s2").groupBy("key", "q", "t").applyInArrow(_near_in_bucket, "a long, b long")
-    clusters = materialize(connected_components(listed.union(forests).distinct()), "clusters")
-    raw = read.join(clusters.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    sets = raw.mapInArrow(_sets, "id long, set array<long>").join(clusters.withColumnRenamed("component", "cluster"), "id")
-    big = materialize(clusters.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("cluster", F.ceil(F.col("n") / TILE).cast("int").alias("parts")), "big")
-    links = _tiles(sets, "cluster", big, "set").groupBy("cluster", "q", "t").applyInArrow(_links_in_cluster(percent), "a long, b long")
-    copies = known.join(classes, "class").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    parts = connected_components(links.union(copies))
-    out = base.select("id", "n").join(parts.withColumnRenamed("component", "_c"), "id", "left")
-    component = F.coalesce("_c", "id")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    listed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (differ <= FAR)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    many = members.where(F.col("n") > FEW).select("key", "node", "s1", "s2", _parts("n"))
+    forests = _tiles(many, "key", "s1", "s2").groupBy("key", "q", "t").applyInArrow(_near_in_bucket, "a long, b long")
+    clusters = materialize(connected_components(listed.union(forests).distinct()).select(F.col("id").alias("node"), F.col("component").alias("cluster")), "clusters")
+    drop_materialized(members)
+    drop_materialized(shared)
+
+    big = materialize(clusters.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("cluster", _parts("n")), "big")
+    sized = clusters.join(big, "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    wanted = materialize(sized.join(classes.select("node", "id", "class"), "node"), "wanted")
+    # The merge hint keeps the plan the same at every size: texts are sent once, to the few columns about them.
+    found = read.select("id", "raw").join(wanted.hint("merge"), read["id"] == wanted["id"]).select("raw", "class", "node", "cluster", "parts")
+    sets = found.mapInArrow(_sets, "node long, cluster long, parts int, set array<long>")
+    links = _tiles(sets, "cluster", "set").groupBy("cluster", "q", "t").applyInArrow(_links_in_cluster(percent), "a long, b long")
+    parts = connected_components(links).withColumnRenamed("id", "node")
+
+    # The least of a component, then the component of each class.
+    own = F.struct("id", "node").alias("own")
+    known = classes.select("class", "node", own).join(parts, "node", "left")
+    lowest = known.where("component is not null").groupBy("component").agg(F.min("own").alias("low"))
+    named = materialize(known.join(lowest, "component", "left").select("class", F.coalesce("low", "own").alias("low")).select(F.col("class").alias("_class"), F.col("low.id").alias("_low"), F.col("low.node").alias("_first")), "named")
+    for table in (classes, clusters, big, wanted):
+        drop_materialized(table)
+    out = base.join(named, F.col("class") == F.col("_class"), "left")
+    component = F.when(F.col("_class").isNull(), F.col("id")).otherwise(F.col("_low"))
+    chosen = F.col("_class").isNull() | (F.col("row") == F.col("_first"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"), chosen.alias("chosen"), *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carried)])
 
 
 def op6_hamming_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("chosen")
 
 
 OP6_SQL = r"""

@@ -80,9 +80,39 @@ def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(5, text), (5, text), (None, text), (9, text), (2, None)], "doc_id long, text string")
     got = near_duplicates(docs).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (2, 2, True), (5, 5, True), (5, 5, True), (9, 5, False)]
+    assert sum(r.chosen for r in got if r.doc_id == 5) == 1 and sum(r.chosen for r in got) == 3
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_an_id_with_two_texts(spark):
+    a, b = " ".join(map(str, range(60))), " ".join(f"b{k}" for k in range(60))
+    docs = spark.createDataFrame([(5, a, 1), (5, b, 2), (7, a + " x", 3), (8, b + " x", 4), (9, a, 5), (10, b, 6)], "doc_id long, text string, n long")
+    got = near_duplicates(docs, carried=("n",)).collect()
+    assert {r.component_id for r in got} == {5} and sorted(r.n for r in got if r.chosen) == [1, 2]
+
+
+def test_sketch_loses_less_than_the_keys():
+    assert minhash.far_loss(0.75) < 2e-7 and minhash.far_loss(0.8) < 1e-9
+    assert all(minhash.far_loss(s / 100) <= minhash.far_loss(0.75) for s in range(75, 101))
+
+
+def test_near_pairs_are_found(spark):
+    """Many pairs of similarity 0.75 to 0.8, the hardest for the index."""
+    rng = random.Random(5)
+    docs, want = [], set()
+    for k in range(1500):
+        words = [f"{k}_{i}" for i in range(rng.randrange(60, 120))]
+        other = list(words)
+        for _ in range(rng.choice((1, 2, 3))):
+            other[rng.randrange(len(other))] = "z"
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        x, y = shingles(docs[-2][1]), shingles(docs[-1][1])
+        if 75 <= 100 * len(x & y) / len(x | y) <= 80:
+            want.add(k)
+    got = {r.doc_id // 2 for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).where("not kept").collect()}
+    assert len(want) > 200 and want <= got
+
+
 def test_query_matches_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
