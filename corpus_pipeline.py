@@ -26,13 +26,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Rows that repeat an id are copies too, and one of them stays. Rows with a null id are in no group and stay.
+    Rows that repeat an id with another text are documents of their own; of rows that repeat id and text one stays. Rows with a null id are in no
+    group and stay. Texts are shuffled once here and once for their full sets, at any size.
     """
-    kept = near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    kept = materialize(kept, "kept")
-    stay = docs.join(kept.where("_n = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(kept.where("_n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    text = F.when(F.col("text").isNull(), "-").otherwise(F.concat(F.lit(":"), "text"))
+    keyed = docs.withColumn("_key", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text), 256))
+    chosen = materialize(near_duplicates(keyed, carried=("_key",)).where("chosen").select("_key"), "chosen")
+    one = keyed.where("doc_id is not null").join(chosen.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"])
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
