@@ -17,41 +17,54 @@ from pyspark.sql import functions as F
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces that share a drain of the pools: bounds what a task holds, in tokens.
 POOL_TOKENS = 1 << 19
-#: Distinct pre-tokens that a worker remembers.
-MEMORY = 1_000_000
+#: Distinct pre-tokens that a worker remembers, some 100 MB of them.
+MEMORY = 250_000
 #: Texts on which the cached path must give the library's own ids before it is used.
 PROBES = ("", "Hello, world! It's 12345 o'clock.", "  two  blanks \n\n\tand\ttabs \r\n", "naïve Straße Ελληνικά Привет 日本語 한국어 العربية", "😀👩‍👩‍👧 e\u0301 \u00a0\u200b", "def f(x):\n    return x['a'] + 0x1F  # ünï", "A" * 70 + "aaaa" * 30, "don't WE'LL I'VE 3rd 1,000.50 ---==== <|x|>", "\x00\x7f\x1b")
 
 
 @cache
-def encoder(path: str | None) -> Callable[[str], np.ndarray]:
-    """ids of a text by the tokenizer file. Byte-level BPE files take a cached path if it gives the library's ids on PROBES, others the library's own.
+def cached_path_holds(path: str | None) -> bool:
+    """Does the cached path give the library's own ids on PROBES? Asked once, before tasks start, so that workers don't hold the library's tokenizer beside it."""
+    whole, encode = library(path), encoder(path, True)
+    try:
+        return encode is not None and all(np.array_equal(encode(t), whole(t)) for t in PROBES)
+    except BaseException:  # ids that are no ranks make the cached path panic
+        return False
+
+
+def library(path: str | None) -> Callable[[str], np.ndarray]:
+    """ids of a text by the tokenizer file, by the library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
+    return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+
+@cache
+def encoder(path: str | None, cached: bool) -> Callable[[str], np.ndarray] | None:
+    """ids of a text by the tokenizer file: by a cached path for byte-level BPE files, None for others; or by the library.
 
     path None is the public 50k byte-level vocabulary of the installed tokenizer files.
     """
     import public_tokenizers
     import regex
     import tiktoken
-    from tokenizers import Tokenizer
 
-    path = path or public_tokenizers.path(TOKENIZER)
-    with open(path, encoding="utf-8") as f:
+    if not cached:
+        return library(path)
+    with open(path or public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
         spec = json.load(f)
-    plain = spec["model"].get("type") == "BPE" and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not spec.get("normalizer")
-    whole = Tokenizer.from_file(path)
-
-    def library(text: str) -> np.ndarray:
-        return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    if not plain:
-        return library
+    if not (spec["model"].get("type") == "BPE" and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not spec.get("normalizer")):
+        return None
     # Byte-level vocabularies write bytes as printable characters; ids of such a vocabulary are its merge ranks.
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letter = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     vocabulary = {token: k for token, k in spec["model"]["vocab"].items() if token not in special}
     if any(c not in letter for token in vocabulary for c in token):
-        return library
+        return None
     ranks = {bytes(letter[c] for c in token): k for token, k in vocabulary.items()}
     # The pattern takes a pre-token whole, as it comes from the split below.
     pieces = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
@@ -77,12 +90,7 @@ def encoder(path: str | None) -> Callable[[str], np.ndarray]:
             at = m.end()
         return np.array(out + ids(text[at:]) if at or out else ids(text), dtype="<u4")
 
-    texts = [*PROBES, *(f"a{mark} b" for mark in special)]
-    try:
-        same = all(np.array_equal(encode(t), library(t)) for t in texts)
-    except BaseException:  # ids that are no ranks make the cached path panic
-        same = False
-    return encode if same else library
+    return encode
 
 
 class Packer:
@@ -176,8 +184,10 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = (256, 512, 1024, 2048), end_i
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
+    cached = cached_path_holds(tokenizer_path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(tokenizer_path), Packer(tiers, least_cut, step_tokens)
+        encode, packer = encoder(tokenizer_path, cached), Packer(tiers, least_cut, step_tokens)
         base = TaskContext.get().partitionId() << 33
         end = np.array([] if end_id is None else [end_id], dtype="<u4")
 

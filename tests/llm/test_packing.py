@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sparkgate.llm.packing import TOKENIZER, Packer, encoder, op7_tiered_packing, pack
+from sparkgate.llm.packing import TOKENIZER, Packer, cached_path_holds, encoder, op7_tiered_packing, pack
 
 TIERS = (256, 512, 1024, 2048)
 
@@ -20,7 +20,8 @@ def test_ids_are_those_of_the_tokenizer(spark, whole):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     texts += ["", " ", "a  b\n\n c\t", "it's we'll 12 345 日本語 😀 é x", "a<|endoftext|>b<|endoftext|>", "x" * 500, "\x00\x7f"]
     for t, e in zip(texts, whole.encode_batch(texts, add_special_tokens=False)):
-        assert encoder(None)(t).tolist() == e.ids
+        assert encoder(None, True)(t).tolist() == e.ids
+    assert cached_path_holds(None)
 
 
 def check(rows, docs, most=2048):
@@ -103,6 +104,6 @@ def test_ids_that_are_no_ranks_come_from_the_library(tmp_path):
     path.write_text(json.dumps(spec), encoding="utf-8")
     text = "Hello there, naïve world 123 😀"
     want = Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
-    assert encoder(str(path))(text).tolist() == want != encoder(None)(text).tolist()
+    assert not cached_path_holds(str(path)) and encoder(str(path), False)(text).tolist() == want != encoder(None, True)(text).tolist()
     other = public_tokenizers.path("word_bpe_49k.json")
-    assert encoder(other)(text).tolist() == Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids
+    assert not cached_path_holds(other) and encoder(other, False)(text).tolist() == Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids
