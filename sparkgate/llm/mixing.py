@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkgate.llm.quality import let
 from sparkgate.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -139,9 +140,11 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     plan = draw_plan(_sized(docs, seed, text_col, source_col, id_col), weights, share, most).select("s", "whole", "c", "cut_bin", "cut")
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("held"), F.col(source_col).alias("_source"))
     joined = held.join(plan, F.col("_source").eqNullSafe(F.col("s")))
-    copies = _copies(unit_hash(F.col(f"held.`{id_col}`"), seed), F.col(f"held.`{id_col}`"), size_of(F.col(f"held.`{text_col}`")))
-    many = joined.select("held", copies.alias("copies")).where("copies > 0").select("held", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return many.select("held.*")
+    own = F.struct(unit_hash(F.col(f"held.`{id_col}`"), seed).alias("u"), size_of(F.col(f"held.`{text_col}`")).alias("size"))
+    copies = let(own, lambda x: _copies(x["u"], F.col(f"held.`{id_col}`"), x["size"]))
+    # No filter on the copies, which would count the words anew: a null sequence gives no rows.
+    repeats = let(copies, lambda n: F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))))
+    return joined.select("held", F.explode(repeats).alias("copy")).select("held.*")
 
 
 def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
