@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 from itertools import product
@@ -14,10 +15,14 @@ from pyspark.sql import functions as F
 from sparkgate.operators.components import connected_components
 from sparkgate.session import materialize
 
-#: Blocks of the rotated space, how many leading dimensions of a block make its grid, the grid's cell width in budget
-#: radii, and the most vectors that a task compares at once on either side.
-BLOCKS, GRID, WIDTH, TILE = 4, 3, 2.5, 2048
+#: Blocks of the rotated space, how many leading dimensions of a block make its grid (and how many more split a cell that is too full), the
+#: grid's cell width in budget radii, and the most vectors that a task compares at once on either side.
+BLOCKS, GRID, WIDTH, TILE = 4, 3, 2.5, 4096
 SLACK = 1e-12
+#: What single-precision coordinates may add to a squared distance.
+ROUGH = 1e-6
+KEY = ["label", "dim", "block", "cell"]
+CELL = ", ".join(["label string", "dim int", "block int", "cell long", "home boolean", "node long", "part binary"])
 
 
 @cache
@@ -42,16 +47,22 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _cells(part: np.ndarray, budget: float, grid: int, width: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(rows, cell numbers, home?) of a block: the cell each point is in, then every other cell that its budget ball reaches."""
+def _cells(part: np.ndarray, budget: float, width: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(rows, cell numbers, home?) of a grid: the cell each point is in, then every later cell that its budget ball reaches.
+
+    Of two points within the budget in different cells, exactly one reaches the other's cell as a later one, so each pair meets once.
+    """
     side = width * np.sqrt(budget)
-    x = part[:, :grid] / side
+    x = part / side
     home = np.floor(x)
     below = (x - home) * side
-    for offset in product((0, -1, 1), repeat=x.shape[1]):
+    for offset in product((0, 1, -1), repeat=x.shape[1]):
         o = np.array(offset)
+        first = o[np.flatnonzero(o)[:1]]
+        if len(first) and first[0] < 0:
+            continue
         gap = np.where(o < 0, below, np.where(o > 0, side - below, 0.0))
-        (rows,) = np.nonzero((gap * gap).sum(axis=1) <= budget)
+        (rows,) = np.nonzero((gap * gap).sum(axis=1) <= budget * (1 + 1e-6) + ROUGH)
         if len(rows):
             cell = np.zeros(len(rows), dtype=np.int64)
             for k in range(x.shape[1]):
@@ -60,22 +71,41 @@ def _cells(part: np.ndarray, budget: float, grid: int, width: float) -> Iterator
 
 
 def _spread(least_cosine: float, blocks: int, grid: int, width: float, kind: str):
-    names = ["label", "dim", "block", "cell", "home", "row", "raw"]
+    """(label, node, raw) as a row per block and reached cell, with the coordinates of that block only."""
+    names = [x.split()[0] for x in CELL.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, ids, raws = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            labels, ids, raws = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             by_dim: dict[int, list[int]] = {}
             for k, raw in enumerate(raws):
                 by_dim.setdefault(len(raw) // np.dtype(kind).itemsize, []).append(k)
             for dim, own in by_dim.items():
+                at = np.array(own)
                 rotated = _units(np.frombuffer(b"".join(raws[k] for k in own), dtype=kind).reshape(len(own), dim).astype(np.float64)) @ rotation(dim)
                 for b, (cut, budget) in enumerate(zip(blocks_of(dim, blocks), budgets(dim, blocks, least_cosine))):
-                    for rows, cell, home in _cells(rotated[:, cut], budget, grid, width):
-                        at = [own[r] for r in rows]
-                        n = len(at)
-                        columns = [pa.array([labels[k] for k in at], pa.string()), pa.array([dim] * n, pa.int32()), pa.array([b] * n, pa.int32()), pa.array(cell), pa.array([home] * n), pa.array([ids[k] for k in at], pa.int64()), pa.array([raws[k] for k in at], pa.binary())]
-                        yield pa.RecordBatch.from_arrays(columns, names=names)
+                    parts = [x.tobytes() for x in rotated[:, cut].astype("<f4")]
+                    for rows, cell, home in _cells(rotated[:, cut][:, :grid], budget, width):
+                        n, take = len(rows), pa.array(at[rows])
+                        yield pa.RecordBatch.from_arrays([labels.take(take), pa.array([dim] * n, pa.int32()), pa.array([b] * n, pa.int32()), pa.array(cell), pa.array([home] * n), ids.take(take), pa.array([parts[r] for r in rows], pa.binary())], names=names)
+
+    return run
+
+
+def _split(least_cosine: float, blocks: int, grid: int, width: float):
+    """Rows of cells that are too full with inner and inner_home: a grid over the next dimensions of the block, by the same rule."""
+    names = [*(x.split()[0] for x in CELL.split(", ")), "inner", "inner_home"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, numbers = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for dim, block in set(zip(dims.tolist(), numbers.tolist())):
+                (own,) = np.nonzero((dims == dim) & (numbers == block))
+                raw = batch.column(6).take(pa.array(own)).to_pylist()
+                part = np.frombuffer(b"".join(raw), dtype="<f4").reshape(len(own), -1)[:, grid : 2 * grid].astype(np.float64)
+                cells = _cells(part, budgets(dim, blocks, least_cosine)[block], width) if part.shape[1] else [(np.arange(len(own)), np.zeros(len(own), dtype=np.int64), True)]
+                for rows, cell, home in cells:
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(own[rows])) for c in batch.columns), pa.array(cell), pa.array([home] * len(rows))], names=names)
 
     return run
 
@@ -94,58 +124,100 @@ def spanning(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _tile(least_cosine: float, blocks: int, kind: str):
-    """Range join of one tile in its block, then the exact check of the candidates: link counts of the queries and a spanning forest of the links."""
+TILED = ["label", "dim", "block", "cell", "inner", "q", "t"]
+ROLES = ["home", "inner_home", "own", "node"]
+
+
+def _near(table: pa.Table, part: np.ndarray, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (u, v) of places of a tile within the budget in its block, each pair of the tile once.
+
+    Pairs are of one vector of row q and one of row t of the tiles. Two that only visit the cell meet elsewhere.
+    """
+    own, q, t = table["own"].to_numpy(), table["q"][0].as_py(), table["t"][0].as_py()
+    home, inner = (table[c].to_numpy(zero_copy_only=False) for c in ("home", "inner_home"))
+    left, right = np.flatnonzero(own == q), np.flatnonzero(own == t)
+    square = (part * part).sum(axis=1)
+    for k in range(0, len(left), 512):
+        u = left[k : k + 512]
+        near = square[u][:, None] + square[right][None, :] - 2 * part[u] @ part[right].T <= budget + ROUGH
+        near &= (home[u][:, None] | home[right][None, :]) & (inner[u][:, None] | inner[right][None, :])
+        if q == t:
+            near &= u[:, None] < right[None, :]
+        i, j = np.nonzero(near)
+        for s in range(0, len(i), 1 << 16):
+            yield u[i[s : s + (1 << 16)]], right[j[s : s + (1 << 16)]]
+
+
+def _candidates(least_cosine: float, blocks: int):
+    """Range join of one tile in its block: the vectors that are within the budget of another one."""
 
     def run(table: pa.Table) -> pa.Table:
         dim, block = table["dim"][0].as_py(), table["block"][0].as_py()
-        row = table["row"].to_numpy()
-        query, target = (np.flatnonzero(table[c].to_numpy(zero_copy_only=False)) for c in ("query", "target"))
-        x = np.frombuffer(b"".join(table["raw"].to_pylist()), dtype=kind).reshape(len(row), dim).astype(np.float64)
-        unit = _units(x)
+        part = np.frombuffer(b"".join(table["part"].to_pylist()), dtype="<f4").reshape(table.num_rows, -1)
+        some = np.zeros(table.num_rows, dtype=bool)
+        for u, v in _near(table, part, budgets(dim, blocks, least_cosine)[block]):
+            some[u] = some[v] = True
+        return table.select([*TILED, *ROLES]).filter(pa.array(some))
+
+    return run
+
+
+def _links(least_cosine: float, blocks: int, kind: str):
+    """The exact check of the candidates of one tile: how many links each vector has there, and a spanning forest of them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        dim, block = table["dim"][0].as_py(), table["block"][0].as_py()
+        node, copies = table["node"].to_numpy(), table["copies"].to_numpy()
+        unit = _units(np.frombuffer(b"".join(table["raw"].to_pylist()), dtype=kind).reshape(len(node), dim).astype(np.float64))
         rotated = unit @ rotation(dim)
         cuts, budget = blocks_of(dim, blocks), budgets(dim, blocks, least_cosine)
-        part = rotated[:, cuts[block]]
-        square = (part * part).sum(axis=1)
-        count = np.zeros(len(row), dtype=np.int64)
-        us, vs = [], []
-        for k in range(0, len(query), 512):
-            q = query[k : k + 512]
-            near = square[q][:, None] + square[target][None, :] - 2 * part[q] @ part[target].T <= budget[block] + 1e-9
-            i, j = np.nonzero(near)
-            for s in range(0, len(i), 1 << 16):
-                u, v = q[i[s : s + (1 << 16)]], target[j[s : s + (1 << 16)]]
-                keep = row[u] != row[v]
-                u, v = u[keep], v[keep]
-                keep = (unit[u] * unit[v]).sum(axis=1) >= least_cosine
-                u, v = u[keep], v[keep]
-                # A pair belongs to the first block in which it is within the budget.
-                gap = (rotated[u] - rotated[v]) ** 2
-                inside = np.stack([gap[:, c].sum(axis=1) <= b for c, b in zip(cuts[: block + 1], budget)]) if len(u) else np.zeros((block + 1, 0), dtype=bool)
-                keep = inside[block] & ~inside[:block].any(axis=0)
-                u, v = u[keep], v[keep]
-                count += np.bincount(u, minlength=len(row))
-                us.append(u)
-                vs.append(v)
-        none = np.zeros(0, dtype=np.int64)
-        root = spanning(np.concatenate([none, *us]), np.concatenate([none, *vs]), len(row))
+        count = np.zeros(len(node), dtype=np.int64)
+        us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for u, v in _near(table, rotated[:, cuts[block]], budget[block]):
+            keep = (unit[u] * unit[v]).sum(axis=1) >= least_cosine
+            u, v = u[keep], v[keep]
+            # A pair belongs to the first block in which it is within the budget.
+            gap = (rotated[u] - rotated[v]) ** 2
+            inside = np.stack([gap[:, c].sum(axis=1) <= b for c, b in zip(cuts[: block + 1], budget)]) if len(u) else np.zeros((block + 1, 0), dtype=bool)
+            keep = inside[block] & ~inside[:block].any(axis=0)
+            u, v = u[keep], v[keep]
+            np.add.at(count, u, copies[v])
+            np.add.at(count, v, copies[u])
+            us.append(u)
+            vs.append(v)
+        root = spanning(np.concatenate(us), np.concatenate(vs), len(node))
         (linked,) = np.nonzero(count)
-        (child,) = np.nonzero(root != np.arange(len(row)))
-        return pa.table({"a": pa.array(np.concatenate([row[linked], row[child]])), "b": pa.array(np.concatenate([count[linked], row[root[child]]])), "link": pa.array(np.concatenate([np.zeros(len(linked), dtype=bool), np.ones(len(child), dtype=bool)]))})
+        (child,) = np.nonzero(root != np.arange(len(node)))
+        return pa.table({"a": pa.array(np.concatenate([node[linked], node[child]])), "b": pa.array(np.concatenate([count[linked], node[root[child]]])), "link": pa.array(np.concatenate([np.zeros(len(linked), dtype=bool), np.ones(len(child), dtype=bool)]))})
 
     return run
 
 
+def _tiled(cells: DataFrame, least_cosine: float, blocks: int, grid: int, width: float, tile: int) -> DataFrame:
+    """cells as tiles: TILED, ROLES and part. Cells of more than `tile` vectors are split by an inner grid, and what is still too full is dealt to a triangle of tiles."""
+    hot = materialize(cells.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") > tile).drop("n"), "hot")
+    plain = cells.withColumns({"inner": F.lit(0).cast("long"), "inner_home": F.lit(True), "q": F.lit(0), "t": F.lit(0), "own": F.lit(0)}).select(*TILED, *ROLES, "part")
+    if hot.isEmpty():
+        return plain
+    full = cells.join(hot, KEY, "left_semi").select(*[x.split()[0] for x in CELL.split(", ")])
+    full = materialize(full.mapInArrow(_split(least_cosine, blocks, grid, width), f"{CELL}, inner long, inner_home boolean"), "full")
+    parts = full.groupBy(*KEY, "inner").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts")).where("parts > 1")
+    dealt = full.join(materialize(parts, "parts"), [*KEY, "inner"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("own")).alias("q"), F.greatest(p, F.col("own")).alias("t")))
+    tiles = dealt.withColumn("p", F.explode(pairs)).select(*KEY, "inner", "p.q", "p.t", *ROLES, "part")
+    return plain.join(hot, KEY, "left_anti").select(*tiles.columns).unionByName(tiles)
+
+
 def near_vectors(vectors: DataFrame, least_cosine: float = 0.98, blocks: int = BLOCKS, grid: int = GRID, width: float = WIDTH, tile: int = TILE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row: links are pairs of equal labels with cosine >= least_cosine in double precision.
 
-    Unit vectors are turned by a fixed rotation and split into blocks. A linked pair is within its proportional squared-distance
-    budget in at least one block, so each block is range-joined alone: a grid over the block's leading dimensions brings together a vector's
-    cell with all vectors whose budget ball reaches it, and what is within the budget is checked on the whole vectors. A pair counts in the first block
-    that finds it.
-
-    Cells with many vectors are dealt out into tiles of about `tile` by `tile` vectors. A tile sends one count per vector and a
-    spanning forest of its links, never its pairs.
+    1. Equal vectors of a label are one node with a number of copies, so copies are never compared.
+    2. Unit vectors are turned by a fixed rotation and split into blocks. A linked pair is within its proportional squared-distance
+       budget in at least one block, so each block is range-joined alone: a grid over the block's leading dimensions brings together a vector's
+       cell with the vectors whose budget ball reaches it. Only the block's coordinates travel. Cells that are too full are split by a
+       grid over the next dimensions, and what is still too full is dealt to tiles of about `tile` by `tile` vectors.
+    3. Whole vectors travel for nodes within the budget of another one only. The exact check counts a pair in the first block that finds
+       it. A tile sends one count per node and a spanning forest of its links, never its pairs.
 
     component_id is the smallest vec_id reachable over links, kept says that it is the vector's own. Null, empty and zero vectors, and those
     with null or non-finite components, link with nothing, as do null labels and vectors of different lengths. Rows that repeat an id are vectors of
@@ -156,34 +228,33 @@ def near_vectors(vectors: DataFrame, least_cosine: float = 0.98, blocks: int = B
     vector = F.col(vector_col).cast(f"array<{element}>")
     numbers = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col(label_col).isNotNull() & vector.isNotNull() & (F.size(vector) > 0) & numbers & F.exists(vector, lambda x: x != 0)
-    base = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.when(F.coalesce(usable, F.lit(False)), vector).alias("v"))
+    read = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.when(F.coalesce(usable, F.lit(False)), vector).alias("v"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            labels = batch.column(2).to_pylist()
             raw = [None if v is None else np.array(v, dtype=kind).tobytes() for v in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raw, pa.binary())], names=["row", "vec_id", "label", "raw"])
-
-    base = materialize(base.mapInArrow(packed, "row long, vec_id long, label string, raw binary"), "vectors")
-    schema = "label string, dim int, block int, cell long, home boolean, row long, raw binary"
-    cells = base.where("raw is not null").select("label", "row", "raw").mapInArrow(_spread(least_cosine, blocks, grid, width, kind), schema)
-    key = ["label", "dim", "block", "cell"]
-    full = materialize(cells.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > tile).withColumn("parts", F.ceil(F.col("n") / tile).cast("int")).drop("n"), "cells")
-    dealt = cells.join(full, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    # A vector is a query in the tiles of its own row, if the cell is its home, and a target in those of its own column.
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
-    as_query = F.transform(F.filter(others, lambda p: F.col("home")), lambda p: F.struct(F.col("own").alias("q"), p.alias("t"), F.lit(True).alias("query"), (p == F.col("own")).alias("target")))
-    as_target = F.transform(F.filter(others, lambda p: ~F.col("home") | (p != F.col("own"))), lambda p: F.struct(p.alias("q"), F.col("own").alias("t"), F.lit(False).alias("query"), F.lit(True).alias("target")))
-    tiles = dealt.select(*key, "row", "raw", F.explode(F.concat(as_query, as_target)).alias("p")).select(*key, "row", "raw", "p.*")
-    found = tiles.groupBy(*key, "q", "t").applyInArrow(_tile(least_cosine, blocks, kind), "a long, b long, link boolean")
+            digest = [None if r is None else hashlib.blake2b(x.encode() + b"\0" + r, digest_size=16).digest() for x, r in zip(labels, raw)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raw, pa.binary()), pa.array(digest, pa.binary())], names=["row", "vec_id", "label", "raw", "class"])
+
+    base = materialize(read.mapInArrow(packed, "row long, vec_id long, label string, raw binary, class binary"), "vectors")
+    nodes = base.where("class is not null").groupBy("class").agg(F.min(F.struct("row", "label", "raw")).alias("x"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    nodes = materialize(nodes.select("class", F.col("x.row").alias("node"), "x.label", "x.raw", "least", "copies"), "nodes")
+    cells = nodes.select("label", "node", "raw").mapInArrow(_spread(least_cosine, blocks, grid, width, kind), CELL)
+    tiles = _tiled(cells, least_cosine, blocks, grid, width, tile)
+    roles = "label string, dim int, block int, cell long, inner long, q int, t int, home boolean, inner_home boolean, own int, node long"
+    near = tiles.groupBy(*TILED).applyInArrow(_candidates(least_cosine, blocks), roles)
+    found = near.join(nodes.select("node", "raw", "copies"), "node").groupBy(*TILED).applyInArrow(_links(least_cosine, blocks, kind), "a long, b long, link boolean")
     found = materialize(found, "found")
-    counts = found.where("not link").groupBy(F.col("a").alias("row")).agg(F.sum("b").alias("n_links"))
-    parts = materialize(connected_components(found.where("link").select("a", "b")).withColumnRenamed("id", "row"), "parts")
-    ids = base.select("row", "vec_id")
-    least = parts.join(ids, "row").groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    named = parts.join(least, "component").select("row", "component_id")
-    out = ids.join(counts, "row", "left").join(named, "row", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
+    counts = found.where("not link").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
+    parts = materialize(connected_components(found.where("link").select("a", "b")).withColumnRenamed("id", "node"), "parts")
+    known = nodes.select("class", "node", "least", "copies").join(parts, "node", "left").join(counts, "node", "left")
+    lowest = known.where("component is not null").groupBy("component").agg(F.min("least").alias("low"))
+    links = F.coalesce("others", F.lit(0)) + F.col("copies") - 1
+    named = known.join(lowest, "component", "left").select(F.col("class").alias("_class"), links.alias("_links"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("low")).alias("_low"))
+    out = base.select("vec_id", "class").join(named, F.col("class") == F.col("_class"), "left")
+    component = F.coalesce("_low", "vec_id")
+    return out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
 
 
 def op1_subspace_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,27 @@ def test_double_vectors_and_empty_table(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_many_near_vectors_of_one_label(spark):
+    """50,000 vectors that all link: copies are counted, not compared. Then 20,000 in groups of four, so many that cells split."""
+    rng = np.random.default_rng(6)
+    near = rng.standard_normal(32) + rng.standard_normal((1000, 32)) * 0.02
+    rows = [(k, near[k % 1000].tolist(), 1) for k in range(50_000)]
+    centres = np.repeat(rng.standard_normal((5000, 32)), 4, axis=0) + rng.standard_normal((20_000, 32)) * 1e-3
+    rows += [(100_000 + k, c.tolist(), 2) for k, c in enumerate(centres)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), tile=1500).collect()
+    assert len(got) == 70_000
+    for r in got:
+        assert (r.n_links, r.component_id) == ((49_999, 0) if r.vec_id < 50_000 else (3, 100_000 + (r.vec_id - 100_000) // 4 * 4))
+
+
+def test_very_long_vectors(spark):
+    rng = np.random.default_rng(2)
+    one = rng.standard_normal(4096)
+    rows = [(1, one.tolist(), 1), (2, (one + 0.01 * rng.standard_normal(4096)).tolist(), 1), (3, rng.standard_normal(4096).tolist(), 1), (4, [1.0], 1), (5, [2.0], 1)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 1, 4), (5, 1, 4)]
+
+
 def test_query_matches_sql(spark):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
