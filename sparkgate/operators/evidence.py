@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkgate.operators.rank import global_rank
+from sparkgate.session import materialize
+
 #: Requests of one stage that run at once.
 CONCURRENCY = 8
 
@@ -63,9 +66,11 @@ def coverage_problems(needed: DataFrame, given: DataFrame) -> DataFrame:
 
 
 def order_violations(rows: DataFrame, at: str, key: str) -> DataFrame:
-    """Rows whose key is not greater than the key of the row before. Positions `at` are whole and without gaps, so the row before is an equi-join and not a sort in one task."""
-    before = rows.select((F.col(at) + 1).alias(at), F.col(key).alias("_before"))
-    return rows.join(before, at).where(F.col("_before") >= F.col(key)).drop("_before")
+    """Rows whose key is not greater than the key of the row before, in the order of at. at tells rows apart; gaps in it don't matter: rows
+    are ranked first, so that the row before is an equi-join and not a sort in one task."""
+    ranked = materialize(global_rank(rows, at, "_rank"), "ranked")
+    before = ranked.select((F.col("_rank") + 1).alias("_rank"), F.col(key).alias("_before"))
+    return ranked.join(before, "_rank").where(F.col("_before") >= F.col(key)).drop("_before", "_rank")
 
 
 def field_names(rows: DataFrame, json_col: str) -> DataFrame:

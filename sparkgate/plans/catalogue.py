@@ -167,11 +167,6 @@ def i02(spark, sf):
     return inputs.half_split(table(spark, sf, "documents").select(F.sha2("text", 256).alias("hash")).distinct())
 
 
-def i03(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("text").alias("input"), F.sha2("text", 256).alias("hash"))
-    return inputs.verify_split(docs.join(i02(spark, sf), "hash"))
-
-
 def i04(spark, sf):
     return inputs.strata_batches(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("stratum")).distinct(), 123)
 
@@ -182,10 +177,6 @@ def i05(spark, sf):
     return e.select("event_id", inputs.invalid_reason(state, {"k": ("integer", True)}).alias("invalid_reason"))
 
 
-def i06(spark, sf):
-    return inputs.unknown_keys(table(spark, sf, "customer"), "c_custkey", table(spark, sf, "orders"), "o_custkey")
-
-
 def i07(spark, sf):
     return inputs.select_capped(table(spark, sf, "supplier"), F.col("s_acctbal") > 1000, ["s_nationkey", "s_suppkey"], 25).select(F.col("s_suppkey").alias("id"), "selected", "skip_reason")
 
@@ -200,7 +191,7 @@ def j01(spark, sf):
 
 def j02(spark, sf):
     d = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.sha2("p_name", 256).alias("revision"))
-    p = table(spark, sf, "part").where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("id"), F.sha2(F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).otherwise(F.col("p_name")), 256).alias("revision"))
+    p = table(spark, sf, "part").select(F.when(F.col("p_partkey") % 4 == 0, -F.col("p_partkey") - 1).otherwise(F.col("p_partkey")).alias("id"), F.sha2(F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).otherwise(F.col("p_name")), 256).alias("revision"))
     return judge.policy_state(d, p)
 
 
@@ -228,11 +219,6 @@ def tries(spark, sf):
 
 
 def j06(spark, sf):
-    """Only the first 2,000 events, which is what its SQL covers; j06_full takes all."""
-    return judge.admit(tries(spark, sf).where("seq < 2000"), 100_000).select("run", F.col("seq").alias("event_id"), "admitted")
-
-
-def j06_full(spark, sf):
     return judge.admit(tries(spark, sf), 100_000).select("run", F.col("seq").alias("event_id"), "admitted")
 
 
@@ -240,18 +226,6 @@ def j07(spark, sf):
     return attempts(spark, sf).select(judge.failure_class(F.col("status"), F.col("event_id") % 2 == 0).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
 
 
-PROMPTS = [
-    (1, "Answer yes or no."), (2, "Reply true/false only"), (3, "Choose from: red, green or blue."), (4, "Please classify the ticket."),
-    (5, "Rate the text from 1 to 5"), (6, "Give one word."), (7, "Rate it 5 to 1"), (8, "one of the apples"), (9, "Write a poem"), (10, "Pick from the following: a | b | c; exactly one-word"),
-]
-
-
-def t01(spark, sf):
-    rows = spark.createDataFrame(PROMPTS, "id int, text string")
-    s = T.prompt_signals(F.col("text"))
-    return rows.select("id", F.array_join(s, ";").alias("signals"), T.implied_space(s).alias("space"))
-
-
 def t02(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.regexp_replace("text", T.HEX_LITERAL, "$1" + T.REDACTED + "$2"), 256).alias("redacted_sha256"))
 
@@ -276,11 +250,6 @@ def t05(spark, sf):
     return p.select("page_id", F.array_join(T.imported_packages(F.col("s")), ",").alias("packages"))
 
 
-def part_edges(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_linenumber = 1 and l_orderkey % 3 = 0")
-    return li.select(F.col("l_partkey").cast("long").alias("src"), ((F.col("l_partkey") * 13 + F.col("l_suppkey")) % 2000).cast("long").alias("dst"), (F.col("l_suppkey") % 2 == 0).alias("fold")).where("src % 4 <> 0").distinct()
-
-
 def all_edges(spark, sf):
     """An edge of every line. A caller and its callee agree in p % 5; callees lie below 1500, so what is above is a root. A part with p % 5 = 0 calls itself and perhaps its neighbour, so no root reaches it. A third of the callees are never folded, else none would be hidden."""
     p, s = F.col("l_partkey").cast("long"), F.col("l_suppkey").cast("long")
@@ -290,12 +259,6 @@ def all_edges(spark, sf):
     return lines.select("src", "dst", ((k == 0) | ((k == 1) & F.col("even"))).alias("fold")).distinct()
 
 
-PART_EDGES = """
-edges AS (
-  SELECT DISTINCT CAST(l_partkey AS BIGINT) AS src, CAST((l_partkey * 13 + l_suppkey) % 2000 AS BIGINT) AS dst, l_suppkey % 2 = 0 AS fold
-  FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0 AND l_partkey % 4 <> 0),
-roots AS (SELECT src AS node FROM edges EXCEPT SELECT dst FROM edges),
-grounded(node) AS (SELECT node FROM roots UNION SELECT e.dst FROM grounded g JOIN edges e ON e.src = g.node)"""
 ALL_EDGES = """
 lines AS (
   SELECT CAST(l_partkey AS BIGINT) AS src, CAST(CASE WHEN l_partkey % 5 = 0 THEN l_partkey + 5 * (l_suppkey % 2) ELSE 5 * ((l_partkey * 13 + l_suppkey) % 300) + l_partkey % 5 END AS BIGINT) AS dst, l_suppkey % 2 = 0 AS even
@@ -306,11 +269,6 @@ grounded(node) AS (SELECT node FROM roots UNION SELECT e.dst FROM grounded g JOI
 
 
 def g01(spark, sf):
-    """Only the edges that its SQL covers, as in g02 and g07; g01_full, g02_full and g07_full take every line."""
-    return graph.grounded(part_edges(spark, sf).select("src", "dst").distinct())
-
-
-def g01_full(spark, sf):
     return graph.grounded(all_edges(spark, sf).select("src", "dst").distinct())
 
 
@@ -320,11 +278,6 @@ def part_nodes(e):
 
 
 def g02(spark, sf):
-    e = part_edges(spark, sf)
-    return graph.represented_and_live(part_nodes(e), e).select("node", "represented", "live")
-
-
-def g02_full(spark, sf):
     e = materialize(all_edges(spark, sf), "edges")
     return graph.represented_and_live(part_nodes(e), e).select("node", "represented", "live")
 
@@ -376,10 +329,10 @@ def s02(spark, sf):
 QUERIES = {
     "m01_heldout_agreement": m01, "m02_split_counts": m02, "m03_threshold_sweep": m03, "m04_gate_choice": m04, "m05_wilson_table": m05, "m06_rows_needed": m06,
     "m07_choice_confusion": m07, "m08_multilabel_metrics": m08, "m09_score_levels": m09, "m10_triage": m10, "m11_cascade_cost": m11, "m12_self_agreement": m12,
-    "m13_adjudication_order": m13, "i01_group_inputs": i01, "i02_half_split": i02, "i03_verify_split": i03, "i04_strata_batches": i04, "i05_validate_state": i05,
-    "i06_unknown_site": i06, "i07_select_capped": i07, "j01_judge_reasons": j01, "j02_policy_state": j02, "j03_price_precedence": j03, "j04_registry_shadow": j04,
-    "j05_ledger_totals": j05, "j06_budget_admission": j06, "j06_budget_admission_full": j06_full, "j07_failure_class": j07, "t01_prompt_signals": t01, "t02_redact": t02, "t02_redact_full": t02_full,
-    "t03_entropy": t03, "t04_whole_word_filter": t04, "t05_import_gate": t05, "g01_grounded": g01, "g01_grounded_full": g01_full, "g02_represented_live": g02, "g02_represented_live_full": g02_full, "g03_folded_closure": g03,
+    "m13_adjudication_order": m13, "i01_group_inputs": i01, "i02_half_split": i02, "i04_strata_batches": i04, "i05_validate_state": i05,
+    "i07_select_capped": i07, "j01_judge_reasons": j01, "j02_policy_state": j02, "j03_price_precedence": j03, "j04_registry_shadow": j04,
+    "j05_ledger_totals": j05, "j06_budget_admission": j06, "j07_failure_class": j07, "t02_redact": t02, "t02_redact_full": t02_full,
+    "t03_entropy": t03, "t04_whole_word_filter": t04, "t05_import_gate": t05, "g01_grounded": g01, "g02_represented_live": g02, "g03_folded_closure": g03,
     "g04_bounded_paths": g04, "g05_suffix_ids": g05, "s01_scan_summary": s01, "s02_python_scan": s02,
 }
 
@@ -408,28 +361,24 @@ SQL = {
     "m13_adjudication_order": """SELECT CASE WHEN CAST('0x' || sha256(text)[1] AS BIGINT) % 2 = 0 THEN 'reference_first' ELSE 'candidate_first' END AS "order", count(*) AS n FROM documents GROUP BY 1""",
     "i01_group_inputs": "SELECT sha256(text) AS hash, count(*) AS occurrences, min(doc_id) AS first_id, coalesce(min(lang) <> max(lang), false) OR (count(lang) > 0 AND count(lang) < count(*)) AS conflicting FROM documents GROUP BY 1",
     "i02_half_split": "WITH h AS (SELECT DISTINCT sha256(text) AS hash FROM documents) SELECT hash, CASE WHEN row_number() OVER (ORDER BY hash) <= count(*) OVER () // 2 THEN 'calibration' ELSE 'held_out' END AS split FROM h",
-    "i03_verify_split": "SELECT CAST(0 AS BIGINT) AS rehash, count(*) - count(DISTINCT text) AS duplicates, CAST(0 AS BIGINT) AS misplaced FROM documents",
     "i04_strata_batches": "WITH s AS (SELECT stratum, row_number() OVER (ORDER BY stratum) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT o_orderpriority AS stratum FROM orders)), c AS (SELECT stratum, 123 // k + CASE WHEN i < 123 % k THEN 1 ELSE 0 END AS c FROM s) SELECT stratum, CAST(b AS BIGINT) AS batch, CAST(least(20, c - 20 * b) AS BIGINT) AS size FROM c, range(100) t(b) WHERE b * 20 < c",
     "i05_validate_state": f"WITH s AS (SELECT event_id, {_state} AS s FROM events) SELECT event_id, CASE WHEN s LIKE '[%' THEN 'not_an_object' WHEN s LIKE '%\"q\"%' THEN 'unknown_key' WHEN s = '{{}}' THEN 'missing:k' WHEN s LIKE '%\"x\"%' THEN 'kind:k' END AS invalid_reason FROM s",
-    "i06_unknown_site": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "i07_select_capped": "WITH r AS (SELECT *, s_acctbal > 1000 AS ok, row_number() OVER (PARTITION BY s_acctbal > 1000 ORDER BY s_nationkey, s_suppkey) AS i FROM supplier) SELECT s_suppkey AS id, ok AND i <= 25 AS selected, CASE WHEN NOT ok THEN 'not_eligible' WHEN i > 25 THEN 'over_limit' END AS skip_reason FROM r",
     "j01_judge_reasons": "WITH r AS (SELECT conv_id, turn, CASE WHEN strlen(text) = 0 THEN 'invalid_request' WHEN strlen(text) > 3000 THEN 'invalid_input' WHEN role = 'system' THEN 'invalid_definition' WHEN conv_id % 11 = 0 THEN 'policy_missing' WHEN conv_id % 7 = 0 THEN 'policy_stale' WHEN turn > 5 THEN 'budget_exhausted' WHEN strlen(text) % 4 = 0 THEN 'low_confidence' END AS reason FROM conversations) SELECT conv_id, turn, CASE WHEN reason IS NULL THEN 'accepted' WHEN reason LIKE 'invalid%' THEN 'error' ELSE 'deferred' END AS status, reason FROM r",
     "j02_policy_state": "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'missing' WHEN p_partkey % 3 = 0 AND p_type <> p_name THEN 'stale' ELSE 'ok' END AS state FROM part",
     "j03_price_precedence": "WITH x AS (SELECT p_partkey AS id, greatest(CASE WHEN p_partkey % 3 <> 0 THEN p_retailprice END, CASE WHEN p_partkey % 5 <> 0 THEN p_size * 40.0::DOUBLE END) AS b, CASE WHEN p_partkey % 2 <> 0 THEN 1000.0::DOUBLE END AS m FROM part) SELECT id, CASE WHEN b IS NOT NULL THEN greatest(b, m) END AS price FROM x",
     "j04_registry_shadow": "WITH c AS (SELECT DISTINCT 'c' || (c_custkey % 400) AS id, ['project', 'user', 'system'][c_custkey % 3 + 1] AS scope FROM customer) SELECT id, scope, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY list_position(['project', 'user', 'system'], scope)) = 1 THEN 'active' ELSE 'shadowed' END AS state FROM c",
     "j05_ledger_totals": f"WITH {_attempts}, c AS (SELECT *, CASE WHEN failed THEN CASE WHEN status IS NOT NULL AND NOT status BETWEEN 200 AND 299 AND status <> 408 AND status < 500 THEN 0 ELSE reserved END ELSE coalesce(actual, reserved) END AS c FROM a) SELECT CAST(sum(c) AS BIGINT) AS charged, CAST(sum(c) FILTER (NOT failed AND actual IS NULL) AS BIGINT) AS estimated, CAST(sum(actual) FILTER (NOT failed) AS BIGINT) AS actual, count(*) FILTER (failed) AS failed FROM c",
-    "j06_budget_admission": "WITH RECURSIVE a AS (SELECT event_id % 10 AS run, event_id AS seq, CAST(round(value * 100) AS BIGINT) AS amount, row_number() OVER (PARTITION BY event_id % 10 ORDER BY event_id) AS i FROM events WHERE event_id < 2000), f AS (SELECT run, seq, i, amount <= 100000 AS admitted, CASE WHEN amount <= 100000 THEN amount ELSE 0 END AS spent FROM a WHERE i = 1 UNION ALL SELECT a.run, a.seq, a.i, f.spent + a.amount <= 100000, CASE WHEN f.spent + a.amount <= 100000 THEN f.spent + a.amount ELSE f.spent END FROM f JOIN a ON a.run = f.run AND a.i = f.i + 1) SELECT run, seq AS event_id, admitted FROM f",
+    "j06_budget_admission": "WITH RECURSIVE a AS (SELECT event_id % 10 AS run, event_id AS seq, CAST(round(value * 100) AS BIGINT) AS amount, row_number() OVER (PARTITION BY event_id % 10 ORDER BY event_id) AS i FROM events), f AS (SELECT run, seq, i, amount <= 100000 AS admitted, CASE WHEN amount <= 100000 THEN amount ELSE 0 END AS spent FROM a WHERE i = 1 UNION ALL SELECT a.run, a.seq, a.i, f.spent + a.amount <= 100000, CASE WHEN f.spent + a.amount <= 100000 THEN f.spent + a.amount ELSE f.spent END FROM f JOIN a ON a.run = f.run AND a.i = f.i + 1) SELECT run, seq AS event_id, admitted FROM f",
     "j07_failure_class": f"WITH {_attempts} SELECT CASE WHEN status IN (401, 403) THEN 'authentication' WHEN status = 400 AND event_id % 2 = 0 THEN 'unknown_model' WHEN status IN (408, 429) OR status >= 500 THEN 'unavailable' WHEN status BETWEEN 400 AND 499 THEN 'rejected' ELSE 'unavailable' END AS class, count(*) AS n FROM a GROUP BY 1",
-    "t01_prompt_signals": "SELECT * FROM (VALUES (1, 'yes_no', 'yes_no'), (2, 'true_false', 'yes_no'), (3, 'one_of:red|green|blue', 'one_of:red|green|blue'), (4, 'classify', NULL), (5, 'rating:1:5', 'rating:1:5'), (6, 'one_word', NULL), (7, '', NULL), (8, '', NULL), (9, '', NULL), (10, 'one_of:a|b|c; exactly one-word;one_word', 'one_of:a|b|c; exactly one-word')) t(id, signals, space)",
     "t02_redact": """SELECT doc_id, sha256(coalesce(array_to_string(list_transform(string_split_regex(text, '["''`][0-9a-fA-F]{32,}["''`]'), lambda x: x), '"[REDACTED]"'), '')) AS redacted_sha256 FROM documents""",
     "t03_entropy": "WITH b AS (SELECT page_id, unnest(regexp_extract_all(hex(encode(html)), '..')) AS b FROM pages), c AS (SELECT page_id, b, count(*) AS c FROM b GROUP BY 1, 2), s AS (SELECT page_id, sum(c) AS n, sum(c * log2(c)) AS s FROM c GROUP BY 1) SELECT page_id, round(log2(n) - s / n, 9) AS bits FROM s",
     "t04_whole_word_filter": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9_$])(license|Licensed|rights|Version)($|[^A-Za-z0-9_$])')",
     "t05_import_gate": "SELECT page_id, array_to_string(list_filter([CASE WHEN page_id % 5 = 0 THEN 'anthropic' END, CASE WHEN page_id % 3 = 0 THEN 'openai' END], lambda x: x IS NOT NULL), ',') AS packages FROM pages",
-    "g01_grounded": f"WITH RECURSIVE {PART_EDGES} SELECT node FROM grounded",
-    "g02_represented_live": f"WITH RECURSIVE {PART_EDGES}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), sound AS (SELECT * FROM edges WHERE src % 3 <> 2), ground(node) AS (SELECT node FROM nodes WHERE node NOT IN (SELECT dst FROM sound) UNION SELECT e.dst FROM ground g JOIN sound e ON e.src = g.node), rep(node) AS (SELECT e.dst FROM sound e JOIN ground g ON g.node = e.src WHERE e.src % 3 = 0 UNION SELECT e.dst FROM rep r JOIN sound e ON e.src = r.node), live(node) AS (SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM rep) UNION SELECT e.dst FROM live l JOIN sound e ON e.src = l.node AND e.fold) SELECT node, node IN (SELECT node FROM rep) AS represented, node IN (SELECT node FROM live) AS live FROM nodes",
+    "g01_grounded": f"WITH RECURSIVE {ALL_EDGES} SELECT node FROM grounded",
+    "g02_represented_live": f"WITH RECURSIVE {ALL_EDGES}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), sound AS (SELECT * FROM edges WHERE src % 3 <> 2), ground(node) AS (SELECT node FROM nodes WHERE node NOT IN (SELECT dst FROM sound) UNION SELECT e.dst FROM ground g JOIN sound e ON e.src = g.node), rep(node) AS (SELECT e.dst FROM sound e JOIN ground g ON g.node = e.src WHERE e.src % 3 = 0 UNION SELECT e.dst FROM rep r JOIN sound e ON e.src = r.node), live(node) AS (SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM rep) UNION SELECT e.dst FROM live l JOIN sound e ON e.src = l.node AND e.fold) SELECT node, node IN (SELECT node FROM rep) AS represented, node IN (SELECT node FROM live) AS live FROM nodes",
     "g03_folded_closure": f"WITH RECURSIVE {NATION_EDGES}, c(start, reached) AS (SELECT src, dst FROM edges UNION SELECT c.start, e.dst FROM c JOIN edges e ON e.src = c.reached) SELECT * FROM c",
     "g04_bounded_paths": "WITH RECURSIVE e AS (SELECT CAST(n_nationkey AS BIGINT) AS src, CAST((n_nationkey * 3 + 1) % 25 AS BIGINT) AS dst FROM nation UNION SELECT CAST(n_nationkey AS BIGINT), CAST((n_nationkey + 2) % 5 AS BIGINT) FROM nation), p(p, depth, recursive) AS (SELECT [CAST(x AS BIGINT)], 0, false FROM range(5) t(x) UNION ALL SELECT list_append(p, dst), depth + 1, list_contains(p, dst) FROM p JOIN e ON e.src = p[len(p)] WHERE NOT recursive AND depth < 5) SELECT array_to_string(p, '>') AS path, depth, recursive FROM p WHERE depth > 0",
     "g05_suffix_ids": "WITH r AS (SELECT o_orderkey, 'o' || o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders) SELECT o_orderkey, CASE WHEN i = 1 THEN id ELSE id || '-' || i END AS id FROM r",
     "s01_scan_summary": "WITH t AS (SELECT p_partkey % 9 = 0 AS excluded, CASE WHEN p_partkey % 31 = 0 THEN 'review' WHEN p_partkey % 4 <> 0 AND p_partkey % 3 = 0 THEN 'not_decision' WHEN p_partkey % 4 <> 0 AND p_partkey % 5 <= 1 THEN 'sure' WHEN p_partkey % 4 <> 0 THEN 'likely' WHEN p_partkey % 6 = 0 THEN 'likely' WHEN p_partkey % 20 = 4 THEN 'review' WHEN p_partkey % 8 <> 0 AND trim(p_name) <> '' THEN 'not_decision' ELSE 'review' END AS tier FROM part), s AS (SELECT count(*) AS total, count(*) FILTER (tier = 'sure') AS sure, count(*) FILTER (tier = 'likely') AS likely, count(*) FILTER (tier = 'review') AS review, count(*) FILTER (tier = 'not_decision') AS not_decision, count(*) FILTER (NOT excluded) AS counted, count(*) FILTER (NOT excluded AND tier IN ('sure', 'likely')) AS decisions FROM t) SELECT *, CASE WHEN counted > 0 THEN round(decisions * 1000 / counted::DOUBLE) / 10 ELSE 0 END AS decision_pct FROM s",
 }
-SQL |= {f"{name}_full": SQL[name].replace(PART_EDGES, ALL_EDGES) for name in ("g01_grounded", "g02_represented_live")}

@@ -1,6 +1,6 @@
 """All queries of the reference's operators, and their SQL."""
 
-from sparkgate.plans import catalogue, further, records
+from sparkgate.plans import catalogue, further, records, tabled
 
-QUERIES = catalogue.QUERIES | further.QUERIES | records.QUERIES
-SQL = catalogue.SQL | further.SQL | records.SQL | {"x01_stream_admission": catalogue.SQL["j06_budget_admission"]}
+QUERIES = catalogue.QUERIES | further.QUERIES | records.QUERIES | tabled.QUERIES
+SQL = catalogue.SQL | further.SQL | records.SQL | tabled.SQL | {"x01_stream_admission": catalogue.SQL["j06_budget_admission"]}

@@ -34,7 +34,7 @@ def test_admit_of_nothing(spark):
     assert judge.admit(spark.createDataFrame([], "run long, seq long, amount long"), 5).count() == 0
 
 
-@pytest.mark.parametrize("name", ["j06_budget_admission_full", "x01_stream_admission_full"])
+@pytest.mark.parametrize("name", ["j06_budget_admission", "x01_stream_admission"])
 def test_all_events_are_judged(spark, name):
     events = spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_id % 10", "event_id", "cast(round(value * 100) as long)")
     got = [tuple(r) for r in QUERIES[name](spark, SF).select("run", "event_id", "admitted").collect()]
