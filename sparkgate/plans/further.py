@@ -171,26 +171,6 @@ SQL = {
     "i12_supplied_rows": """SELECT CASE WHEN c_custkey % 6 < 2 THEN 's' || c_custkey END AS site, CASE c_custkey % 6 WHEN 0 THEN '{"k":' || c_custkey || '}' WHEN 1 THEN '{"k":1}' END AS input, CASE WHEN c_custkey % 6 = 1 THEN '{"a":' || c_custkey || '}' END AS reference, c_custkey % 6 > 1 AS invalid FROM customer WHERE c_custkey % 6 <> 2""",
     "r03_cache_lookup": "SELECT e.event_id, c.response, c.request IS NOT NULL AS hit FROM events e LEFT JOIN (SELECT DISTINCT props AS request, upper(props) AS response FROM events WHERE length(props) <> 8) c ON c.request = e.props",
     "r04_cache_upsert": "WITH b AS (SELECT sha256(CAST(o_custkey % 100 AS VARCHAR)) AS key, 0 AS new, 'old' AS request, format('{:09d}', o_orderkey) AS response FROM orders UNION ALL SELECT sha256(CAST(c_custkey % 70 + 50 AS VARCHAR)), 1, c_mktsegment, format('{:09d}', c_custkey) FROM customer) SELECT key, request, response FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY new DESC, request DESC, response DESC) AS i FROM b) WHERE i = 1",
-    "r05_model_catalogue": r05, "r06_resolve_model": r06, "r07_rows_of_sites": r07, "r08_unmatched_keys": r08, "g06_occurrence_status": g06, "g07_dispositions": g07, "x01_stream_admission": x01, "x02_stream_judge": x02,
-}
-
-Z2 = repr(metrics.Z * metrics.Z) + "::DOUBLE"
-_low = f"greatest(0::DOUBLE, ((hits / n::DOUBLE) + {Z2} / (2 * n)) / (1 + {Z2} / n) - {metrics.Z!r}::DOUBLE * sqrt((hits / n::DOUBLE) * (1 - hits / n::DOUBLE) / n + {Z2} / (4::DOUBLE * n * n)) / (1 + {Z2} / n))"
-_held = f"WITH {RECORDS}, v AS (SELECT * FROM records WHERE ref_ok AND cand_ok AND split = 'held_out')"
-_models = "m AS (SELECT c_custkey AS pos, CASE WHEN c_custkey % 13 <> 0 THEN 'm' || (c_custkey % 400) END AS id, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 THEN CAST(c_custkey AS DOUBLE) END AS prompt, CASE WHEN c_custkey % 2 = 0 THEN 0.5::DOUBLE END AS completion FROM customer)"
-
-SQL = {
-    "m14_output_agreement": f"{_held}, x AS (SELECT 'quality' AS output, agrees AS same, gate >= 0.8::DOUBLE AS passed FROM v UNION ALL SELECT 'toxic', toxic = (1 - p >= 0.3::DOUBLE), gate >= 0.8::DOUBLE FROM v) SELECT output, count(*) FILTER (passed) AS accepted, count(*) FILTER (passed AND same) AS accepted_same, count(*) AS valid, count(*) FILTER (same) AS valid_same FROM x GROUP BY 1",
-    "m15_adjudication": f"{_held}, x AS (SELECT first_id % 4 AS s, first_id % 7 % 4 AS w FROM v WHERE NOT agrees) SELECT count(*) AS disagreements, count(*) FILTER (s > 1) AS adjudicated, count(*) FILTER (s = 1) AS failed, count(*) FILTER (s = 0) AS not_run, count(*) FILTER (s > 1 AND w = 0) AS sided_reference, count(*) FILTER (s > 1 AND w = 1) AS sided_candidate, count(*) FILTER (s > 1 AND w = 2) AS sided_both, count(*) FILTER (s > 1 AND w = 3) AS sided_neither FROM x",
-    "m16_run_estimate": "WITH s AS (SELECT *, CAST(round(l_extendedprice) AS BIGINT) AS e, CAST(l_quantity AS BIGINT) AS q FROM lineitem), t AS (SELECT l_returnflag || l_linenumber AS stage, least(q, 8) * e AS held FROM s ORDER BY least(q, 8) * e DESC, l_orderkey, l_linenumber LIMIT 1) SELECT CAST(sum(e) AS BIGINT) AS expected, CAST(sum(2 * e) AS BIGINT) AS worst, CAST(sum(q) AS BIGINT) AS requests, (SELECT stage FROM t) AS largest_stage, (SELECT held FROM t) AS in_flight FROM s",
-    "m17_recorded_price": "WITH p AS (SELECT l_orderkey, CASE WHEN l_suppkey % 10 <> 0 THEN l_returnflag END AS p FROM lineitem) SELECT l_orderkey, CASE WHEN count(p) = count(*) AND min(p) = max(p) THEN min(p) END AS price FROM p GROUP BY 1",
-    "m18_policy_blockers": f"WITH b AS (SELECT user_id, count(*) AS n, count(*) FILTER (value >= 20) AS hits FROM events GROUP BY 1), w AS (SELECT *, {_low} AS low FROM b) SELECT user_id, array_to_string(list_filter([CASE WHEN user_id % 5 = 0 THEN 'not_completed' END, CASE WHEN user_id % 3 = 0 THEN 'defer_all' END, CASE WHEN low < 0.5 THEN 'below_target' END, CASE WHEN n < 100 THEN 'too_few_accepted' END, CASE WHEN user_id % 11 = 0 THEN 'prompt_reconstructed' END], lambda x: x IS NOT NULL), ',') AS reasons FROM w",
-    "j08_policy_coverage": "WITH k AS (SELECT CAST(p_partkey % 100 AS BIGINT) AS id, CAST(p_size AS BIGINT) AS key, p_partkey FROM part), n AS (SELECT id, key FROM k WHERE p_partkey % 3 <> 0), g AS (SELECT id, key FROM k WHERE p_partkey % 4 <> 0) SELECT *, 'missing' AS problem FROM (SELECT * FROM n EXCEPT SELECT * FROM g) UNION ALL SELECT *, 'unknown' FROM (SELECT * FROM g EXCEPT SELECT * FROM n)",
-    "i08_order_violations": "SELECT event_id FROM (SELECT event_id, value, lag(value) OVER (ORDER BY event_id) AS b FROM events) WHERE b >= value",
-    "i09_field_names": "SELECT DISTINCT unnest(json_keys(props)) AS name FROM events",
-    "i12_supplied_rows": """SELECT CASE WHEN c_custkey % 6 < 2 THEN 's' || c_custkey END AS site, CASE c_custkey % 6 WHEN 0 THEN '{"k":' || c_custkey || '}' WHEN 1 THEN '{"k":1}' END AS input, CASE WHEN c_custkey % 6 = 1 THEN '{"a":' || c_custkey || '}' END AS reference, c_custkey % 6 > 1 AS invalid FROM customer WHERE c_custkey % 6 <> 2""",
-    "r03_cache_lookup": "SELECT e.event_id, c.response, c.request IS NOT NULL AS hit FROM events e LEFT JOIN (SELECT DISTINCT props AS request, upper(props) AS response FROM events WHERE length(props) <> 8) c ON c.request = e.props",
-    "r04_cache_upsert": "WITH o AS (SELECT sha256(CAST(o_custkey % 100 AS VARCHAR)) AS key, o_orderpriority AS request, format('{:09d}', o_orderkey) AS response, o_orderkey FROM orders), b AS (SELECT key, 0 AS new, 'old' AS request, response FROM o WHERE o_orderkey % 2 = 0 UNION ALL SELECT key, 1, request, response FROM o WHERE o_orderkey % 5 = 0) SELECT key, request, response FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY new DESC, request DESC, response DESC) AS i FROM b) WHERE i = 1",
     "r05_model_catalogue": f"WITH {_models} SELECT id, prompt, completion FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS i FROM m WHERE id IS NOT NULL) WHERE i = 1",
     "r06_resolve_model": f"WITH {_models} SELECT o_orderkey, CASE WHEN 'm' || (o_custkey % 500) IN (SELECT id FROM m WHERE id IS NOT NULL) THEN 'm' || (o_custkey % 500) ELSE 'default' END AS catalogue_id FROM orders",
     "r07_rows_of_sites": "SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT s_suppkey FROM supplier) THEN CAST(o_custkey AS VARCHAR) END AS site_id FROM orders",
