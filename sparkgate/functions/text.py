@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,25 +22,36 @@ ONE_WORD = r"(?iU)\b(?:one|single)[ -]word\b|\bonly (?:the )?(?:label|category)\
 # Packages whose import marks a file.
 PYTHON_PACKAGES = {"anthropic": "anthropic", "instructor": "instructor", "langchain": r"langchain(?:_\w+)?", "litellm": "litellm", "openai": "openai"}
 
-# Secret shapes in the order in which they are replaced, with what stays of each.
-REDACTED = "[REDACTED]"
+# The mark, and secret shapes in the order in which they are replaced.
+REDACTED = "<redacted>"
+KEY_BLOCK = r"(?s)-----BEGIN [A-Z0-9 ]*KEY-----.*?(?:-----END [A-Z0-9 ]*KEY-----|\z)"
+KEY_BEGIN, KEY_END = r"-----BEGIN [A-Z0-9 ]*KEY-----", r"-----END [A-Z0-9 ]*KEY-----"
+BEARER = r"(?i)\b(bearer\s+)[A-Za-z0-9._~+/=-]{8,}"
+QUOTED_SECRET = r"""(?i)((?:authorization|api[_-]?key|x-api-key|secret(?:[_-]?key)?|access[_-]?token|auth[_-]?token|password)["']?\s*[:=]\s*)(["'`])([^"'`\n]+)(["'`])"""
+BARE_API_KEY = r"(?i)((?:api[_-]?key|x-api-key)\s*[:=]\s*)([A-Za-z0-9_\-]{12,})\b"
+GENERIC_SECRET_ASSIGN = r"""(?i)(\b[A-Za-z_][A-Za-z0-9_]*(?:key|token|secret|password))(\s*[:=]\s*)(?:(["'`])([^"'`\n]+)(["'`])|([A-Za-z0-9_-]{8,})(\z|[^(.\[A-Za-z0-9_-]))"""
+KEY_FORMAT = r"\b(?:sk-[A-Za-z0-9_\-]{8,}|(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{8,})"
+AWS_KEY = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
+GITHUB_PAT = r"\bgithub_pat_[A-Za-z0-9_]{22,}\b"
+GITHUB_TOKEN = r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"
+SLACK_TOKEN = r"\bxox[abprs]-[0-9A-Za-z-]{10,}\b"
+JWT = r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
+GOOGLE_API_KEY = r"\bAIza[0-9A-Za-z_-]{35}\b"
+LONG_LITERAL = r"""(["'`])([A-Za-z0-9+/=_\-]{32,})(["'`])"""
+#: Each shape with what stays of a match and a cheap expression that every text with a match holds, so that other texts pass by.
 SECRET_SHAPES = [
-    (r"(?i)\b(bearer\s+)[A-Za-z0-9._~+/=-]{8,}", "$1" + REDACTED),
-    (r"""(?i)((?:authorization|api[_-]?key|x-api-key|secret(?:[_-]?key)?|access[_-]?token|auth[_-]?token|password)["']?\s*[:=]\s*)(["'`])([^"'`\n]+)(["'`])""", "$1$2" + REDACTED + "$4"),
-    (r"(?i)((?:api[_-]?key|x-api-key)\s*[:=]\s*)([A-Za-z0-9_\-]{12,})\b", "$1" + REDACTED),
-    (r"""(?i)(\b[A-Za-z_][A-Za-z0-9_]*(?:key|token|secret|password)\s*[:=]\s*)(["'`])([^"'`\n]+)(["'`])""", "$1$2" + REDACTED + "$4"),
-    (r"""(?i)(\b[A-Za-z_][A-Za-z0-9_]*(?:key|token|secret|password)\s*[:=]\s*)([A-Za-z0-9_-]{8,}+)(?![(.\[])""", "$1" + REDACTED),
-    (r"\b(?:sk-[A-Za-z0-9_\-]{8,}|(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{8,})", REDACTED),
-    (r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", REDACTED),
-    (r"\bgithub_pat_[A-Za-z0-9_]{22,}\b|\bgh[pousr]_[A-Za-z0-9]{36,}\b", REDACTED),
-    (r"\bxox[abprs]-[0-9A-Za-z-]{10,}\b", REDACTED),
-    (r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", REDACTED),
-    (r"\bAIza[0-9A-Za-z_-]{35}\b", REDACTED),
-]
+    (BEARER, "$1" + REDACTED, "(?i)bearer"), (QUOTED_SECRET, "$1$2" + REDACTED + "$4", r"""(?i)(?:authorization|key|secret|token|password)["']?[\s\u0085\p{Z}]*[:=]"""),
+    (BARE_API_KEY, "$1" + REDACTED, "(?i)api[_-]?key"), (GENERIC_SECRET_ASSIGN, "$1$2$3" + REDACTED + "$5$7", r"(?i)(?:key|token|secret|password)[\s\u0085\p{Z}]*[:=]"),
+    (KEY_FORMAT, REDACTED, "sk-|_live_|_test_"), (AWS_KEY, REDACTED, "AKIA|ASIA"), (GITHUB_PAT, REDACTED, "github_pat_"), (GITHUB_TOKEN, REDACTED, "gh[pousr]_"),
+    (SLACK_TOKEN, REDACTED, "xox[abprs]-"), (JWT, REDACTED, "eyJ"), (GOOGLE_API_KEY, REDACTED, "AIza"),
+]
 #: A quoted literal of 32 or more hex digits with both a digit and a letter.
 HEX_LITERAL = r"""(["'`])(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}(["'`])"""
-#: A quoted literal of 32 or more characters with a digit and letters of both cases, which the entropy rule decides.
-LONG_LITERAL = r"""(["'`])(?=[^"'`]*[0-9])(?=[^"'`]*[A-Z])(?=[^"'`]*[a-z])([A-Za-z0-9+/=_\-]{32,})(["'`])"""
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use() repeats it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def label_list(rest: Column) -> Column:
@@ -101,30 +113,45 @@ def has_word(text: Column, words: list[str]) -> Column:
     return text.rlike(r"(?<![\p{Alnum}_$])(?:" + "|".join(map(re.escape, words)) + r")(?![\p{Alnum}_$])")
 
 
-def entropy(text: str) -> float:
-    data = text.encode()
-    counts = pd.Series(list(data)).value_counts()
-    return float(-(counts / len(data) * (counts / len(data)).map(math.log2)).sum()) if data else 0.0
+def high_entropy(literal: Column) -> Column:
+    """Does an ASCII literal look like a secret? Hex with digits and letters, or a digit, letters of both cases and at least 4 bits a character."""
 
+    def bits(chars: Column) -> Column:
+        n = F.size(chars)
+        each = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)))
+        return F.log2(n) - F.aggregate(each, F.lit(0.0), lambda acc, k: acc + k * F.log2(k)) / n
+
+    digits = literal.rlike("[0-9]")
+    mixed = digits & literal.rlike("[A-Z]") & literal.rlike("[a-z]")
+    return F.when(literal.rlike(r"\A[0-9a-fA-F]*\z"), digits & literal.rlike("[a-fA-F]")).when(~mixed, False).otherwise(let(F.split(literal, ""), bits) >= 4.0)
+
+
+def replaced(text: Column, pattern: str, use: Callable[[Column], Column]) -> Column:
+    """text with every match of pattern replaced by use(match), in time proportional to the text."""
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.transform(F.arrays_zip(gaps.alias("g"), hits.alias("h")), lambda x: F.concat(x["g"], F.when(x["h"].isNull(), "").otherwise(use(x["h"]))))
+    return F.array_join(parts, "")
+
+
+def redacted_lines(text: Column) -> Column:
+    return F.array_join(F.transform(F.split(text, "\n", -1), lambda _: F.lit(REDACTED)), "\n")
 
-@F.pandas_udf(StringType())
-def _redact_by_entropy(texts: pd.Series) -> pd.Series:
-    import re
 
-    shape = re.compile(LONG_LITERAL)
-    return texts.map(lambda t: None if t is None else shape.sub(lambda m: f"{m[1]}{REDACTED}{m[3]}" if entropy(m[2]) >= 4.0 else m[0], t))
+def _shape(pattern: str, kept: str, anchor: str) -> Callable[[Column], Column]:
+    return lambda x: F.when(x.rlike(anchor), F.regexp_replace(x, "(?U)" + pattern, kept)).otherwise(x)
 
 
 def redact(text: Column) -> Column:
-    """text without what looks like a secret; key blocks keep their number of lines. Only texts with a long mixed literal leave the JVM."""
-    block = r"(?s)-----BEGIN [A-Z0-9 ]*KEY-----.*?(?:-----END [A-Z0-9 ]*KEY-----|\z)"
-    lines = lambda b: F.regexp_replace(b, r"[^\n]+", REDACTED.replace("[", r"\[").replace("]", r"\]"))
-    blocks, gaps = F.regexp_extract_all(text, F.lit(block), F.lit(0)), F.split(text, block, -1)
-    out = F.when(text.rlike("-----BEGIN "), F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), blocks.alias("b")), lambda x: F.concat(x["g"], F.coalesce(lines(x["b"]), F.lit("")))), "")).otherwise(text)
-    for pattern, kept in SECRET_SHAPES:
-        out = F.regexp_replace(out, pattern, kept)
-    out = F.regexp_replace(out, HEX_LITERAL, "$1" + REDACTED + "$2")
-    return F.when(out.rlike(LONG_LITERAL), _redact_by_entropy(out)).otherwise(out)
+    """text without what looks like a secret: key blocks, also the tail of one that began before the text, line by line; then the shapes in
+    order; then long literals that look random. No Python, every step bound once, and texts without a step's anchor pass it by. (?U) makes classes Unicode-aware.
+    """
+    head = lambda x: F.regexp_extract(x, rf"(?s)\A(.*?{KEY_END})", 1)
+    tail = lambda x: let(head(x), lambda h: F.when((h != "") & ~h.rlike(KEY_BEGIN), F.concat(redacted_lines(h), replaced(F.substring(x, F.length(h) + 1, F.lit(1 << 30)), KEY_BLOCK, redacted_lines))).otherwise(replaced(x, KEY_BLOCK, redacted_lines)))
+    out = let(text, lambda x: F.when(x.contains("KEY-----"), tail(x)).otherwise(x))
+    for pattern, kept, anchor in SECRET_SHAPES:
+        out = let(out, _shape(pattern, kept, anchor))
+    literal = lambda h: F.when(high_entropy(F.substring(h, F.lit(2), F.length(h) - 2)), F.concat(F.substring(h, 1, 1), F.lit(REDACTED), F.substring(h, -1, 1))).otherwise(h)
+    return let(out, lambda x: F.when(x.rlike(LONG_LITERAL), replaced(x, LONG_LITERAL, literal)).otherwise(x))
 
 
 def byte_entropy(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:

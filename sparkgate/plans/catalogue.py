@@ -345,6 +345,29 @@ a AS (
   SELECT event_id, event_type, CAST(round(value * 100) AS BIGINT) AS reserved, CASE WHEN event_id % 4 <> 0 THEN CAST(floor(CAST(round(value * 100) AS BIGINT) * 2 / 3::DOUBLE) AS BIGINT) END AS actual,
          event_type = 'error' AS failed, CASE WHEN event_id % 6 <> 0 THEN [200, 400, 401, 408, 429, 500][event_id % 6 + 1] END AS status FROM events)"""
 
+def _redact_sql() -> str:
+    """The steps of redaction as common table expressions; RE2 has no lookaround and writes references with a backslash."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    lines = lambda c: f"array_to_string(list_transform(string_split({c}, chr(10)), lambda l: '<redacted>'), chr(10))"
+    swap = lambda c, p, use: f"array_to_string(list_transform(list_zip(string_split_regex({c}, {quoted(p)}), regexp_extract_all({c}, {quoted(p)})), lambda z: z[1] || CASE WHEN z[2] IS NULL THEN '' ELSE {use('z[2]')} END), '')"
+    head = f"regexp_extract(text, {quoted('(?s)^(.*?' + T.KEY_END + ')')}, 1)"
+    steps = [f"a AS (SELECT doc_id, text, {head} AS head FROM documents)", f"b AS (SELECT doc_id, CASE WHEN head <> '' AND NOT regexp_matches(head, {quoted(T.KEY_BEGIN)}) THEN {lines('head')} || {swap('substr(text, length(head) + 1)', T.KEY_BLOCK, lines)} ELSE {swap('text', T.KEY_BLOCK, lines)} END AS x FROM a)"]
+    name = "b"
+    for k, (pattern, kept, _) in enumerate(T.SECRET_SHAPES):
+        steps.append(f"s{k} AS (SELECT doc_id, regexp_replace(x, {quoted(pattern)}, {quoted(kept.replace('$', chr(92)))}, 'g') AS x FROM {name})")
+        name = f"s{k}"
+    inner = lambda h: f"substr({h}, 2, length({h}) - 2)"
+    chars = lambda h: f"string_split({inner(h)}, '')"
+    bits = lambda h: f"log2(length({h}) - 2) - list_sum(list_transform(list_distinct({chars(h)}), lambda c: len(list_filter({chars(h)}, lambda y: y = c)) * log2(len(list_filter({chars(h)}, lambda y: y = c))))) / (length({h}) - 2)"
+    digit = lambda h: f"regexp_matches({inner(h)}, '[0-9]')"
+    high = lambda h: f"CASE WHEN regexp_full_match({inner(h)}, '[0-9a-fA-F]*') THEN {digit(h)} AND regexp_matches({inner(h)}, '[a-fA-F]') WHEN NOT ({digit(h)} AND regexp_matches({inner(h)}, '[A-Z]') AND regexp_matches({inner(h)}, '[a-z]')) THEN false ELSE {bits(h)} >= 4.0 END"
+    literal = lambda h: f"CASE WHEN {high(h)} THEN {h}[1] || '<redacted>' || {h}[-1] ELSE {h} END"
+    steps.append(f"z AS (SELECT doc_id, {swap('x', T.LONG_LITERAL, literal)} AS x FROM {name})")
+    return f"WITH {', '.join(steps)} SELECT doc_id, sha256(x) AS redacted_sha256 FROM z"
+
+
+REDACT_SQL = _redact_sql()
+
 SQL = {
     "m01_heldout_agreement": f"WITH {SWEEP}, h AS (SELECT count(*) AS n, count(*) FILTER (r.gate >= g.threshold) AS accepted, count(*) FILTER (r.gate >= g.threshold AND agrees) AS agreed, max(g.threshold) AS threshold FROM records r, gate g WHERE ref_ok AND cand_ok AND split = 'held_out') SELECT n, accepted, agreed, threshold, {_low} AS wilson_low, {_high} AS wilson_high FROM h",
     "m02_split_counts": f"WITH {RECORDS} SELECT split, count(*) AS unique_inputs, CAST(sum(occurrences - 1) AS BIGINT) AS duplicates, count(*) FILTER (ref_ok AND cand_ok) AS valid, count(*) FILTER (NOT ref_ok) AS ref_failed, count(*) FILTER (NOT cand_ok) AS cand_failed FROM records GROUP BY split",
@@ -371,7 +394,8 @@ SQL = {
     "j05_ledger_totals": f"WITH {_attempts}, c AS (SELECT *, CASE WHEN failed THEN CASE WHEN status IS NOT NULL AND NOT status BETWEEN 200 AND 299 AND status <> 408 AND status < 500 THEN 0 ELSE reserved END ELSE coalesce(actual, reserved) END AS c FROM a) SELECT CAST(sum(c) AS BIGINT) AS charged, CAST(sum(c) FILTER (NOT failed AND actual IS NULL) AS BIGINT) AS estimated, CAST(sum(actual) FILTER (NOT failed) AS BIGINT) AS actual, count(*) FILTER (failed) AS failed FROM c",
     "j06_budget_admission": "WITH RECURSIVE a AS (SELECT event_id % 10 AS run, event_id AS seq, CAST(round(value * 100) AS BIGINT) AS amount, row_number() OVER (PARTITION BY event_id % 10 ORDER BY event_id) AS i FROM events), f AS (SELECT run, seq, i, amount <= 100000 AS admitted, CASE WHEN amount <= 100000 THEN amount ELSE 0 END AS spent FROM a WHERE i = 1 UNION ALL SELECT a.run, a.seq, a.i, f.spent + a.amount <= 100000, CASE WHEN f.spent + a.amount <= 100000 THEN f.spent + a.amount ELSE f.spent END FROM f JOIN a ON a.run = f.run AND a.i = f.i + 1) SELECT run, seq AS event_id, admitted FROM f",
     "j07_failure_class": f"WITH {_attempts} SELECT CASE WHEN status IN (401, 403) THEN 'authentication' WHEN status = 400 AND event_id % 2 = 0 THEN 'unknown_model' WHEN status IN (408, 429) OR status >= 500 THEN 'unavailable' WHEN status BETWEEN 400 AND 499 THEN 'rejected' ELSE 'unavailable' END AS class, count(*) AS n FROM a GROUP BY 1",
-    "t02_redact": """SELECT doc_id, sha256(coalesce(array_to_string(list_transform(string_split_regex(text, '["''`][0-9a-fA-F]{32,}["''`]'), lambda x: x), '"[REDACTED]"'), '')) AS redacted_sha256 FROM documents""",
+    "t02_redact": """SELECT doc_id, sha256(coalesce(array_to_string(list_transform(string_split_regex(text, '["''`][0-9a-fA-F]{32,}["''`]'), lambda x: x), '"<redacted>"'), '')) AS redacted_sha256 FROM documents""",
+    "t02_redact_full": REDACT_SQL,
     "t03_entropy": "WITH b AS (SELECT page_id, unnest(regexp_extract_all(hex(encode(html)), '..')) AS b FROM pages), c AS (SELECT page_id, b, count(*) AS c FROM b GROUP BY 1, 2), s AS (SELECT page_id, sum(c) AS n, sum(c * log2(c)) AS s FROM c GROUP BY 1) SELECT page_id, round(log2(n) - s / n, 9) AS bits FROM s",
     "t04_whole_word_filter": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9_$])(license|Licensed|rights|Version)($|[^A-Za-z0-9_$])')",
     "t05_import_gate": "SELECT page_id, array_to_string(list_filter([CASE WHEN page_id % 5 = 0 THEN 'anthropic' END, CASE WHEN page_id % 3 = 0 THEN 'openai' END], lambda x: x IS NOT NULL), ',') AS packages FROM pages",
