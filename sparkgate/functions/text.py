@@ -21,6 +21,7 @@ ONE_WORD = r"(?iU)\b(?:one|single)[ -]word\b|\bonly (?:the )?(?:label|category)\
 
 # Packages whose import marks a file.
 PYTHON_PACKAGES = {"anthropic": "anthropic", "instructor": "instructor", "langchain": r"langchain(?:_\w+)?", "litellm": "litellm", "openai": "openai"}
+TS_PACKAGES = {"openai": r"openai(?:/[^'\"]*)?", "anthropic": r"@anthropic-ai/sdk(?:/[^'\"]*)?", "ai_sdk": "ai", "langchain": r"@langchain/[^'\"]+|langchain(?:/[^'\"]*)?"}
 
 # The mark, and secret shapes in the order in which they are replaced.
 REDACTED = "<redacted>"
@@ -106,6 +107,12 @@ def imported_packages(source: Column, packages: dict[str, str] = PYTHON_PACKAGES
     return F.array_compact(F.array(*[F.when(source.rlike(rule.format(p)), n) for n, p in sorted(packages.items())]))
 
 
+def imported_ts_packages(source: Column, packages: dict[str, str] = TS_PACKAGES) -> Column:
+    """Sorted names of the packages that a TypeScript or JavaScript source imports or requires."""
+    rule = r"""(?:\bfrom\s*|\bimport\s*|\brequire\(\s*)['"](?:{0})['"]"""
+    return F.array_compact(F.array(*[F.when(source.rlike(rule.replace("{0}", p)), n) for n, p in sorted(packages.items())]))
+
+
 def has_word(text: Column, words: list[str]) -> Column:
     """Does the text hold one of the words, not as part of a longer name? One regular expression for all of them."""
     import re

@@ -107,3 +107,37 @@ def bound_names(used: DataFrame, definitions: DataFrame, imports: DataFrame, ids
     outer = imports.groupBy("file", "name").agg(F.min("def").alias("_import"))
     out = used.join(best, ids, "left").join(outer, ["file", "name"], "left")
     return out.select(*ids, F.coalesce("_scope", "_import").alias("def"), F.when(F.col("_scope").isNotNull(), "scope").when(F.col("_import").isNotNull(), "import").alias("how"))
+
+
+# Method names too common to mean a wrapper by themselves.
+GENERIC_METHODS = ["invoke", "ainvoke", "run", "arun", "call", "acall", "create", "generate", "agenerate", "complete", "acomplete", "chat", "achat", "predict", "query", "stream", "astream", "send", "request", "execute"]
+
+
+def callers(calls: DataFrame, bound: DataFrame, namespaces: DataFrame, modules: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """(call, wrapper, how): the wrappers that each call may mean.
+
+    calls (call, file, python, name, object, byte, schema_keyword), object being null for a plain call; bound (call, target, start), the definition a plain name
+    means; namespaces (file, local, target), modules imported whole; modules (target, name, start), their top-level functions; wrappers (wrapper, file, start, end,
+    python, name, method). Plain and namespace calls mean functions by where they are defined, other calls methods by name; common method names need a schema
+    keyword too. A call within the wrapper's own range means nothing.
+    """
+    w = wrappers.select("wrapper", F.col("file").alias("w_file"), "start", "end", F.col("python").alias("w_python"), F.col("name").alias("w_name"), "method")
+    plain = calls.where("object is null").join(bound, "call").select(*calls.columns, "target", F.col("start").alias("at"), F.lit("plain").alias("how"))
+    spaces = namespaces.select("file", F.col("local").alias("object"), "target")
+    within = calls.where("object is not null").join(spaces, ["file", "object"])
+    spaced = within.join(modules.select("target", "name", F.col("start").alias("at")), ["target", "name"]).select(*calls.columns, "target", "at", F.lit("namespace").alias("how"))
+    defined = plain.unionByName(spaced)
+    by_place = defined.join(w.where(~F.col("method")), (F.col("target") == F.col("w_file")) & (F.col("at") == F.col("start")))
+    others = calls.where("object is not null").join(spaces.select("file", "object").distinct(), ["file", "object"], "left_anti").select(*calls.columns, F.lit("method").alias("how"))
+    by_name = others.join(w.where("method"), F.col("name") == F.col("w_name")).where(~F.col("name").isin(GENERIC_METHODS) | F.col("schema_keyword"))
+    wide = [*calls.columns, "how", *w.columns]
+    both = by_place.select(*wide).unionByName(by_name.select(*wide))
+    inside = (F.col("file") == F.col("w_file")) & (F.col("start") <= F.col("byte")) & (F.col("byte") < F.col("end"))
+    return both.where((F.col("python") == F.col("w_python")) & ~inside).select("call", "wrapper", "how").distinct()
+
+
+def eligible(name: Column, roles: Column, tier: Column, static_prompt: Column) -> Column:
+    """May a function stand for the calls in it? A schema, model or forwarded argument depends on a parameter, or a prompt does and the answers are open or no text is static."""
+    has = lambda r: F.array_contains(roles, r)
+    open_ = tier.isin("review", "not_decision") | static_prompt.isNull()
+    return (F.length(name) > 0) & (has("schema") | has("model") | has("forward") | (has("prompt") & open_))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from sparkgate.functions import schemas
 from sparkgate.functions import text as T
-from sparkgate.operators import answers, inputs, resolve
+from sparkgate.operators import answers, inputs, resolve, runs
 from sparkgate.plans.catalogue import table
+from sparkgate.plans.records import AT
 
 
 def case(k, *values):
@@ -18,13 +22,9 @@ def case(k, *values):
 
 
 def fill(template: str, **columns):
-    """template with {name} replaced by columns, which are cast to text."""
-    parts, rest = [], template
-    while "{" in rest:
-        head, _, tail = rest.partition("{")
-        name, _, rest = tail.partition("}")
-        parts += [F.lit(head), columns[name].cast("string")]
-    return F.concat(*parts, F.lit(rest)) if parts else F.lit(rest)
+    """template with {name} replaced by columns, which are cast to text; other braces stay."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[columns[x].cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)])
 
 
 def t01(spark, sf):
@@ -49,13 +49,7 @@ def i10(spark, sf):
     good = '{"team": "{t}", "urgent": {u}, "tags": ["docs", "bug", "docs"], "stars": {s}}'
     shapes = [good, good.replace("{t}", "none"), good.replace('"{t}"', "null"), good.replace("{t}", "{w}"), good.replace("{u}", '"{u}"'), good.replace("bug", "{w}"), good.replace("{s}", "3.5"), good.replace(', "stars": {s}', ""), good[:-1] + ', "more": 1}', "[{s}]", "not {w}", good.replace('["docs", "bug", "docs"]', "[]"), good.replace('["docs", "bug", "docs"]', '["bug"]')]
 
-    def written(shape):
-        for name in fields:
-            shape = shape.replace("{" + name + "}", f"\0{name}\0")
-        parts = shape.split("\0")
-        return F.concat(*[fields[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
-
-    a = answers.canonical_answer(case(k % 14, *map(written, shapes), F.lit(None).cast("string")), OUTPUTS)
+    a = answers.canonical_answer(case(k % 14, *[fill(x, **fields) for x in shapes], F.lit(None).cast("string")), OUTPUTS)
     return table(spark, sf, "orders").withColumn("a", a).select("o_orderkey", "a.reason", "a.team", "a.urgent", F.array_join("a.tags", ",").alias("tags"), F.round("a.stars", 6).alias("stars"))
 
 
@@ -104,7 +98,49 @@ def r02(spark, sf):
     return resolve.resolve_imports(table(spark, sf, "part").select(k.alias("id"), exact.alias("exact"), suffixes.alias("suffixes"), package.alias("package")), files)
 
 
-QUERIES = {"t01_prompt_signals": t01, "i03_verify_split": i03, "i06_unknown_site": i06, "i10_canonical_answer": i10, "i11_batch_inputs": i11, "r01_python_imports": r01, "r02_ts_imports": r02}
+def t06(spark, sf):
+    k = F.col("page_id")
+    head = case(k % 7, F.lit("import OpenAI from 'openai';"), F.lit('const a = require("@anthropic-ai/sdk/x")'), F.lit("import { x } from 'ai'\nimport 'langchain/y'"), F.lit("import {y} from \"@langchain/core\""), F.lit("// openai"), F.lit("import x from 'openai-edge'"), F.lit("from'openai/z'"))
+    return table(spark, sf, "pages").select("page_id", F.array_join(T.imported_ts_packages(F.concat(head, F.lit("\n"), F.coalesce("html", F.lit("")))), ",").alias("packages"))
+
+
+def schema_texts():
+    """A JSON Schema of each part, in every envelope, with properties of every kind."""
+    k, size, brand, name = F.col("p_partkey"), F.col("p_size"), F.col("p_brand"), F.col("p_name")
+    a = case(k % 5, fill('{"enum": ["{b}", "x", 3, "{n}"], "description": "d {b}"}', b=brand, n=name), fill('{"type": ["string", "null"], "enum": ["{b}", "x"]}', b=brand), fill('{"anyOf": [{"enum": ["{b}", "{n}"]}, {"type": "null"}]}', b=brand, n=name), F.lit('{"enum": ["one"], "type": "string"}'), F.lit('{"oneOf": [{"type": "boolean"}, {"type": "string"}]}'))
+    b = case(k % 3, F.lit('{"type": "boolean"}'), fill('{"type": "integer", "minimum": {s}, "maximum": {t}}', s=size, t=size + k % 13), fill('{"type": "array", "items": {"enum": ["{b}", "{n}"]}}', b=brand, n=name))
+    body = F.concat(F.lit('{"type": "object", "properties": {"a": '), a, F.lit(', "b": '), b, F.lit("}}"))
+    wrapped = case(k % 8, body, *[F.concat(F.lit(x), body, F.lit(y)) for x, y in (('{"type": "json_schema", "json_schema": {"name": "n", "schema": ', "}}"), ('{"format": {"type": "json_schema", "schema": ', "}}"), ('{"name": "f", "input_schema": ', "}"), ('{"type": "function", "function": {"name": "f", "parameters": ', "}}"))], F.lit('{"type": "json_object"}'), F.lit('{"properties": {"a": {"$ref": "#/x"}}}'), a)
+    return F.when(k % 17 == 0, F.concat(F.lit('{"enum": ["'), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(256)), lambda i: i.cast("string")), '", "'), F.lit('"]}'))).when(k % 19 == 0, "no json").otherwise(wrapped)
+
+
+def x13(spark, sf):
+    rows = schemas.answer_spaces(table(spark, sf, "part").select("p_partkey", schema_texts().alias("schema")), "p_partkey")
+    return rows.select("id", "state", "name", "description", "kind", F.array_join("options", "|").alias("options"), "nullable", F.array_join(F.transform("levels", lambda x: F.round(x * 100).cast("long").cast("string")), ",").alias("levels"))
+
+
+def g08(spark, sf):
+    """Calls of every line against wrappers of every part: plain names, modules imported whole, and methods."""
+    k, s, n = F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_partkey")
+    names = F.array(*map(F.lit, ("run", "ask", "route", "create", "grade", "pick")))
+    name = lambda c: F.concat(F.element_at(names, (c % 6 + 1).cast("int")), F.when(c % 1000 < 3, "").otherwise(F.concat(F.lit("_"), c % 1000)))
+    calls = table(spark, sf, "lineitem").select(F.expr(AT).alias("call"), (s % 50).alias("file"), (n % 2 == 0).alias("python"), name(n).alias("name"), case(F.col("l_linenumber") % 3, F.lit(None).cast("string"), fill("m{s}", s=s % 4), F.lit("client")).alias("object"), (n % 100).cast("long").alias("byte"), (k % 2 == 0).alias("schema_keyword")).distinct()
+    p = F.col("p_partkey")
+    wrappers = table(spark, sf, "part").select(p.alias("wrapper"), (p % 50).alias("file"), (p % 60).cast("long").alias("start"), (p % 60 + 30).cast("long").alias("end"), (p % 4 < 2).alias("python"), name(p).alias("name"), (p % 3 == 0).alias("method"))
+    bound = table(spark, sf, "lineitem").where("l_linenumber % 3 = 0").select(F.expr(AT).alias("call"), (n % 50).alias("target"), (n % 60).cast("long").alias("start")).distinct()
+    spaces = table(spark, sf, "supplier").select((F.col("s_suppkey") % 50).alias("file"), fill("m{n}", n=F.col("s_nationkey") % 3).alias("local"), (F.col("s_nationkey") % 50).alias("target")).distinct()
+    modules = table(spark, sf, "part").where("p_partkey % 3 <> 0").select((p % 50).alias("target"), name(p).alias("name"), (p % 60).cast("long").alias("start")).distinct()
+    return runs.callers(calls, bound, spaces, modules, wrappers)
+
+
+def g09(spark, sf):
+    p = F.col("p_partkey")
+    roles = F.array_compact(F.array(F.when(p % 5 == 0, "schema"), F.when(p % 7 == 0, "model"), F.when(p % 11 == 0, "forward"), F.when(p % 2 == 0, "prompt")))
+    tier = F.element_at(F.array(*map(F.lit, ("sure", "likely", "review", "not_decision"))), (p % 4 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", runs.eligible(F.when(p % 13 == 0, "").otherwise(F.col("p_name")), roles, tier, F.when(p % 3 == 0, "text")).alias("eligible"))
+
+
+QUERIES = {"t06_ts_import_gate": t06, "x13_answer_spaces": x13, "g08_callers": g08, "g09_eligible": g09, "t01_prompt_signals": t01, "i03_verify_split": i03, "i06_unknown_site": i06, "i10_canonical_answer": i10, "i11_batch_inputs": i11, "r01_python_imports": r01, "r02_ts_imports": r02}
 
 SQL = {
     "t01_prompt_signals": """WITH p AS (SELECT *, p_partkey % 12 AS c, CASE WHEN p_partkey % 60 > p_size THEN 'rating:' || p_size || ':' || (p_partkey % 60) END AS rate FROM part)
@@ -135,4 +171,23 @@ SQL = {
       s AS (SELECT m, CASE WHEN count(*) FILTER (ends_with(rel, '.ts')) = 1 THEN min(rel) FILTER (ends_with(rel, '.ts')) WHEN count(*) FILTER (ends_with(rel, '.ts')) = 0 AND count(*) = 1 THEN min(rel) END AS hit
             FROM (SELECT DISTINCT m FROM b) JOIN f ON ends_with(rel, '/' || m || '.ts') OR ends_with(rel, '/' || m || '/index.tsx') GROUP BY 1)
       SELECT b.id, CASE WHEN c = 6 THEN s.hit ELSE x.hit END AS target FROM b LEFT JOIN x ON x.id = b.id LEFT JOIN s ON s.m = b.m""",
+    "t06_ts_import_gate": "SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'ai_sdk,langchain' WHEN 3 THEN 'langchain' WHEN 6 THEN 'openai' ELSE '' END AS packages FROM pages",
+    "x13_answer_spaces": """WITH p AS (SELECT p_partkey AS id, p_partkey AS k, p_brand AS b, p_name AS n, p_size AS s, p_partkey % 8 AS w,
+        CASE WHEN p_partkey % 17 = 0 THEN 'unresolved:options' WHEN p_partkey % 19 = 0 THEN 'none' WHEN p_partkey % 8 = 5 THEN 'none' WHEN p_partkey % 8 = 6 THEN 'unresolved:$ref' ELSE 'resolved' END AS state FROM part),
+      a AS (SELECT id, state, CASE WHEN w <> 7 THEN 'a' END AS name, CASE WHEN k % 5 = 0 THEN 'd ' || b END AS description, CASE WHEN k % 5 < 3 THEN 'choice' ELSE 'free' END AS kind,
+        CASE k % 5 WHEN 0 THEN b || '|x|' || n WHEN 1 THEN b || '|x' WHEN 2 THEN b || '|' || n ELSE '' END AS options, k % 5 IN (1, 2) AS nullable, '' AS levels FROM p WHERE state = 'resolved'),
+      r AS (SELECT *, s + k % 13 AS t FROM p),
+      l AS (SELECT *, CASE WHEN k % 3 = 1 AND t > s THEN CASE WHEN t - s + 1 <= 10 THEN list_transform(range(0, t - s + 1), lambda i: CAST((s + i) * 100 AS BIGINT)) ELSE list_transform(range(0, 5), lambda i: CAST((s + (t - s) * i / 4::DOUBLE) * 100 AS BIGINT)) END END AS v FROM r),
+      c AS (SELECT id, state, 'b' AS name, NULL AS description, CASE k % 3 WHEN 0 THEN 'yes_no' WHEN 1 THEN CASE WHEN v IS NULL THEN 'free' ELSE 'score' END ELSE 'labels' END AS kind, CASE WHEN k % 3 = 2 THEN b || '|' || n ELSE '' END AS options, false AS nullable, coalesce(array_to_string(v, ','), '') AS levels FROM l WHERE state = 'resolved' AND w <> 7)
+      SELECT * FROM a UNION ALL SELECT * FROM c UNION ALL SELECT id, state, NULL, NULL, NULL, NULL, NULL, NULL FROM p WHERE state <> 'resolved'""",
+    "g08_callers": f"""WITH names AS (SELECT ['run', 'ask', 'route', 'create', 'grade', 'pick'] AS v),
+      c AS (SELECT DISTINCT {AT} AS call, l_suppkey % 50 AS file, l_partkey % 2 = 0 AS python, v[l_partkey % 6 + 1] || CASE WHEN l_partkey % 1000 < 3 THEN '' ELSE '_' || (l_partkey % 1000) END AS name, CASE l_linenumber % 3 WHEN 1 THEN 'm' || (l_suppkey % 4) WHEN 2 THEN 'client' END AS object, l_partkey % 100 AS byte, l_orderkey % 2 = 0 AS kw, l_partkey % 50 AS t, l_partkey % 60 AS s FROM lineitem, names),
+      w AS (SELECT p_partkey AS wrapper, p_partkey % 50 AS file, p_partkey % 60 AS start, p_partkey % 60 + 30 AS stop, p_partkey % 4 < 2 AS python, v[p_partkey % 6 + 1] || CASE WHEN p_partkey % 1000 < 3 THEN '' ELSE '_' || (p_partkey % 1000) END AS name, p_partkey % 3 = 0 AS method FROM part, names),
+      n AS (SELECT DISTINCT s_suppkey % 50 AS file, 'm' || (s_nationkey % 3) AS object, s_nationkey % 50 AS target FROM supplier),
+      m AS (SELECT DISTINCT file AS target, name, start FROM w WHERE NOT method),
+      a AS (SELECT c.*, w.wrapper, w.file AS wf, w.start, w.stop, w.python AS wp, 'plain' AS how FROM c JOIN w ON w.file = c.t AND w.start = c.s WHERE object IS NULL AND NOT method
+        UNION ALL SELECT c.*, w.wrapper, w.file, w.start, w.stop, w.python, 'namespace' FROM c JOIN n ON n.file = c.file AND n.object = c.object JOIN m ON m.target = n.target AND m.name = c.name JOIN w ON w.file = m.target AND w.start = m.start WHERE NOT method
+        UNION ALL SELECT c.*, w.wrapper, w.file, w.start, w.stop, w.python, 'method' FROM c JOIN w ON w.name = c.name WHERE method AND c.object IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n WHERE n.file = c.file AND n.object = c.object) AND (c.name NOT IN ('invoke', 'ainvoke', 'run', 'arun', 'call', 'acall', 'create', 'generate', 'agenerate', 'complete', 'acomplete', 'chat', 'achat', 'predict', 'query', 'stream', 'astream', 'send', 'request', 'execute') OR kw))
+      SELECT DISTINCT call, wrapper, how FROM a WHERE python = wp AND NOT (file = wf AND start <= byte AND byte < stop)""",
+    "g09_eligible": "SELECT p_partkey, p_partkey % 13 <> 0 AND (p_partkey % 5 = 0 OR p_partkey % 7 = 0 OR p_partkey % 11 = 0 OR (p_partkey % 2 = 0 AND (p_partkey % 4 > 1 OR p_partkey % 3 <> 0))) AS eligible FROM part",
 }
