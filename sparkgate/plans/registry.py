@@ -1,6 +1,6 @@
 """All queries of the reference's operators, and their SQL."""
 
-from sparkgate.plans import catalogue, exports, further, records, tabled
+from sparkgate.plans import catalogue, exports, further, records, scans, tabled
 
-QUERIES = catalogue.QUERIES | further.QUERIES | records.QUERIES | tabled.QUERIES | exports.QUERIES
-SQL = catalogue.SQL | further.SQL | records.SQL | tabled.SQL | exports.SQL | {"x01_stream_admission": catalogue.SQL["j06_budget_admission"]}
+QUERIES = catalogue.QUERIES | further.QUERIES | records.QUERIES | tabled.QUERIES | exports.QUERIES | scans.QUERIES
+SQL = catalogue.SQL | further.SQL | records.SQL | tabled.SQL | exports.SQL | scans.SQL | {"x01_stream_admission": catalogue.SQL["j06_budget_admission"]}

@@ -1,0 +1,116 @@
+"""Queries over Python sources: a file per part, written from the table, so that the tree grows with it; each with DuckDB SQL of what the files must give."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparkgate.plans.catalogue import table
+from sparkgate.plans.tabled import case, fill
+from sparkgate.sources import python_symbols
+from sparkgate.sources.python_calls import python_calls
+
+BODY = '''import os, json as js
+from openai import OpenAI
+from .m{m} import x as y, z
+from ..pkg import w
+from enum import Enum
+from typing import Annotated, List, Literal, Optional, Union
+from pydantic import BaseModel, Field
+
+MODEL = "m{k}"
+LIMITS = {"b": [1, {s}], "a": None}
+TWICE = 1
+TWICE = 2
+MADE = js.loads("{}")
+
+
+class Team(Enum):
+    A = "{b}"
+    B = "other"
+
+
+class Base(BaseModel):
+    ok: bool
+
+
+class Out(Base):
+    team: Team
+    kind: Literal["{t}", "x", None]
+    maybe: "Optional[Team]"
+    tags: List[Literal["p{s}", "q"]]
+    stars: int = Field(ge=1, le={l})
+    noted: Annotated[float, Field(ge=0, le=1)]
+    either: Union[str, int]
+    why: str
+
+
+def ask(text, *rest, limit={s}, model=MODEL, **more):
+    count = {s}
+    def inner(a, b=1):
+        return a
+    return OpenAI().chat.completions.create(model="m{k}", messages=[{"role": "user", "content": "{p}"}], max_tokens={s}{schema})
+
+
+class Client:
+    async def run(self, q: str):
+        try:
+            from late import thing
+        except ImportError:
+            pass
+        return {call}
+'''
+
+
+def files(spark, sf):
+    """(path, text, ...): one source per part; every 29th doesn't parse, every 31st imports no package."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    prompt = case(k % 4, F.lit("Answer yes or no."), fill("Write about {n}", n=F.col("p_name")), fill("Choose from: {b} or {n}", b=F.col("p_brand"), n=F.col("p_name")), F.lit(" "))
+    schema = F.when(k % 3 == 0, ", response_format=Out").when(k % 7 == 0, ", response_format=far").otherwise("")
+    call = F.when(k % 2 == 0, 'self.c.responses.create(input="Rate it 1 to 5", model=name)').otherwise("self.c.threads.messages.create(input=q)")
+    text = fill(BODY, m=k % 10, k=k, s=s, l=k % 5 + 2, b=F.col("p_brand"), t=F.col("p_type"), p=prompt, schema=schema, call=call)
+    text = F.when(k % 29 == 0, F.concat(text, F.lit("def (:\n"))).when(k % 31 == 0, F.replace(text, F.lit("from openai import OpenAI\n"), F.lit("\n"))).otherwise(text)
+    return table(spark, sf, "part").select(fill("p{x}/f{k}.py", x=k % 20, k=k).alias("path"), text.alias("text"))
+
+
+def s13(spark, sf):
+    return python_calls(files(spark, sf))
+
+
+def x20(spark, sf):
+    return python_symbols.functions(files(spark, sf))
+
+
+def x22(spark, sf):
+    return python_symbols.imports(files(spark, sf))
+
+
+def x07(spark, sf):
+    return python_symbols.names(files(spark, sf))
+
+
+def x15(spark, sf):
+    return python_symbols.fields(files(spark, sf))
+
+
+QUERIES = {"s13_python_tree": s13, "x20_functions": x20, "x22_imports": x22, "x07_names": x07, "x15_class_fields": x15}
+
+_parsed = "p AS (SELECT *, p_partkey AS k, 'p' || (p_partkey % 20) || '/f' || p_partkey || '.py' AS path FROM part WHERE p_partkey % 29 <> 0)"
+_line = {x: n for n, x in enumerate(BODY.split("\n"), 1)}
+_at = lambda start: next(n for x, n in _line.items() if x.strip().startswith(start))
+_rows = lambda values: "(VALUES " + ", ".join("(" + ", ".join(v) + ")" for v in values) + ")"
+_q = lambda x: "NULL" if x is None else f"'{x}'"
+_end = len(BODY.rstrip("\n").split("\n"))
+_imports = [("import os", "0", "os", None, "os"), ("import os", "0", "json", None, "js"), ("from openai", "0", "openai", "OpenAI", "OpenAI"), ("from .m", "1", "m*", "x", "y"), ("from .m", "1", "m*", "z", "z"), ("from ..pkg", "2", "pkg", "w", "w"), ("from enum", "0", "enum", "Enum", "Enum"), *[("from typing", "0", "typing", x, x) for x in ("Annotated", "List", "Literal", "Optional", "Union")], ("from pydantic", "0", "pydantic", "BaseModel", "BaseModel"), ("from pydantic", "0", "pydantic", "Field", "Field"), ("from late", "0", "late", "thing", "thing")]
+
+SQL = {
+    "s13_python_tree": f"""WITH {_parsed}, c AS (SELECT *, k % 4 AS c, CASE k % 4 WHEN 0 THEN 'yes_no' WHEN 2 THEN 'one_of:' || p_brand || '|' || p_name ELSE '' END AS signals FROM p WHERE k % 31 <> 0)
+      SELECT path, {_at('return OpenAI()')} AS line, 'openai' AS sdk, 'm' || k AS model, CASE WHEN k % 3 = 0 THEN 'likely' WHEN k % 7 = 0 THEN 'review' WHEN c IN (0, 2) THEN 'likely' WHEN p_size <= 16 THEN 'review' WHEN c = 1 THEN 'not_decision' ELSE 'review' END AS tier, signals, false AS dynamic, CAST(p_size AS BIGINT) AS max_tokens FROM c
+      UNION ALL SELECT path, {_end}, 'openai', NULL, 'likely', 'rating:1:5', false, NULL FROM c WHERE k % 2 = 0""",
+    "x20_functions": f"""WITH {_parsed}, f AS (SELECT path, k, p_size, n.* FROM p, {_rows([(_q(n), _q(s), str(_at(a)), str(_at(b) if b else _end), m) for n, s, a, b, m in [('ask', '', 'def ask', 'return OpenAI()', 'false'), ('inner', 'ask', 'def inner', 'return a', 'false'), ('run', 'Client', 'async def run', None, 'true')]])} n(name, scope, line, end_line, method))
+      SELECT path, name, scope, CAST(line AS INTEGER) AS line, CAST(end_line AS INTEGER) AS end_line, method, CASE name WHEN 'ask' THEN 'text,*rest,limit=' || p_size || ',model=MODEL,**more' WHEN 'inner' THEN 'a,b=1' ELSE 'self,q' END AS params FROM f""",
+    "x22_imports": f"""WITH {_parsed} SELECT path, CAST(line AS INTEGER) AS line, CAST(level AS INTEGER) AS level, CASE WHEN module = 'm*' THEN 'm' || (k % 10) ELSE module END AS module, name, local FROM p, {_rows([(str(_at(a)), lv, _q(m), _q(n), _q(lo)) for a, lv, m, n, lo in _imports])} i(line, level, module, name, local) WHERE module <> 'openai' OR k % 31 <> 0""",
+    "x07_names": f"""WITH {_parsed} SELECT path, scope, name, CAST(line AS INTEGER) AS line, single, CASE name WHEN 'MODEL' THEN '"m' || k || '"' WHEN 'LIMITS' THEN '{{"a":null,"b":[1,' || p_size || ']}}' WHEN 'count' THEN CAST(p_size AS VARCHAR) END AS value
+      FROM p, {_rows([(_q(s), _q(n), str(line), t) for s, n, line, t in [('', 'MODEL', _at('MODEL'), 'true'), ('', 'LIMITS', _at('LIMITS'), 'true'), ('', 'TWICE', _at('TWICE = 1'), 'false'), ('', 'TWICE', _at('TWICE = 2'), 'false'), ('', 'MADE', _at('MADE'), 'true'), ('ask', 'count', _at('count'), 'true')]])} n(scope, name, line, single)""",
+    "x15_class_fields": f"""WITH {_parsed} SELECT path, class, field, kind, CASE field WHEN 'team' THEN p_brand || '|other' WHEN 'maybe' THEN p_brand || '|other' WHEN 'kind' THEN p_type || '|x' WHEN 'tags' THEN 'p' || p_size || '|q' WHEN 'stars' THEN '1|' || (k % 5 + 2) WHEN 'noted' THEN '0|1' ELSE '' END AS options, field IN ('kind', 'maybe') AS nullable
+      FROM p, {_rows([(_q(c), _q(f), _q(x)) for c, f, x in [('Base', 'ok', 'yes_no'), ('Out', 'ok', 'yes_no'), ('Out', 'team', 'choice'), ('Out', 'kind', 'choice'), ('Out', 'maybe', 'choice'), ('Out', 'tags', 'labels'), ('Out', 'stars', 'score'), ('Out', 'noted', 'score'), ('Out', 'either', 'free'), ('Out', 'why', 'free')]])} f(class, field, kind)""",
+}
