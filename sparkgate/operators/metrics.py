@@ -10,6 +10,12 @@ Z = 1.959963984540054
 STEPS = 20
 
 
+def paired(reference: DataFrame, candidate: DataFrame, hash_col: str = "hash") -> DataFrame:
+    """Rows of both sides by input hash, one of each: an input that one side lacks is no row. Columns of a side are value, ok, and what else it has under names of its own."""
+    own = lambda df, side: df.select(hash_col, *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c != hash_col])
+    return own(reference, "ref").join(own(candidate, "cand"), hash_col)
+
+
 def wilson(count: Column, n: Column) -> tuple[Column, Column]:
     """The 95 % Wilson interval of count / n; null at n = 0, within [0, 1]."""
     c, m, z2 = count.cast("double"), n.cast("double"), Z * Z
