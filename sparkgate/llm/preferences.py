@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkgate.session import materialize
+
 #: Marks of the chat template, and what their opening becomes inside roles and texts so that no text can forge a turn.
 START, END = "<|im_start|>", "<|im_end|>"
 OPENING, BROKEN = "<|", "< |"
@@ -97,7 +99,10 @@ def reply_pairs(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
     backward = F.array_position(F.transform(F.reverse("turns"), lambda t: F.coalesce(t["role"] == trained_role, F.lit(False))), True)
     last = F.when(place > 0, F.size("turns") - backward.cast("int"))
     conv = conv.withColumn("last", last)
-    replies = conv.where("last is not null").select(F.col("conv_id").alias("of"), F.get("turns", F.col("last"))["text"].alias("reply"))
+    # The last reply is the greatest of its turns: a partial aggregate, so that conversations are gathered once.
+    trained = turns.where((F.col("role") == trained_role) & F.col("conv_id").isNotNull())
+    replies = trained.groupBy(F.col("conv_id").alias("of")).agg(F.max(F.struct("turn", "role", "text")).alias("x")).select("of", F.col("x.text").alias("reply"))
+    replies = materialize(replies, "replies")
     near = lambda step, name: replies.select((F.col("of") - step).alias("conv_id"), F.struct("reply").alias(name))
     both = conv.join(near(1, "after"), "conv_id", "left").join(near(-1, "before"), "conv_id", "left").withColumn("other", F.coalesce("after", "before"))
     status = F.when(F.col("last").isNull(), "no_reply").when(F.col("other").isNull(), "no_other").otherwise("paired")
