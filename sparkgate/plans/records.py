@@ -226,10 +226,10 @@ def r11(spark, sf):
 
 
 def r12(spark, sf):
-    used = table(spark, sf, "lineitem").select(F.expr(AT).alias("use"), (F.col("l_suppkey") % 100).alias("file"), F.concat(F.lit("n"), F.col("l_partkey") % 10).alias("name"), (F.col("l_partkey") % 1000).cast("long").alias("byte"))
+    used = table(spark, sf, "lineitem").select(F.expr(AT).alias("use"), F.col("l_partkey").alias("file"), F.concat(F.lit("n"), F.col("l_suppkey") % 3).alias("name"), (F.col("l_orderkey") % 1000).cast("long").alias("byte"))
     start = (F.col("o_custkey") % 20 * 50).cast("long")
-    defs = table(spark, sf, "orders").select((F.col("o_orderkey") % 100).alias("file"), F.concat(F.lit("n"), F.col("o_custkey") % 10).alias("name"), start.alias("start"), (start + F.col("o_custkey") % 7 * 60 + 10).alias("end"), F.col("o_orderkey").cast("long").alias("def"))
-    imports = table(spark, sf, "supplier").select((F.col("s_suppkey") % 100).alias("file"), F.concat(F.lit("n"), F.col("s_nationkey") % 10).alias("name"), F.col("s_suppkey").cast("long").alias("def"))
+    defs = table(spark, sf, "orders").select(F.floor(F.col("o_orderkey") / 8).alias("file"), F.concat(F.lit("n"), F.col("o_custkey") % 3).alias("name"), start.alias("start"), (start + F.col("o_custkey") % 7 * 100 + 10).alias("end"), F.col("o_orderkey").cast("long").alias("def"))
+    imports = table(spark, sf, "supplier").select((F.col("s_suppkey") * 17).alias("file"), F.concat(F.lit("n"), F.col("s_nationkey") % 3).alias("name"), F.col("s_suppkey").cast("long").alias("def"))
     return runs.bound_names(used, defs, imports, ["use"])
 
 
@@ -343,9 +343,9 @@ $', '')) AS l FROM l),
       a AS (SELECT file, name, CASE WHEN module THEN 0 ELSE 1 END AS p, 0 AS "at", CASE WHEN module THEN 'own' ELSE 'local' END AS found FROM o WHERE module OR NOT EXISTS (SELECT 1 FROM i WHERE i.file = o.file AND i.name = o.name)
             UNION ALL SELECT file, name, 2, "at", target || ':' || remote FROM i JOIN y USING (target, remote))
       SELECT file, name, found FROM (SELECT *, row_number() OVER (PARTITION BY file, name ORDER BY p, "at", found) AS n FROM a) WHERE n = 1""",
-    "r12_bound_names": f"""WITH u AS (SELECT {AT} AS use, l_suppkey % 100 AS file, 'n' || (l_partkey % 10) AS name, l_partkey % 1000 AS byte FROM lineitem),
-      d AS (SELECT o_orderkey % 100 AS file, 'n' || (o_custkey % 10) AS name, o_custkey % 20 * 50 AS s, o_custkey % 20 * 50 + o_custkey % 7 * 60 + 10 AS e, o_orderkey AS def FROM orders),
+    "r12_bound_names": f"""WITH u AS (SELECT {AT} AS use, l_partkey AS file, 'n' || (l_suppkey % 3) AS name, l_orderkey % 1000 AS byte FROM lineitem),
+      d AS (SELECT o_orderkey // 8 AS file, 'n' || (o_custkey % 3) AS name, o_custkey % 20 * 50 AS s, o_custkey % 20 * 50 + o_custkey % 7 * 100 + 10 AS e, o_orderkey AS def FROM orders),
       b AS (SELECT use, def FROM (SELECT use, def, row_number() OVER (PARTITION BY use ORDER BY s DESC, e, def DESC) AS n FROM u JOIN d ON d.file = u.file AND d.name = u.name AND s <= byte AND byte < e) WHERE n = 1),
-      m AS (SELECT s_suppkey % 100 AS file, 'n' || (s_nationkey % 10) AS name, min(s_suppkey) AS def FROM supplier GROUP BY 1, 2)
+      m AS (SELECT s_suppkey * 17 AS file, 'n' || (s_nationkey % 3) AS name, min(s_suppkey) AS def FROM supplier GROUP BY 1, 2)
       SELECT u.use, coalesce(b.def, m.def) AS def, CASE WHEN b.def IS NOT NULL THEN 'scope' WHEN m.def IS NOT NULL THEN 'import' END AS how FROM u LEFT JOIN b ON b.use = u.use LEFT JOIN m ON m.file = u.file AND m.name = u.name""",
 }
