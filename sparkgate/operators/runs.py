@@ -141,3 +141,32 @@ def eligible(name: Column, roles: Column, tier: Column, static_prompt: Column) -
     has = lambda r: F.array_contains(roles, r)
     open_ = tier.isin("review", "not_decision") | static_prompt.isNull()
     return (F.length(name) > 0) & (has("schema") | has("model") | has("forward") | (has("prompt") & open_))
+
+
+def preview(rows: DataFrame, order: list[str], most: int = 20) -> DataFrame:
+    """The first rows in order, 100 at most: a top-k, not a sort of all."""
+    return rows.orderBy(*order).limit(max(0, min(most, 100)))
+
+
+def frontier_words(wrappers: DataFrame) -> DataFrame:
+    """Distinct words (word) that a file must hold to call a wrapper (name, python, method, file, default): its name, and the module name of a script file whose default export is a function."""
+    module = F.regexp_extract("file", r"([^/.]+)\.[^/]*$", 1)
+    more = F.when(~F.col("python") & ~F.col("method") & F.col("default"), module)
+    return wrappers.select(F.explode(F.array_compact(F.array("name", more))).alias("word")).distinct()
+
+
+def definition_tables(documents: DataFrame, id_col: str, json_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """definitions, questions and outputs, as validation.definition_problems() takes them, of JSON documents (id, json).
+
+    {"schema_version", "id", "site_id", "definition_revision", "questions": {name: {"type", "criteria": object or array}}, "outputs": [{"name", "type", "question",
+    "cutoff", "nullable_option", "level_values"}]}. Text that is no JSON object gives a definition of nulls.
+    """
+    d = documents.select(F.col(id_col).alias("definition"), F.from_json(json_col, "schema_version string, id string, site_id string, definition_revision string, questions map<string,string>, outputs array<struct<name:string,type:string,question:string,cutoff:double,nullable_option:string,level_values:array<double>>>").alias("j"))
+    definitions = d.select("definition", "j.schema_version", "j.id", "j.site_id", F.col("j.definition_revision").alias("revision"))
+    asked = d.select("definition", F.explode("j.questions").alias("question", "q"))
+    criteria = F.get_json_object("q", "$.criteria")
+    names = F.when(criteria.startswith("["), F.from_json(criteria, "array<string>")).otherwise(F.json_object_keys(criteria))
+    questions = asked.select("definition", "question", F.get_json_object("q", "$.type").alias("kind"), F.coalesce(names, F.array().cast("array<string>")).alias("criteria"))
+    given = d.select("definition", F.explode("j.outputs").alias("o"))
+    outputs = given.select("definition", F.col("o.name").alias("output"), F.col("o.type").alias("shape"), F.col("o.question").alias("question"), F.col("o.cutoff").alias("cutoff"), F.col("o.nullable_option").alias("null_option"), F.col("o.level_values").alias("level_values"))
+    return definitions, questions, outputs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkgate.functions import scalars as S
-from sparkgate.operators import graph, metrics, normalize, sites
+from sparkgate.operators import graph, metrics, normalize, runs, sites, validation
 from sparkgate.plans.catalogue import SWEEP, sweep_of, table, valid
 from sparkgate.plans.tabled import case, fill
 
@@ -94,7 +94,39 @@ def k04(spark, sf):
     return S.markdown(table(spark, sf, "customer").withColumn("c_name", F.when(F.col("c_custkey") % 5 == 0, F.lit("a|b\nc")).when(F.col("c_custkey") % 7 != 0, F.col("c_name"))), ["c_custkey", "c_name", "c_mktsegment"], "c_custkey")
 
 
-QUERIES = {"f01_strings": f01, "f02_filled": f02, "f03_estimates": f03, "f04_statuses": f04, "f05_cache_keys": f05, "f06_agree": f06, "n01_labels": n01, "n02_scores": n02, "n04_short_paths": n04, "m22_triage_order": m22, "m23_pairs": m23, "k04_report_table": k04}
+def k07(spark, sf):
+    return runs.preview(table(spark, sf, "orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"], 50)
+
+
+def g10(spark, sf):
+    """Edges in the order of caller, wrapper, depth and label."""
+    e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("caller"), F.concat(F.lit("w"), F.col("l_suppkey")).alias("wrapper"), F.col("l_linenumber").alias("depth"), F.col("l_returnflag").alias("label")).distinct()
+    return sites.positioned(e, *map(F.col, ("caller", "wrapper", "depth", "label")))
+
+
+def j15(spark, sf):
+    """Registry entries by id, then project before user."""
+    e = table(spark, sf, "customer").select(F.concat(F.lit("r"), F.col("c_custkey") % 700).alias("id"), F.when(F.col("c_custkey") % 3 == 0, "project").otherwise("user").alias("scope")).distinct()
+    return sites.positioned(e, F.col("id"), F.col("scope") != "project")
+
+
+def g11(spark, sf):
+    k = F.col("p_partkey")
+    w = table(spark, sf, "part").select(F.concat(F.lit("f"), k % 300).alias("name"), (k % 2 == 0).alias("python"), (k % 3 == 0).alias("method"), fill("lib/{b}/mod{k}.{x}", b=k % 9, k=k % 70, x=F.when(k % 2 == 0, "py").otherwise("d.ts")).alias("file"), (k % 5 != 0).alias("default"))
+    return runs.frontier_words(w)
+
+
+def s07(spark, sf):
+    """A JSON document per customer, planted with every kind of fault; some are no JSON."""
+    k = F.col("c_custkey")
+    body = fill(
+        '{"schema_version": "{v}", "id": "d{k}", "site_id": "{s}", "questions": {"q": {"type": "choice", "criteria": {"a": "x", "b": null}}, "r": {"type": "score", "criteria": ["low", "high"]}}, "outputs": [{"name": "o", "type": "choice", "question": "{q}", "nullable_option": "{n}"}, {"name": "{o}", "type": "score", "question": "r", "level_values": [{l}, 2.0]}]}',
+        v=F.when(k % 11 == 0, "2.0").otherwise("1.0"), k=k, s=F.when(k % 7 == 0, "x").otherwise("source:x"), q=F.when(k % 5 == 0, "gone").when(k % 13 == 0, "r").otherwise("q"), n=F.when(k % 3 == 0, "c").otherwise("a"), o=F.when(k % 17 == 0, "o").otherwise("p"), l=F.when(k % 2 == 0, "1.0").otherwise("2.0"),
+    )
+    return validation.definition_problems(*runs.definition_tables(table(spark, sf, "customer").select(k, F.when(k % 19 == 0, "nope").otherwise(body).alias("json")), "c_custkey", "json"))
+
+
+QUERIES = {"k07_preview": k07, "g10_edge_order": g10, "j15_registry_order": j15, "g11_frontier_words": g11, "s14_definition_documents": s07, "f01_strings": f01, "f02_filled": f02, "f03_estimates": f03, "f04_statuses": f04, "f05_cache_keys": f05, "f06_agree": f06, "n01_labels": n01, "n02_scores": n02, "n04_short_paths": n04, "m22_triage_order": m22, "m23_pairs": m23, "k04_report_table": k04}
 
 _spaces = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _near = lambda x: f"list_position(list_transform([1::DOUBLE, 2, 4], lambda v: abs(v - {x})), list_min(list_transform([1::DOUBLE, 2, 4], lambda v: abs(v - {x}))))"
@@ -118,4 +150,12 @@ SQL = {
     "m23_pairs": "SELECT d.doc_id % 23 <> 0 AS ref_ok, d.doc_id % 19 <> 0 AS cand_ok, count(*) AS n, count(*) FILTER ((quality = 1) = (n_chars % 2 = 0)) AS agreed FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1, 2",
     "k04_report_table": """SELECT CAST(-1 AS BIGINT) AS position, '| c_custkey | c_name | c_mktsegment |' AS line UNION ALL SELECT 0, '| --- | --- | --- |' UNION ALL
       SELECT row_number() OVER (ORDER BY c_custkey), '| ' || c_custkey || ' | ' || CASE WHEN c_custkey % 5 = 0 THEN 'a\\|b c' WHEN c_custkey % 7 = 0 THEN '—' ELSE c_name END || ' | ' || c_mktsegment || ' |' FROM customer""",
+    "k07_preview": "SELECT o_totalprice, o_orderkey FROM orders ORDER BY 1, 2 LIMIT 50",
+    "g10_edge_order": "WITH e AS (SELECT DISTINCT l_partkey AS caller, 'w' || l_suppkey AS wrapper, l_linenumber AS depth, l_returnflag AS label FROM lineitem) SELECT *, row_number() OVER (ORDER BY caller, wrapper, depth, label) AS position FROM e",
+    "j15_registry_order": "WITH e AS (SELECT DISTINCT 'r' || (c_custkey % 700) AS id, CASE WHEN c_custkey % 3 = 0 THEN 'project' ELSE 'user' END AS scope FROM customer) SELECT *, row_number() OVER (ORDER BY id, scope) AS position FROM e",
+    "g11_frontier_words": "SELECT DISTINCT 'f' || (p_partkey % 300) AS word FROM part UNION SELECT 'mod' || (p_partkey % 70) FROM part WHERE p_partkey % 2 <> 0 AND p_partkey % 3 <> 0 AND p_partkey % 5 <> 0",
+    "s14_definition_documents": """WITH c AS (SELECT c_custkey AS k, c_custkey % 17 = 0 AS twice FROM customer),
+      o AS (SELECT k, CASE WHEN twice THEN 'o:duplicate' WHEN k % 5 = 0 THEN 'o:unknown_question' WHEN k % 13 = 0 THEN 'o:question_kind' WHEN k % 3 = 0 THEN 'o:null_option' END AS a, CASE WHEN twice THEN NULL WHEN k % 2 <> 0 THEN 'p:level_order' END AS b FROM c),
+      r AS (SELECT k AS definition, CASE WHEN k % 19 = 0 THEN 'schema_version' WHEN k % 11 = 0 THEN 'schema_version' WHEN k % 7 = 0 THEN 'site_id' ELSE coalesce(a, b) END AS problem FROM o)
+      SELECT * FROM r WHERE problem IS NOT NULL""",
 }
