@@ -57,9 +57,9 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def label_list(rest: Column) -> Column:
     """Labels of "a, b or c": 2 to 20 of at most 40 bytes and 3 words, else null."""
-    text = F.regexp_replace(F.regexp_replace(F.trim(rest), r"[.;]+$", ""), " or | and ", ",")
-    parts = F.filter(F.transform(F.split(text, r"[,/|]"), lambda p: F.regexp_replace(p, r"""^[\s"'`\[\](){}*]+|[\s"'`\[\](){}*]+$""", "")), lambda p: p != "")
-    good = F.size(parts).between(2, 20) & F.forall(parts, lambda p: (F.octet_length(p) <= 40) & (F.size(F.split(p, r"\s+")) <= 3))
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, r"(?U)^\s+|\s+$", ""), r"[.;]+$", ""), " or | and ", ",")
+    parts = F.filter(F.transform(F.split(text, r"[,/|]"), lambda p: F.regexp_replace(p, r"""(?U)^[\s"'`\[\](){}*]+|[\s"'`\[\](){}*]+$""", "")), lambda p: p != "")
+    good = F.size(parts).between(2, 20) & F.forall(parts, lambda p: (F.octet_length(p) <= 40) & (F.size(F.split(p, r"(?U)\s+")) <= 3))
     return F.when(good, parts)
 
 
@@ -96,7 +96,7 @@ def tier(fields: Column, free_text: Column, unresolved: Column, signals: Column,
         .when(fields.isNotNull(), "likely")
         .when(F.size(signals) > 0, "likely")
         .when(max_tokens <= 16, "review")
-        .when(F.trim(prompt) != "", "not_decision")
+        .when(prompt.rlike(r"(?U)\S"), "not_decision")
         .otherwise("review")
     )
 
