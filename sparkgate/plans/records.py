@@ -214,7 +214,7 @@ def r09(spark, sf):
 
 def r10(spark, sf):
     imports = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("target"), F.when(F.col("l_linenumber") % 3 == 0, "default").otherwise(F.col("l_returnflag")).alias("remote"))
-    exports = table(spark, sf, "supplier").where("s_nationkey < 13").select(F.col("s_suppkey").alias("target"), F.col("s_name").alias("name"))
+    exports = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("target"), F.when(F.col("s_nationkey") < 13, F.col("s_name")).alias("name"))
     return runs.default_exports(imports, exports).select("l_orderkey", "l_linenumber", "remote")
 
 

@@ -91,7 +91,7 @@ def r01(spark, sf):
 
 def r02(spark, sf):
     n, s = F.col("s_nationkey"), F.col("s_suppkey")
-    files = table(spark, sf, "supplier").select(F.when(s % 2 == 0, fill("w{n}/m{s}.ts", n=n, s=s)).otherwise(fill("w{n}/m{s}/index.tsx", n=n, s=s)).alias("rel")).union(table(spark, sf, "supplier").where("s_suppkey % 10 = 0").select(fill("x/m{s}.ts", s=s))).distinct()
+    files = table(spark, sf, "supplier").select(F.when(s % 2 == 0, fill("w{n}/m{s}.ts", n=n, s=s)).otherwise(fill("w{n}/m{s}/index.tsx", n=n, s=s)).alias("own"), F.when(s % 10 == 0, fill("x/m{s}.ts", s=s)).alias("more")).select(F.explode(F.array_compact(F.array("own", "more"))).alias("rel")).distinct()
     k, m, y = F.col("p_partkey"), F.col("p_partkey") % 120, F.col("p_partkey") % 25
     spec = case(k % 7, fill("./m{m}", m=m), fill("./m{m}.js", m=m), fill("@/w{y}/m{m}", y=y, m=m), fill("../w{y}/./m{m}", y=y, m=m), fill("m{m}", m=m), fill("../../w{y}/m{m}", y=y, m=m), fill("~/m{m}", m=m))
     exact, suffixes, package = resolve.ts_candidates(fill("w{y}/u.ts", y=y), spec)
@@ -127,9 +127,9 @@ def g08(spark, sf):
     calls = table(spark, sf, "lineitem").select(F.expr(AT).alias("call"), (s % 50).alias("file"), (n % 2 == 0).alias("python"), name(n).alias("name"), case(F.col("l_linenumber") % 3, F.lit(None).cast("string"), fill("m{s}", s=s % 4), F.lit("client")).alias("object"), (n % 100).cast("long").alias("byte"), (k % 2 == 0).alias("schema_keyword")).distinct()
     p = F.col("p_partkey")
     wrappers = table(spark, sf, "part").select(p.alias("wrapper"), (p % 50).alias("file"), (p % 60).cast("long").alias("start"), (p % 60 + 30).cast("long").alias("end"), (p % 4 < 2).alias("python"), name(p).alias("name"), (p % 3 == 0).alias("method"))
-    bound = table(spark, sf, "lineitem").where("l_linenumber % 3 = 0").select(F.expr(AT).alias("call"), (n % 50).alias("target"), (n % 60).cast("long").alias("start")).distinct()
+    bound = table(spark, sf, "lineitem").select(F.expr(AT).alias("call"), (n % 50).alias("target"), (n % 60).cast("long").alias("start")).distinct()
     spaces = table(spark, sf, "supplier").select((F.col("s_suppkey") % 50).alias("file"), fill("m{n}", n=F.col("s_nationkey") % 3).alias("local"), (F.col("s_nationkey") % 50).alias("target")).distinct()
-    modules = table(spark, sf, "part").where("p_partkey % 3 <> 0").select((p % 50).alias("target"), name(p).alias("name"), (p % 60).cast("long").alias("start")).distinct()
+    modules = wrappers.where(~F.col("method")).select(F.col("file").alias("target"), "name", "start").distinct()
     return runs.callers(calls, bound, spaces, modules, wrappers)
 
 
