@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,12 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: No pair of symbols: larger than every rank.
 NONE = np.iinfo(np.int32).max
-#: Words that a worker remembers, the longest of them, and the characters of texts that are encoded together.
-MEMORY, LONGEST, TOGETHER = 200_000, 48, 1 << 20
+#: The table of pairs: slots, and an odd multiplier whose upper bits choose one.
+SLOT_BITS, MIX = 19, np.uint64(0x9E3779B97F4A7C15)
+#: Of a segment with more occurrences than this that can't be merged at once, all are merged in turn in one round, else the first.
+IN_TURN = 6
+#: Words that a worker remembers (and those of the texts then encoded), and the characters of texts that are encoded together.
+MEMORY, TOGETHER = 200_000, 1 << 20
 
 
 class Pieces:
@@ -65,9 +69,16 @@ class Pieces:
                 for part in (left, right):
                     if part in rank and rank[part] >= rank[k]:
                         safe[rank[part]] = False
-        self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.results = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int32)
-        self.ranks = np.array([rank[k] for k in self.results.tolist()], dtype=np.int32)
+        self.pairs = {k: (rank[p], p) for k, p in pairs.items()}
+        # Keys in order of their slots: place 0 stands for no pair, and what follows the last slot belongs to none.
+        keys = np.array(list(pairs) or [-1], dtype=np.int64)
+        slot = (keys.view(np.uint64) * MIX >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        self.deepest = int(np.bincount(slot).max())
+        self.keys = np.concatenate([[-1], keys[order], [-1] * self.deepest])
+        self.slots = (np.searchsorted(slot[order], np.arange(1 << SLOT_BITS)) + 1).astype(np.int32)
+        made = [self.pairs.get(k, (NONE, -1)) for k in self.keys.tolist()]
+        self.ranks, self.results = (np.array([m[c] for m in made], dtype=np.int32) for c in (0, 1))
         self.safe = safe
 
         # Characters next to each other in no piece are never merged: words are cut there.
@@ -75,27 +86,42 @@ class Pieces:
         self.neighbours = np.array(sorted(inner), dtype=np.int64)
         cuts_at_spaces = not any(a != SPACE and b == SPACE for t in texts.values() for a, b in zip(t, t[1:]))
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if cuts_at_spaces else r"(?s:.+)").findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        # Words that were encoded before: their numbers, their ids one after the other, and where those end.
+        self.known: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
 
-        # For decoding: the bytes of each id; None for those whose text is the library's affair.
-        self.bytes = [None if sp.is_control(k) or sp.is_unknown(k) else texts[k].replace(SPACE, " ").encode() if k in texts else b"" for k in range(n)]
+        # For decoding: the bytes of each id one after the other; those of control and unknown ids are not plain.
+        self.plain = np.array([not (sp.is_control(k) or sp.is_unknown(k)) for k in range(n)])
+        shown = [texts[k].replace(SPACE, " ").encode() if k in texts else b"" for k in range(n)]
         for value, k in self.byte_ids.items():
-            self.bytes[k] = bytes([value])
+            shown[k] = bytes([value])
+        self.text = np.frombuffer(b"".join(shown), dtype=np.uint8)
+        self.text_size = np.array([len(x) for x in shown], dtype=np.int64)
+        self.text_at = np.cumsum(self.text_size) - self.text_size
         # Does decoding take away the space that encoding puts before the text?
         self.strips = sp.decode([symbol[SPACE]]) == "" if SPACE in symbol and symbol[SPACE] < n else None
 
     def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, piece) of pairs of symbols; NONE where they make no piece."""
-        key = np.where((left < 0) | (right < 0), -1, left * self.symbols + right)
-        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-        hit = self.keys[at] == key if len(self.keys) else np.zeros(len(key), dtype=bool)
-        return np.where(hit, self.ranks[at] if len(self.keys) else NONE, NONE), np.where(hit, self.results[at] if len(self.keys) else -1, -1)
+        """(rank, piece) of pairs of symbols; NONE where they make no piece. A pair's key is among the few of its slot."""
+        key = left * self.symbols + right
+        slot = (key.view(np.uint64) * MIX >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        place = self.slots[slot]
+        found = np.zeros(len(key), dtype=np.int32)
+        for k in range(self.deepest):
+            at = place + k
+            np.copyto(found, at, where=self.keys[at] == key)
+        return self.ranks[found], self.results[found]
 
     def _in_turn(self, symbols: np.ndarray, rank: int, hits: np.ndarray, low: int, high: int, alive: np.ndarray, dirty: np.ndarray) -> None:
         """Merges the hits of one segment [low, high) from left to right, each followed by what it makes that comes no later than rank."""
         ahead = {}  # the next living symbol, where it isn't the next one
         behind = {}
-        get = lambda a, b: tuple(int(x[0]) for x in self._look(symbols[a : a + 1].astype(np.int64), symbols[b : b + 1].astype(np.int64)))
+        table, width, none = self.pairs, int(self.symbols), (NONE, -1)
+
+        def get(a: int, b: int) -> tuple[int, int]:
+            left, right = int(symbols[a]), int(symbols[b])
+            return none if left < 0 or right < 0 else table.get(left * width + right, none)
+
         for at in hits.tolist():
             other = ahead.get(at, at + 1)
             if not alive[at] or other >= high or get(at, other)[0] != rank:
@@ -120,7 +146,7 @@ class Pieces:
         """(symbol, start, codes): the symbols of all words after all merges, in order, with the place of their first character in codes.
 
         Every round takes the least rank of each segment that still has a pair. All its occurrences are merged at once, from the left where they overlap;
-        only where a merge may make a pair that comes before the other occurrences are they merged in turn. Then the arrays are compacted.
+        where a merge may make a pair that comes before the other occurrences, only the leftmost is, or many are in turn. Then the arrays are compacted.
         """
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
         if not len(codes):
@@ -131,98 +157,118 @@ class Pieces:
         both = codes[:-1] << 21 | codes[1:]
         at = np.minimum(np.searchsorted(self.neighbours, both), max(0, len(self.neighbours) - 1))
         cut[1:] |= self.neighbours[at] != both if len(self.neighbours) else True
-        segment = np.cumsum(cut)
-        start, symbol = np.arange(len(codes)), self.of_char[codes]
+        segment = np.cumsum(cut, dtype=np.int32)
+        start, symbol = np.arange(len(codes), dtype=np.int32), self.of_char[codes]
 
-        def pairs(symbol: np.ndarray, segment: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def pairs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             after = np.minimum(at + 1, len(symbol) - 1)
-            rank, piece = self._look(symbol[at].astype(np.int64), symbol[after].astype(np.int64))
-            apart = (at + 1 == len(symbol)) | (segment[at] != segment[after])
-            return np.where(apart, NONE, rank).astype(np.int32), piece.astype(np.int32)
+            left, right = symbol[at].astype(np.int64), symbol[after].astype(np.int64)
+            apart = (left < 0) | (right < 0) | (after == at) | (segment[at] != segment[after])
+            rank, piece = self._look(left, right)
+            rank[apart] = NONE
+            return rank, piece
 
-        rank, piece = pairs(symbol, segment, start)
+        rank, piece = pairs(start)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbol):
             first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
             size = np.diff(np.r_[first, len(symbol)])
             least = np.minimum.reduceat(rank, first)
-            ready = np.repeat(least == NONE, size)
+            ready = least == NONE
             if ready.any():
-                done.append((symbol[ready], start[ready]))
-                left = ~ready
-                symbol, start, segment, rank, piece = symbol[left], start[left], segment[left], rank[left], piece[left]
-                size, least = size[least != NONE], least[least != NONE]
+                over = np.repeat(ready, size)
+                done.append((symbol[over], start[over]))
+                left = np.flatnonzero(~over)
+                symbol, start, segment, rank, piece = (x.take(left) for x in (symbol, start, segment, rank, piece))
+                size, least = size[~ready], least[~ready]
                 if not len(symbol):
                     break
             (hits,) = np.nonzero(rank == np.repeat(least, size))
-            group = np.repeat(np.arange(len(size)), size)[hits]
-            several = np.bincount(group, minlength=len(size)) > 1
-            turn = several & ~self.safe[least]
+            group = np.repeat(np.arange(len(size), dtype=np.int32), size)[hits]
             alive, dirty = np.ones(len(symbol), dtype=bool), np.zeros(len(symbol), dtype=bool)
-            for g in np.flatnonzero(turn).tolist():
-                low = int(size[:g].sum())
-                self._in_turn(symbol, int(least[g]), hits[group == g], low, low + int(size[g]), alive, dirty)
-            hits = hits[~turn[group]]
-            # Of overlapping pairs of equal symbols every second one is merged, from the left.
-            runs = np.r_[True, hits[1:] != hits[:-1] + 1] if len(hits) else np.zeros(0, dtype=bool)
-            within = hits - hits[runs][np.cumsum(runs) - 1] if len(hits) else hits
-            hits = hits[within % 2 == 0]
+            if len(hits) > len(size):
+                times = np.bincount(group, minlength=len(size))
+                turn = (times > IN_TURN) & ~self.safe[least]
+                ends = np.cumsum(size)
+                for g in np.flatnonzero(turn).tolist():
+                    self._in_turn(symbol, int(least[g]), hits[group == g], int(ends[g] - size[g]), int(ends[g]), alive, dirty)
+                keep = ~turn[group] & (self.safe[least][group] | np.r_[True, group[1:] != group[:-1]])
+                hits = hits[keep]
+                # Of overlapping pairs of equal symbols every second one is merged, from the left.
+                runs = np.r_[True, hits[1:] != hits[:-1] + 1][: len(hits)]
+                within = hits - hits[runs][np.cumsum(runs) - 1]
+                hits = hits[within % 2 == 0]
             symbol[hits] = piece[hits]
             alive[hits + 1] = False
             dirty[hits] = True
             dirty[np.maximum(hits - 1, 0)] = True
-            symbol, start, segment, rank, piece, dirty = symbol[alive], start[alive], segment[alive], rank[alive], piece[alive], dirty[alive]
-            (again,) = np.nonzero(dirty)
-            rank[again], piece[again] = pairs(symbol, segment, again)
+            left = np.flatnonzero(alive)
+            symbol, start, segment, rank, piece, dirty = (x.take(left) for x in (symbol, start, segment, rank, piece, dirty))
+            again = np.flatnonzero(dirty)
+            rank[again], piece[again] = pairs(again)
         symbols, starts = (np.concatenate([d[k] for d in done]) for k in (0, 1))
         order = np.argsort(starts)
         return symbols[order], starts[order], codes
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """ids of each word of normalized text. Characters without a piece are the ids of their bytes."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of all words of normalized text, one after the other. Characters without a piece are the ids of their bytes."""
         symbols, starts, codes = self.merged(words)
+        ends = np.searchsorted(starts, np.cumsum([len(w) for w in words], dtype=np.int64))
         (bare,) = np.nonzero((symbols < 0) | (symbols >= self.count))
-        ids: list = symbols.tolist()
-        for k in bare.tolist():
-            ids[k] = [self.byte_ids[b] for b in chr(codes[starts[k]]).encode("utf-8", "replace")]
-        out, at = [], 0
-        ends = np.searchsorted(starts, np.cumsum([len(w) for w in words])).tolist()
-        with_bytes = set(np.searchsorted(ends, bare, side="right").tolist())
-        for k, end in enumerate(ends):
-            own = ids[at:end]
-            out.append(tuple(chain.from_iterable(x if isinstance(x, list) else (x,) for x in own)) if k in with_bytes else tuple(own))
-            at = end
-        return out
+        if not len(bare):
+            return symbols, ends
+        raw = [[self.byte_ids[b] for b in chr(c).encode("utf-8", "replace")] for c in codes[starts[bare]].tolist()]
+        times = np.ones(len(symbols), dtype=np.int64)
+        times[bare] = [len(r) for r in raw]
+        after = np.cumsum(times)
+        ids = np.repeat(symbols, times)
+        ids[np.repeat(np.isin(np.arange(len(symbols)), bare, assume_unique=True), times)] = list(chain.from_iterable(raw))
+        return ids, np.where(ends > 0, after[ends - 1], 0)
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of texts one after the other, as the library's encode() gives them."""
+        split = [self.words(self.library.normalize(t)) if t else [] for t in texts]
+        every = list(chain.from_iterable(split))
+        number = np.fromiter(map(self.known.get, every, repeat(-1)), dtype=np.int64, count=len(every))
+        flat, ends = self.flat, self.ends
+        (missing,) = np.nonzero(number < 0)
+        if len(missing):
+            fresh: dict[str, int] = {}
+            number[missing] = [fresh.setdefault(every[k], len(ends) + len(fresh)) for k in missing.tolist()]
+            new, new_ends = self.encode_words(list(fresh))
+            flat, ends = np.concatenate([flat, new]), np.concatenate([ends, new_ends + len(flat)])
+            if len(self.known) < MEMORY:  # what comes early is what comes often
+                self.known.update(fresh)
+                self.flat, self.ends = flat, ends
+        sizes = np.diff(ends, prepend=0)
+        length = sizes[number]
+        before = np.cumsum([0, *(len(w) for w in split)])
+        offsets = np.concatenate([[0], np.cumsum(length)])[before]
+        return _gather(flat, (ends - sizes)[number], length), offsets
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """ids of each text, as the library's encode() gives them."""
-        split = [self.words(self.library.normalize(t)) if t else [] for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        found = dict(zip(new, self.encode_words(new)))
-        room = MEMORY - len(self.known)
-        if room > 0:
-            self.known.update((w, found[w]) for w in [w for w in new if len(w) <= LONGEST][:room])
-        get = self.known.get
-        out = []
-        for words in split:
-            parts = [get(w) or found[w] for w in words]
-            out.append(np.fromiter(chain.from_iterable(parts), dtype=np.int32))
-        return out
-
-    def decode(self, ids: Iterable[int]) -> str:
-        """The text of ids, as the library's decode() gives it."""
-        ids = [int(k) for k in ids]
-        if not ids:
+        """ids of each text."""
+        ids, offsets = self.encode_flat(texts)
+        return [ids[a:b] for a, b in zip(offsets, offsets[1:])]
+
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        """The text of ids, as the library's decode() gives it. Control and unknown ids and broken bytes are the library's own affair."""
+        ids = np.asarray(ids, dtype=np.int64)
+        if not len(ids):
             return ""
-        table = self.bytes
-        parts = [table[k] if 0 <= k < self.count else None for k in ids]
+        if self.strips is None or ids.min() < 0 or ids.max() >= self.count or not self.plain[ids].all():
+            return self.library.decode(ids.tolist())
         try:
-            text = b"".join(parts).decode()
-        except (TypeError, UnicodeDecodeError):  # control and unknown ids, broken bytes
-            return self.library.decode(ids)
-        if self.strips is None:
-            return self.library.decode(ids)
-        return text[1:] if self.strips and parts[0][:1] == b" " and ids[0] != self.byte_ids[32] else text
+            text = _gather(self.text, self.text_at[ids], self.text_size[ids]).tobytes().decode()
+        except UnicodeDecodeError:
+            return self.library.decode(ids.tolist())
+        return text[1:] if self.strips and text[:1] == " " and ids[0] != self.byte_ids[32] else text
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The pieces flat[start : start + length], one after the other."""
+    ends = np.cumsum(lengths)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)]
 
 
 @cache
@@ -264,10 +310,9 @@ def tokenized(docs: DataFrame, model_path: str | None = None, decoded: bool = Tr
                 while at + len(texts) < batch.num_rows and (held < TOGETHER or not texts):
                     texts.append(batch.column(1)[at + len(texts)].as_py() or "")
                     held += len(texts[-1])
-                ids = model.encode(texts)
-                offsets = np.cumsum([0, *(len(x) for x in ids)]).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                back = pa.array([model.decode(x.tolist()) for x in ids] if decoded else [None] * len(ids), pa.string())
+                ids, offsets = model.encode_flat(texts)
+                flat = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                back = pa.array([model.decode(ids[a:b]) if decoded else None for a, b in zip(offsets, offsets[1:])], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), flat, back], schema=pa.schema(list(zip(names, fields))))
                 at += len(texts)
 

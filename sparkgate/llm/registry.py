@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from sparkgate.llm import language, minhash, mixing, packing, pii, preferences, quality, secrets, vectors, warc
+from sparkgate.llm import language, minhash, mixing, packing, pieces, pii, preferences, quality, secrets, vectors, warc
 
 QUERIES = {
     "op1_subspace_vectors": vectors.op1_subspace_vectors,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_warc_segments": warc.op8_warc_segments,
     "op9_pareto_mix": mixing.op9_pareto_mix,
     "op10_bloom_language": language.op10_bloom_language,
+    "op11_merge_rounds": pieces.op11_merge_rounds,
     "pipeline": corpus_pipeline.run,
 }
 
