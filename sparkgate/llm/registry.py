@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from sparkgate.llm import language, minhash, mixing, packing, pieces, pii, preferences, quality, secrets, vectors, warc
+from sparkgate.llm import collocations, language, minhash, mixing, packing, pieces, pii, preferences, quality, secrets, vectors, warc, whitening
 
 QUERIES = {
     "op1_subspace_vectors": vectors.op1_subspace_vectors,
@@ -18,6 +18,8 @@ QUERIES = {
     "op9_pareto_mix": mixing.op9_pareto_mix,
     "op10_bloom_language": language.op10_bloom_language,
     "op11_merge_rounds": pieces.op11_merge_rounds,
+    "op12_phrase_lists": collocations.op12_phrase_lists,
+    "op13_svd_whitening": whitening.op13_svd_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -27,4 +29,5 @@ ORACLE_SQL = {
     "op6_hamming_near_dedup": minhash.OP6_SQL,
     "op8_warc_segments": warc.OP8_SQL,
     "op9_pareto_mix": mixing.OP9_SQL,
+    "op12_phrase_lists": collocations.OP12_SQL,
 }
