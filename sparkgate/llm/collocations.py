@@ -7,14 +7,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkgate.session import drop_materialized, materialize
 
-#: Words of a block, the unit whose lists are kept together; a piece of text is never cut.
-BLOCK_WORDS = 1 << 17
+#: Words of a block, the unit whose lists are kept together (a text is never cut), and the most bits of a filter of frequent phrases.
+BLOCK_WORDS, FILTER_BITS = 1 << 18, 1 << 28
 #: Ends of pieces become a word of their own, which no text can hold; tabs become spaces.
 ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".......... ")
 LISTS = "block long, lang string, phrases array<string>, lengths array<int>, positions binary"
@@ -75,29 +76,42 @@ def postings(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bl
 
 
 def frequent(lists: DataFrame, least: int) -> DataFrame:
-    """(block, no, lang, phrase, f, first) of the phrases that lists hold `least` times or more in all blocks of their language: their number in the block,
-    their frequency, which is the length of their list, and whether the block is the first that has them. A block counts once per phrase, however often it occurs there."""
-    each = lists.select("block", "lang", F.posexplode(F.arrays_zip("phrases", "lengths")).alias("no", "x"))
-    of = Window.partitionBy("lang", "phrase")
-    counted = each.select("block", "no", "lang", F.col("x.phrases").alias("phrase"), F.col("x.lengths").alias("n"))
-    counted = counted.withColumns({"f": F.sum("n").over(of), "first": F.col("block") == F.min("block").over(of)})
-    return counted.where(F.col("f") >= least).drop("n")
-
-
-def _extended(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(lang, phrase, f) of the phrases that lists hold `least` times or more in all blocks of their language. f is the length of the phrase's list: counts of blocks are added up before they are shuffled."""
+    each = lists.select("lang", F.explode(F.arrays_zip("phrases", "lengths")).alias("x"))
+    return each.groupBy("lang", F.col("x.phrases").alias("phrase")).agg(F.sum("x.lengths").alias("f")).where(F.col("f") >= least)
+
+
+class Filter:
+    """A Bloom filter of at most FILTER_BITS bits, whatever it holds: has() may say yes to a phrase that isn't in it, never no to one that is."""
+
+    def __init__(self, found: DataFrame):
+        n = found.count()
+        self.size = max(64, min(FILTER_BITS, 1 << (16 * n).bit_length()))
+        key = F.xxhash64("lang", "phrase")
+        places = F.array(key.bitwiseAND(F.lit(self.size - 1)), F.shiftrightunsigned(key, 33).bitwiseAND(F.lit(self.size - 1)))
+        bits = found.select(F.explode(places).alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits"))
+        table = bits.toArrow()
+        self.words = np.zeros(self.size >> 5, dtype=np.uint32)
+        self.words[table["word"].to_numpy()] = table["bits"].to_numpy().astype(np.uint32)
+
+    def has(self, lang: str, phrases: list[str]) -> np.ndarray:
+        seed = xxhash.xxh64_intdigest(lang, 42)
+        key = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in phrases), dtype=np.uint64, count=len(phrases))
+        out = np.ones(len(phrases), dtype=bool)
+        for place in (key, key >> np.uint64(33)):
+            at = place & np.uint64(self.size - 1)
+            out &= (self.words[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32) & 1).astype(bool)
+        return out
+
+
+def _longer(block: int, lang: str, phrases: list[str], lengths: np.ndarray, steps: bytes, known: Filter) -> pa.RecordBatch | None:
     """The lists of a block, one word longer: occurrences of frequent phrases are merge-joined with the postings of the word behind each.
 
     Only the last word of a frequent phrase that starts one place later can make a frequent phrase.
     """
-    if not left.num_rows or not right.num_rows:
-        return FIELDS.empty_table()
-    lengths = left["lengths"].combine_chunks().flatten().to_numpy()
-    frequent_here = np.zeros(len(lengths), dtype=bool)
-    frequent_here[right["no"].to_numpy()] = True
-    phrase = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.cumsum(np.frombuffer(left["positions"][0].as_py(), dtype="<i4"), dtype=np.int64)
-    keep = frequent_here[phrase]
-    phrase, place = phrase[keep], place[keep]
+    keep = known.has(lang, phrases)[np.repeat(np.arange(len(lengths)), lengths)]
+    phrase = np.repeat(np.arange(len(lengths)), lengths)[keep]
+    place = np.cumsum(np.frombuffer(steps, dtype="<i4"), dtype=np.int64)[keep]
     order = np.argsort(place)
     phrase, place = phrase[order], place[order]
     (met,) = np.nonzero(place[1:] == place[:-1] + 1)
@@ -105,17 +119,25 @@ def _extended(left: pa.Table, right: pa.Table) -> pa.Table:
     order = np.argsort(key, kind="stable")
     found, times = np.unique(key[order], return_counts=True)
     if not len(found):
-        return FIELDS.empty_table()
-    names = left["phrases"].combine_chunks().flatten()
-    starts = names.take(pa.array(found // len(lengths))).to_pylist()
-    ends = names.take(pa.array(found % len(lengths))).to_pylist()
-    longer = [f"{a} {b.rpartition(' ')[2]}" for a, b in zip(starts, ends)]
-    return pa.Table.from_batches([_lists(left["block"][0].as_py(), left["lang"][0].as_py(), longer, times, place[met][order])])
+        return None
+    last = [p.rpartition(" ")[2] for p in phrases]
+    names = [f"{phrases[a]} {last[b]}" for a, b in zip((found // len(lengths)).tolist(), (found % len(lengths)).tolist())]
+    return _lists(block, lang, names, times, place[met][order])
+
 
+def extended(lists: DataFrame, known: Filter) -> DataFrame:
+    """lists of phrases one word longer, block by block where the lists are: nothing is shuffled. Phrases that are not frequent but pass the filter only make the lists longer."""
+    shared = lists.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, lang, phrases, lengths, steps = (c[k] for c in batch.columns)
+                made = _longer(block.as_py(), lang.as_py(), phrases.as_py(), lengths.values.to_numpy(), steps.as_py(), shared.value)
+                if made is not None:
+                    yield made
 
-def extended(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """lists of phrases one word longer, from lists and what is frequent among them: block by block, nothing but blocks is shuffled."""
-    return lists.groupBy("block").cogroup(found.select("block", "no").groupBy("block")).applyInArrow(_extended, LISTS)
+    return lists.mapInArrow(run, LISTS)
 
 
 #: floor(2000000 * a / (l + r)); decimals, as the product may pass 64 bits.
@@ -128,7 +150,8 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, most: int =
     1. Texts are cut at punctuation and line ends into pieces and those at blanks into words, with A-Z in lower case. Each block of texts keeps the
        ascending positions of every word.
     2. Frequent phrases are extended by a word at a time: in each block their positions are merge-joined with the postings of the words one place on. The
-       length of a list over all blocks is the phrase's exact frequency; only phrases of `least` occurrences go on.
+       length of a list over all blocks is the phrase's exact frequency; only phrases of `least` occurrences go on. Lists stay where they are: tasks know
+       frequent phrases by a filter of bounded size, whose false positives cost time and change nothing, as counts are exact.
     3. A candidate of frequency a is cut in two parts of frequencies l and r where floor(2000000 a / (l + r)) is least, at the first such cut. Candidates whose words
        lie within a longer one that occurs inside[0] of inside[1] times as often or more are dropped.
 
@@ -140,10 +163,9 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, most: int =
     totals = materialize(totals, "totals")
     levels = []
     for k in range(1, longest + 1):
-        found = materialize(frequent(lists, least), "frequent")
-        levels.append(found.where("first").select("lang", "phrase", F.lit(k).alias("words"), "f"))
+        levels.append(materialize(frequent(lists, least).withColumn("words", F.lit(k)), "frequent"))
         if k < longest:
-            longer = materialize(extended(lists, found), "lists")
+            longer = materialize(extended(lists, Filter(levels[-1])), "lists")
             drop_materialized(lists)
             lists = longer
     drop_materialized(lists)

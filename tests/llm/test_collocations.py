@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import functions as F
 
-from sparkgate.llm.collocations import OP12_SQL, SCORE, collocations, op12_phrase_lists, postings
+from sparkgate.llm.collocations import OP12_SQL, SCORE, Filter, collocations, op12_phrase_lists, postings
 from sparkgate.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -70,6 +70,21 @@ def test_positions_are_exact_and_lists_ascend(spark):
     assert places == [0, 2, 4, 1, 6]
 
 
+def test_a_filter_knows_all_it_holds_and_few_others(spark):
+    rows = [("en", f"é {k}") for k in range(3000)]
+    known = Filter(spark.createDataFrame(rows, "lang string, phrase string"))
+    assert known.has("en", [p for _, p in rows]).all()
+    assert known.has("de", [p for _, p in rows]).mean() < 0.1 and known.has("en", [f"x {k}" for k in range(3000)]).mean() < 0.1
+    assert not Filter(spark.createDataFrame([], "lang string, phrase string")).has("en", ["a"]).any()
+
+
+def test_a_filter_that_is_too_small_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr("sparkgate.llm.collocations.FILTER_BITS", 64)
+    rows = drawn(3, 150)
+    got = collocations(spark.createDataFrame(rows, "text string, lang string"), least=4).select(*COLUMNS).collect()
+    assert {tuple(r) for r in got} == plain(rows, 4, 2000)
+
+
 def test_scores_pass_64_bits(spark):
     a, l, r = 9 * 10**18, 9 * 10**18, 9 * 10**18 + 7  # noqa: E741
     got = spark.createDataFrame([(a, l, r)], "a long, l long, r long").select(F.expr(SCORE)).head()[0]
