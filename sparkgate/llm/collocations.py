@@ -12,10 +12,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkgate.session import drop_materialized, materialize
+from sparkgate.session import drop_materialized, materialize, scratch_path
 
-#: Words of a block, the unit whose lists are kept together (a text is never cut), and the most bits of a filter of frequent phrases.
-BLOCK_WORDS, FILTER_BITS = 1 << 18, 1 << 28
+#: Words of a block, the unit whose lists are kept together (a text is never cut), blocks of a file, which bounds what a reader holds, and the most bits of a filter of frequent phrases.
+BLOCK_WORDS, FILE_BLOCKS, FILTER_BITS = 1 << 16, 48, 1 << 28
 #: Ends of pieces become a word of their own, which no text can hold; tabs become spaces.
 ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".......... ")
 LISTS = "block long, lang string, phrases array<string>, lengths array<int>, positions binary"
@@ -29,6 +29,12 @@ def _lists(block: int, lang: str, phrases: list, lengths: np.ndarray, positions:
     return pa.RecordBatch.from_arrays(columns, schema=FIELDS)
 
 
+def _stored(lists: DataFrame) -> DataFrame:
+    path = scratch_path(lists.sparkSession, "lists")
+    lists.write.option("maxRecordsPerFile", FILE_BLOCKS).parquet(path)
+    return lists.sparkSession.read.schema(lists.schema).parquet(path)
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
@@ -158,14 +164,14 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, most: int =
     n is the number of words of the language. A null text is empty, a null language is und; languages without a candidate give no row, nor does an empty table. Ties
     of score go by a, then by the phrase's bytes. Repeated rows count each. A very long text is in one block, whole. Other columns are not read.
     """
-    lists = materialize(postings(docs, text_col, lang_col, block_words), "postings")
+    lists = _stored(postings(docs, text_col, lang_col, block_words))
     totals = lists.groupBy("lang").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
     totals = materialize(totals, "totals")
     levels = []
     for k in range(1, longest + 1):
         levels.append(materialize(frequent(lists, least).withColumn("words", F.lit(k)), "frequent"))
         if k < longest:
-            longer = materialize(extended(lists, Filter(levels[-1])), "lists")
+            longer = _stored(extended(lists, Filter(levels[-1])))
             drop_materialized(lists)
             lists = longer
     drop_materialized(lists)
