@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,17 +18,73 @@ from sparkgate.session import drop_materialized, materialize, scratch_path
 
 #: Words of a block, the unit whose lists are kept together (a text is never cut), blocks of a file, which bounds what a reader holds, and the most bits of a filter of frequent phrases.
 BLOCK_WORDS, FILE_BLOCKS, FILTER_BITS = 1 << 16, 48, 1 << 28
+#: Entries of counts that a task holds before it sends them on, and about how many words make a share of all counts.
+HELD_COUNTS, SHARE_WORDS = 1 << 21, 1 << 22
 #: Ends of pieces become a word of their own, which no text can hold; tabs become spaces.
 ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".......... ")
-LISTS = "block long, lang string, phrases array<string>, lengths array<int>, positions binary"
-FIELDS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("phrases", pa.list_(pa.string())), ("lengths", pa.list_(pa.int32())), ("positions", pa.binary())])
+FIELDS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("phrases", pa.list_(pa.string())), ("hashes", pa.binary()), ("last", pa.binary()), ("lengths", pa.binary()), ("positions", pa.binary())])
+LISTS = "block long, lang string, phrases array<string>, hashes binary, last binary, lengths binary, positions binary"
+
+
+@dataclass
+class Lists:
+    """The inverted lists of one block: its phrases, their hashes and those of their last words, how often each occurs, and where, list after list in ascending order."""
+
+    block: int
+    lang: str
+    phrases: list
+    hashes: np.ndarray
+    last: np.ndarray
+    lengths: np.ndarray
+    positions: np.ndarray
+
+    def batch(self) -> pa.RecordBatch:
+        """As a row. Positions are stored as steps from the one before, which are small."""
+        steps = np.diff(self.positions, prepend=0).astype("<i4").tobytes()
+        values = [self.block, self.lang, self.phrases, self.hashes.astype("<u8").tobytes(), self.last.astype("<u8").tobytes(), self.lengths.astype("<i4").tobytes(), steps]
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, FIELDS)], schema=FIELDS)
+
+    def select(self, keep: np.ndarray) -> Lists:
+        """The lists of some phrases."""
+        (at,) = np.nonzero(keep)
+        return Lists(self.block, self.lang, [self.phrases[k] for k in at.tolist()], self.hashes[at], self.last[at], self.lengths[at], self.positions[np.repeat(keep, self.lengths)])
+
+    def longer(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first, second, times, positions) of the phrases that are one word longer: each occurrence is merge-joined with the postings of the word behind it.
+
+        Only the last word of a frequent phrase that starts one place later (second) can make a frequent phrase of one (first).
+        """
+        starts = np.full(int(self.positions.max(initial=0)) + 2, -1, dtype=np.int64)
+        starts[self.positions] = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        (met,) = np.nonzero((starts[:-1] >= 0) & (starts[1:] >= 0))
+        pair = starts[met] * len(self.lengths) + starts[met + 1]
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        edge = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
+        found = pair[edge]
+        return found // max(1, len(self.lengths)), found % max(1, len(self.lengths)), np.diff(np.r_[edge, len(pair)]), met[order]
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Lists]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            block, lang, phrases, *arrays = (c[k].as_py() for c in batch.columns)
+            hashes, last, lengths, steps = (np.frombuffer(x, dtype=d) for x, d in zip(arrays, ("<u8", "<u8", "<i4", "<i4")))
+            yield Lists(block, lang, phrases, hashes, last, lengths.astype(np.int64), np.cumsum(steps, dtype=np.int64))
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of a phrase from that of all but its last word, and that word's."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(33))
 
 
-def _lists(block: int, lang: str, phrases: list, lengths: np.ndarray, positions: np.ndarray) -> pa.RecordBatch:
-    """One block: its phrases, how often each occurs, and where, list after list in ascending order. Positions are stored as steps from the one before."""
-    steps = np.diff(positions, prepend=0).astype("<i4").tobytes()
-    columns = [pa.array([block], pa.int64()), pa.array([lang], pa.string()), pa.array([phrases], FIELDS.field("phrases").type), pa.array([lengths.tolist()], FIELDS.field("lengths").type), pa.array([steps], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, schema=FIELDS)
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 def _stored(lists: DataFrame) -> DataFrame:
@@ -35,12 +93,6 @@ def _stored(lists: DataFrame) -> DataFrame:
     return lists.sparkSession.read.schema(lists.schema).parquet(path)
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 def postings(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The inverted lists of all words (LISTS): a row per block, which is texts of one language read by one task.
 
@@ -60,7 +112,9 @@ def postings(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bl
             order = np.argsort(flat, kind="stable")
             lengths = np.bincount(flat, minlength=len(words))
             if len(words) > 1:
-                yield _lists(number + at, lang, list(words)[1:], lengths[1:], order[lengths[0] :])
+                seed, own = xxhash.xxh64_intdigest(lang), list(words)[1:]
+                hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in own), dtype=np.uint64, count=len(own))
+                yield Lists(number + at, lang, own, hashes, hashes, lengths[1:], order[lengths[0] :]).batch()
                 at += 1
 
         for batch in batches:
@@ -68,7 +122,9 @@ def postings(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bl
                 lang = lang.as_py()
                 lang = "und" if lang is None else lang
                 tokens = (text.as_py() or "").encode().lower().translate(ENDS).replace(b".", b" . ").split()
-                words, parts = held.setdefault(lang, (_Numbers({b".": 0}), []))
+                if lang not in held:
+                    held[lang] = (_Numbers({b".": 0}), [])
+                words, parts = held[lang]
                 parts.append(np.fromiter(map(words.__getitem__, tokens), dtype=np.int32, count=len(tokens)))
                 parts.append(np.zeros(1, dtype=np.int32))
                 sizes[lang] = sizes.get(lang, 0) + len(tokens) + 1
@@ -81,71 +137,130 @@ def postings(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bl
     return docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(run, LISTS)
 
 
-def frequent(lists: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, f) of the phrases that lists hold `least` times or more in all blocks of their language. f is the length of the phrase's list: counts of blocks are added up before they are shuffled."""
-    each = lists.select("lang", F.explode(F.arrays_zip("phrases", "lengths")).alias("x"))
-    return each.groupBy("lang", F.col("x.phrases").alias("phrase")).agg(F.sum("x.lengths").alias("f")).where(F.col("f") >= least)
-
-
 class Filter:
-    """A Bloom filter of at most FILTER_BITS bits, whatever it holds: has() may say yes to a phrase that isn't in it, never no to one that is."""
+    """A Bloom filter of hashes, of at most FILTER_BITS bits whatever it holds: has() may say yes to a phrase that isn't in it, never no to one that is."""
 
-    def __init__(self, found: DataFrame):
+    def __init__(self, found: DataFrame, bits: int):
+        """found (key): hashes of `bits` bits."""
+        self.mask = np.uint64((1 << bits) - 1)
         n = found.count()
         self.size = max(64, min(FILTER_BITS, 1 << (16 * n).bit_length()))
-        key = F.xxhash64("lang", "phrase")
-        places = F.array(key.bitwiseAND(F.lit(self.size - 1)), F.shiftrightunsigned(key, 33).bitwiseAND(F.lit(self.size - 1)))
-        bits = found.select(F.explode(places).alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits"))
-        table = bits.toArrow()
+        places = F.array(F.col("key").bitwiseAND(F.lit(self.size - 1)), F.shiftrightunsigned(F.col("key"), bits // 2).bitwiseAND(F.lit(self.size - 1)))
+        words = found.select(F.explode(places).alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits"))
+        table = words.toArrow()
+        self.shift = np.uint64(bits // 2)
         self.words = np.zeros(self.size >> 5, dtype=np.uint32)
         self.words[table["word"].to_numpy()] = table["bits"].to_numpy().astype(np.uint32)
 
-    def has(self, lang: str, phrases: list[str]) -> np.ndarray:
-        seed = xxhash.xxh64_intdigest(lang, 42)
-        key = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in phrases), dtype=np.uint64, count=len(phrases))
-        out = np.ones(len(phrases), dtype=bool)
-        for place in (key, key >> np.uint64(33)):
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        key = hashes & self.mask
+        out = np.ones(len(key), dtype=bool)
+        for place in (key, key >> self.shift):
             at = place & np.uint64(self.size - 1)
-            out &= (self.words[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32) & 1).astype(bool)
+            out &= (self.words[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
         return out
 
 
-def _longer(block: int, lang: str, phrases: list[str], lengths: np.ndarray, steps: bytes, known: Filter) -> pa.RecordBatch | None:
-    """The lists of a block, one word longer: occurrences of frequent phrases are merge-joined with the postings of the word behind each.
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with their counts added up."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[edge], np.add.reduceat(counts, edge) if len(edge) else counts
+
+
+def _packed(part: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    data = zstandard.compress(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([data], pa.binary())], names=["part", "n", "data"])
+
+
+def _unpacked(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").reshape(-1), dtype=np.uint64), raw[8 * n :].astype(np.int64)
 
-    Only the last word of a frequent phrase that starts one place later can make a frequent phrase.
+
+def counted(lists: DataFrame, known: Filter | None, least: int, words: int) -> Filter:
+    """A filter of all phrases that occur `least` times or more: those of lists where known is None, else those one word longer that known lets through.
+
+    Phrases are counted by hashes of some 4 bits more than there are words, so that few of different counts meet. A task adds up its blocks; the hashes of a share of
+    all go packed to one group, some SHARE_WORDS words' worth however often they occur. Counts stop at 255 a task, as only `least` matters.
     """
-    keep = known.has(lang, phrases)[np.repeat(np.arange(len(lengths)), lengths)]
-    phrase = np.repeat(np.arange(len(lengths)), lengths)[keep]
-    place = np.cumsum(np.frombuffer(steps, dtype="<i4"), dtype=np.int64)[keep]
-    order = np.argsort(place)
-    phrase, place = phrase[order], place[order]
-    (met,) = np.nonzero(place[1:] == place[:-1] + 1)
-    key = phrase[met] * len(lengths) + phrase[met + 1]
-    order = np.argsort(key, kind="stable")
-    found, times = np.unique(key[order], return_counts=True)
-    if not len(found):
-        return None
-    last = [p.rpartition(" ")[2] for p in phrases]
-    names = [f"{phrases[a]} {last[b]}" for a, b in zip((found // len(lengths)).tolist(), (found % len(lengths)).tolist())]
-    return _lists(block, lang, names, times, place[met][order])
-
-
-def extended(lists: DataFrame, known: Filter) -> DataFrame:
-    """lists of phrases one word longer, block by block where the lists are: nothing is shuffled. Phrases that are not frequent but pass the filter only make the lists longer."""
-    shared = lists.sparkSession.sparkContext.broadcast(known)
+    if least > 255:
+        raise ValueError("counts are packed up to 255")
+    bits = max(16, (16 * words).bit_length())
+    low = bits - max(0, (words // SHARE_WORDS).bit_length())
+    mask = np.uint64((1 << bits) - 1)
+    shared, most = lists.sparkSession.sparkContext.broadcast(known), HELD_COUNTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                block, lang, phrases, lengths, steps = (c[k] for c in batch.columns)
-                made = _longer(block.as_py(), lang.as_py(), phrases.as_py(), lengths.values.to_numpy(), steps.as_py(), shared.value)
-                if made is not None:
-                    yield made
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, counts = _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            edges = np.flatnonzero(np.r_[True, keys[1:] >> np.uint64(low) != keys[:-1] >> np.uint64(low)][: len(keys)]).tolist()
+            for a, b in zip(edges, [*edges[1:], len(keys)]):
+                yield _packed(int(keys[a] >> np.uint64(low)), keys[a:b] & np.uint64((1 << low) - 1), counts[a:b])
+
+        for block in _read(batches):
+            hashes, times = block.hashes, block.lengths
+            if shared.value is not None:
+                block = block.select(shared.value.has(block.hashes))
+                first, second, times, _ = block.longer()
+                hashes = mixed(block.hashes[first], block.last[second])
+            held.append(_summed(hashes & mask, times))
+            if sum(len(k) for k, _ in held) > most:
+                held[:] = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+                if len(held[0][0]) > most // 2:
+                    yield from flush()
+                    held.clear()
+        if held:
+            yield from flush()
+
+    def enough(table: pa.Table) -> pa.Table:
+        parts = [_unpacked(n, data) for n, data in zip(table["n"].to_pylist(), table["data"].to_pylist())]
+        keys, counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+        return pa.table({"key": pa.array((keys[counts >= least] | np.uint64(table["part"][0].as_py() << low)).astype(np.int64))})
+
+    found = materialize(lists.mapInArrow(run, "part long, n long, data binary").groupBy("part").applyInArrow(enough, "key long"), "counted")
+    out = Filter(found, bits)
+    drop_materialized(found)
+    return out
+
+
+def extended(lists: DataFrame, known: Filter, wanted: Filter) -> DataFrame:
+    """lists of phrases one word longer that the filter wanted lets through, of phrases that known does; block by block where the lists are: nothing is shuffled.
+    A phrase that is not frequent and passes only makes the lists longer."""
+    shared = lists.sparkSession.sparkContext.broadcast((known, wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, after = shared.value
+        for block in _read(batches):
+            block = block.select(before.has(block.hashes))
+            first, second, times, positions = block.longer()
+            hashes = mixed(block.hashes[first], block.last[second])
+            keep = after.has(hashes)
+            if keep.any():
+                a, b = first[keep], second[keep]
+                names = [f"{block.phrases[x]} {block.phrases[y].rpartition(' ')[2]}" for x, y in zip(a.tolist(), b.tolist())]
+                yield Lists(block.block, block.lang, names, hashes[keep], block.last[b], times[keep], positions[np.repeat(keep, times)]).batch()
 
     return lists.mapInArrow(run, LISTS)
 
 
+def frequent(lists: DataFrame, known: Filter, least: int) -> DataFrame:
+    """(lang, phrase, f) of the phrases that lists hold `least` times or more in all blocks of their language. f is the length of the phrase's list; known only spares the others the way."""
+    shared = lists.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _read(batches):
+            (at,) = np.nonzero(shared.value.has(block.hashes))
+            names = pa.array(block.phrases, pa.string()).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array([block.lang] * len(at), pa.string()), names, pa.array(block.lengths[at])], names=["lang", "phrase", "n"])
+
+    each = lists.mapInArrow(run, "lang string, phrase string, n long")
+    return each.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+
+
 #: floor(2000000 * a / (l + r)); decimals, as the product may pass 64 bits.
 SCORE = "(cast(2000000 as decimal(7,0)) * cast(a as decimal(19,0))) div (cast(l as decimal(19,0)) + cast(r as decimal(19,0)))"
 
@@ -156,8 +271,8 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, most: int =
     1. Texts are cut at punctuation and line ends into pieces and those at blanks into words, with A-Z in lower case. Each block of texts keeps the
        ascending positions of every word.
     2. Frequent phrases are extended by a word at a time: in each block their positions are merge-joined with the postings of the words one place on. The
-       length of a list over all blocks is the phrase's exact frequency; only phrases of `least` occurrences go on. Lists stay where they are: tasks know
-       frequent phrases by a filter of bounded size, whose false positives cost time and change nothing, as counts are exact.
+       length of a list over all blocks is the phrase's exact frequency; only phrases of `least` occurrences go on. Lists stay where they are: tasks know which
+       phrases to go on with by a filter of bounded size, made from counts of hashes. What it lets through by mistake costs time and changes nothing.
     3. A candidate of frequency a is cut in two parts of frequencies l and r where floor(2000000 a / (l + r)) is least, at the first such cut. Candidates whose words
        lie within a longer one that occurs inside[0] of inside[1] times as often or more are dropped.
 
@@ -165,15 +280,17 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, most: int =
     of score go by a, then by the phrase's bytes. Repeated rows count each. A very long text is in one block, whole. Other columns are not read.
     """
     lists = _stored(postings(docs, text_col, lang_col, block_words))
-    totals = lists.groupBy("lang").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
-    totals = materialize(totals, "totals")
-    levels = []
+    shares = lists.groupBy("lang").agg(F.sum(F.octet_length("positions").cast("long") / 4).cast("long").alias("n"))
+    totals = materialize(shares, "totals")
+    words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    levels, passing = [], counted(lists, None, least, words)
     for k in range(1, longest + 1):
-        levels.append(materialize(frequent(lists, least).withColumn("words", F.lit(k)), "frequent"))
+        levels.append(materialize(frequent(lists, passing, least).withColumn("words", F.lit(k)), "frequent"))
         if k < longest:
-            longer = _stored(extended(lists, Filter(levels[-1])))
+            wanted = counted(lists, passing, least, words)
+            longer = _stored(extended(lists, passing, wanted))
             drop_materialized(lists)
-            lists = longer
+            lists, passing = longer, wanted
     drop_materialized(lists)
     known = materialize(reduce(DataFrame.unionByName, levels), "phrases")
     for level in levels:

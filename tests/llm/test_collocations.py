@@ -4,9 +4,10 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
-from sparkgate.llm.collocations import OP12_SQL, SCORE, Filter, collocations, op12_phrase_lists, postings
+from sparkgate.llm.collocations import OP12_SQL, SCORE, Filter, _packed, _summed, _unpacked, collocations, op12_phrase_lists, postings
 from sparkgate.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -63,19 +64,34 @@ def test_overlapping_occurrences_count(spark):
 def test_positions_are_exact_and_lists_ascend(spark):
     lists = postings(spark.createDataFrame([("b a b. b",), ("a",)], "text string").coalesce(1).withColumn("lang", F.lit("x"))).collect()
     (row,) = lists
-    import numpy as np
-
-    places = np.cumsum(np.frombuffer(row.positions, dtype="<i4")).tolist()
-    assert dict(zip(row.phrases, row.lengths)) == {"b": 3, "a": 2}
-    assert places == [0, 2, 4, 1, 6]
+    lengths, steps = (np.frombuffer(x, dtype="<i4") for x in (row.lengths, row.positions))
+    assert dict(zip(row.phrases, lengths.tolist())) == {"b": 3, "a": 2}
+    assert np.cumsum(steps).tolist() == [0, 2, 4, 1, 6]
 
 
 def test_a_filter_knows_all_it_holds_and_few_others(spark):
-    rows = [("en", f"é {k}") for k in range(3000)]
-    known = Filter(spark.createDataFrame(rows, "lang string, phrase string"))
-    assert known.has("en", [p for _, p in rows]).all()
-    assert known.has("de", [p for _, p in rows]).mean() < 0.1 and known.has("en", [f"x {k}" for k in range(3000)]).mean() < 0.1
-    assert not Filter(spark.createDataFrame([], "lang string, phrase string")).has("en", ["a"]).any()
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 1 << 40, 3000).astype(np.uint64)
+    known = Filter(spark.createDataFrame([(int(k),) for k in keys], "key long"), 40)
+    assert known.has(keys | np.uint64(5 << 50)).all() and known.has(rng.integers(0, 1 << 62, 3000).astype(np.uint64)).mean() < 0.1
+    assert not Filter(spark.createDataFrame([], "key long"), 40).has(keys).any()
+
+
+def test_counts_are_packed_and_added_up():
+    rng = np.random.default_rng(2)
+    keys, counts = _summed(rng.integers(0, 1 << 50, 5000).astype(np.uint64), rng.integers(1, 300, 5000))
+    row = _packed(7, keys, counts)
+    back, times = _unpacked(row["n"][0].as_py(), row["data"][0].as_py())
+    assert (back == keys).all() and (times == np.minimum(counts, 255)).all()
+    assert [x.tolist() for x in _summed(np.array([3, 1, 3], dtype=np.uint64), np.array([1, 2, 5]))] == [[1, 3], [2, 6]]
+
+
+def test_tasks_that_send_on_early_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr("sparkgate.llm.collocations.HELD_COUNTS", 10)
+    monkeypatch.setattr("sparkgate.llm.collocations.SHARE_WORDS", 100)
+    rows = drawn(4, 150)
+    got = collocations(spark.createDataFrame(rows, "text string, lang string"), least=4, block_words=60).select(*COLUMNS).collect()
+    assert {tuple(r) for r in got} == plain(rows, 4, 2000)
 
 
 def test_a_filter_that_is_too_small_changes_nothing(spark, monkeypatch):
