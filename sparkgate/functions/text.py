@@ -209,12 +209,12 @@ def canonical_json(value: object) -> str:
 
 @F.pandas_udf(StringType())
 def jcs(texts: pd.Series) -> pd.Series:
-    """Canonical form of a JSON text; null for what is no JSON."""
+    """Canonical form of a JSON text; null for what is no JSON or is nested deeper than Python's parser goes."""
 
     def one(t):
         try:
             return None if t is None else canonical_json(json.loads(t))
-        except (ValueError, OverflowError):
+        except (ValueError, OverflowError, RecursionError, MemoryError):
             return None
 
     return texts.map(one)

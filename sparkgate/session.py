@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,14 +42,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sparkgate-{name}-{uuid.uuid4().hex}"
 
 
+#: Folders written within settled(), a list per call that is not done.
+_written: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df to the shared folder and read it back. Survives the loss of any executor."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _written:
+        _written[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """What make() gives, written; every table that make() wrote on its way is deleted, whether it succeeds or not."""
+    _written.append([])
+    try:
+        out = make()
+        steps = _written.pop()
+        try:
+            return materialize(out, name)
+        finally:
+            _written.append(steps)
+    finally:
+        for path in _written.pop():
+            remove_path(spark, path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of any store, if it is there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

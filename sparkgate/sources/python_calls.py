@@ -56,18 +56,23 @@ def _path(node: ast.expr) -> str:
 def _text(node: ast.AST) -> tuple[str, bool]:
     """Static text below a node, and whether some of it is made at run time."""
     out, dynamic = [], False
-    for x in ast.walk(node):
+    todo: list[ast.AST] = [node]
+    while todo:
+        x = todo.pop()
+        below = list(ast.iter_child_nodes(x))
         if isinstance(x, ast.Dict):
-            for k, v in zip(x.keys, x.values):
-                if isinstance(k, ast.Constant) and k.value in ("content", "text"):
-                    t, d = _text(v)
-                    out.append(t)
-                    dynamic |= d
+            held = [v for k, v in zip(x.keys, x.values) if isinstance(k, ast.Constant) and k.value in ("content", "text")]
+            for v in held:
+                t, d = _text(v)
+                out.append(t)
+                dynamic |= d
+            below = [v for v in below if v not in held]  # what was read is not read again
         elif isinstance(x, ast.JoinedStr) and not out:
             out += [v.value for v in x.values if isinstance(v, ast.Constant)]
             dynamic |= any(isinstance(v, ast.FormattedValue) for v in x.values)
         elif isinstance(x, (ast.Call, ast.Name)):
             dynamic = True
+        todo += reversed(below)
     if not out and isinstance(node, ast.Constant) and isinstance(node.value, str):
         out.append(node.value)
     return "\n".join(out), dynamic
@@ -103,11 +108,15 @@ def _named(call: ast.Call) -> dict[str, ast.expr]:
     return {k.arg: k.value for k in call.keywords if k.arg}
 
 
-def calls_of(path: str, text: str, sdks: list[str]) -> Iterator[tuple]:
+def calls_of(path: str, text: str, sdks: list[str]) -> list[tuple]:
+    """The calls of a file; none if it doesn't parse or is nested deeper than Python goes."""
     try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return
+        return list(_calls(path, ast.parse(text), sdks))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+
+
+def _calls(path: str, tree: ast.Module, sdks: list[str]) -> Iterator[tuple]:
     classes = {x.name: x for x in ast.walk(tree) if isinstance(x, ast.ClassDef)}
     for call in sorted((x for x in ast.walk(tree) if isinstance(x, ast.Call)), key=lambda c: (c.lineno, c.col_offset)):
         args = _named(call)

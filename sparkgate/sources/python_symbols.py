@@ -148,8 +148,8 @@ def _table(files: DataFrame, schema: str, rows: Callable[[str, ast.Module], Iter
             out = []
             for path, text in zip(frame["path"], frame["text"]):
                 try:
-                    out += rows(path, ast.parse(text or ""))
-                except (SyntaxError, ValueError, RecursionError):
+                    out += list(rows(path, ast.parse(text or "")))  # a file gives all its rows or none
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
                     continue
             yield pd.DataFrame(out, columns=names)
 
