@@ -13,14 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgate.operators.components import connected_components
-from sparkgate.session import materialize
+from sparkgate.session import materialize, settled
 
 #: Blocks of the rotated space, how many leading dimensions of a block make its grid (and how many more split a cell that is too full), the
 #: grid's cell width in budget radii, and the most vectors that a task compares at once on either side.
 BLOCKS, GRID, WIDTH, TILE = 4, 3, 2.5, 4096
 SLACK = 1e-12
-#: What single-precision coordinates may add to a squared distance.
-ROUGH = 1e-6
 KEY = ["label", "dim", "block", "cell"]
 CELL = ", ".join(["label string", "dim int", "block int", "cell long", "home boolean", "node long", "part binary"])
 
@@ -43,6 +41,14 @@ def budgets(dim: int, blocks: int, least_cosine: float) -> np.ndarray:
     return np.array([(2 - 2 * least_cosine) * (s.stop - s.start) / dim + SLACK for s in blocks_of(dim, blocks)])
 
 
+def slack(budget: float) -> float:
+    """What single-precision coordinates, and sums in double precision, may add to a squared distance that is within the budget.
+
+    Rounding moves a coordinate by at most 2^-24 of itself, so each of two unit vectors by 2^-24 at most in any number of dimensions, and their distance by 2^-23.
+    """
+    return 2 * np.sqrt(budget) * 2.0**-23 + 2.0**-46 + SLACK
+
+
 def _units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
@@ -62,7 +68,7 @@ def _cells(part: np.ndarray, budget: float, width: float) -> Iterator[tuple[np.n
         if len(first) and first[0] < 0:
             continue
         gap = np.where(o < 0, below, np.where(o > 0, side - below, 0.0))
-        (rows,) = np.nonzero((gap * gap).sum(axis=1) <= budget * (1 + 1e-6) + ROUGH)
+        (rows,) = np.nonzero((gap * gap).sum(axis=1) <= budget * (1 + 1e-6) + slack(budget))
         if len(rows):
             cell = np.zeros(len(rows), dtype=np.int64)
             for k in range(x.shape[1]):
@@ -139,7 +145,7 @@ def _near(table: pa.Table, part: np.ndarray, budget: float) -> Iterator[tuple[np
     square = (part * part).sum(axis=1)
     for k in range(0, len(left), 512):
         u = left[k : k + 512]
-        near = square[u][:, None] + square[right][None, :] - 2 * part[u] @ part[right].T <= budget + ROUGH
+        near = square[u][:, None] + square[right][None, :] - 2 * part[u] @ part[right].T <= budget + slack(budget)
         near &= (home[u][:, None] | home[right][None, :]) & (inner[u][:, None] | inner[right][None, :])
         if q == t:
             near &= u[:, None] < right[None, :]
@@ -153,7 +159,7 @@ def _candidates(least_cosine: float, blocks: int):
 
     def run(table: pa.Table) -> pa.Table:
         dim, block = table["dim"][0].as_py(), table["block"][0].as_py()
-        part = np.frombuffer(b"".join(table["part"].to_pylist()), dtype="<f4").reshape(table.num_rows, -1)
+        part = np.frombuffer(b"".join(table["part"].to_pylist()), dtype="<f4").reshape(table.num_rows, -1).astype(np.float64)
         some = np.zeros(table.num_rows, dtype=bool)
         for u, v in _near(table, part, budgets(dim, blocks, least_cosine)[block]):
             some[u] = some[v] = True
@@ -237,7 +243,12 @@ def near_vectors(vectors: DataFrame, least_cosine: float = 0.98, blocks: int = B
             digest = [None if r is None else hashlib.blake2b(x.encode() + b"\0" + r, digest_size=16).digest() for x, r in zip(labels, raw)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raw, pa.binary()), pa.array(digest, pa.binary())], names=["row", "vec_id", "label", "raw", "class"])
 
-    base = materialize(read.mapInArrow(packed, "row long, vec_id long, label string, raw binary, class binary"), "vectors")
+    rows = read.mapInArrow(packed, "row long, vec_id long, label string, raw binary, class binary")
+    return settled(lambda: _linked(rows, least_cosine, blocks, grid, width, tile, kind), vectors.sparkSession, "links")
+
+
+def _linked(rows: DataFrame, least_cosine: float, blocks: int, grid: int, width: float, tile: int, kind: str) -> DataFrame:
+    base = materialize(rows, "vectors")
     nodes = base.where("class is not null").groupBy("class").agg(F.min(F.struct("row", "label", "raw")).alias("x"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     nodes = materialize(nodes.select("class", F.col("x.row").alias("node"), "x.label", "x.raw", "least", "copies"), "nodes")
     cells = nodes.select("label", "node", "raw").mapInArrow(_spread(least_cosine, blocks, grid, width, kind), CELL)

@@ -38,7 +38,7 @@ def mark_revisits(payloads: DataFrame, least_bytes: int) -> DataFrame:
     hashed = payloads.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload")))
     first = materialize(hashed.where(F.col("bytes") >= least_bytes).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "digests")
     marked = hashed.join(first, (F.col("digest") == F.col("d")) & (F.col("bytes") >= least_bytes), "left").drop("d")
-    refers = F.when(F.col("page_id") != F.col("first"), F.col("first"))
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return marked.withColumn("refers_to", refers).withColumn("record_type", F.when(refers.isNull(), "response").otherwise("revisit")).drop("first")
 
 
@@ -114,7 +114,7 @@ def records(page_id: int | str, url: str, payload: bytes, digest: str, refers_to
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, segment: int = SEGMENT, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Gzipped WARC files of pages (id, url, html) under path, written by Spark: any store, no local file.
 
-    A null html is an empty payload, a null url about:blank. Ids may repeat or be null: each row has records of its own, and rows without an id are responses. Other columns are not written.
+    A null html is an empty payload, a null url about:blank. Ids may repeat or be null: each row has records of its own. A row without an id revisits the response of its payload, if one with an id has it; else it is a response. Other columns are not written.
     """
     read = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     marked = named(mark_revisits(read, least_bytes), read.select("page_id"))
@@ -266,9 +266,7 @@ def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     remove_path(spark, path)
     # A revisit has the payload of the response it names; names are unique.
     responses = read.where("record_type = 'response'").select(F.col("record_id").alias("to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
-    # As in the SQL, a page without an id is not the first of its payload.
-    kind = F.when(F.col("page_id").isNull(), "revisit").otherwise(F.col("record_type")).alias("record_type")
-    own = read.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", kind, "refers_to")
+    own = read.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     visits = read.where("record_type = 'revisit'").join(responses, F.col("target") == F.col("to"), "left").select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to")
     return own.unionByName(visits)
 
@@ -281,7 +279,7 @@ d AS (
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(hex, CAST(1 + 5 * (k // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), 'string_agg', '') AS payload_digest
   FROM h),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first THEN first END AS refers_to
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM f
 """

@@ -2,7 +2,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from sparkgate.llm.vectors import OP1_SQL, near_vectors, op1_subspace_vectors
+from sparkgate.llm.vectors import OP1_SQL, SLACK, blocks_of, budgets, near_vectors, op1_subspace_vectors, rotation, slack
 
 
 def brute(rows, least=0.98):
@@ -82,3 +82,47 @@ def test_query_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
     assert sorted(tuple(r) for r in op1_subspace_vectors(spark, sf).collect()) == sorted(con.execute(OP1_SQL).fetchall())
+
+
+@pytest.mark.parametrize("dim", [256, 1024])
+def test_pairs_at_the_edge_of_a_budget_are_linked(spark, dim):
+    """Nearly all of both vectors lies in one block after the rotation, and the pair is just within that block's budget: single precision alone would lose some."""
+    rng = np.random.default_rng(9)
+    allowed, cut = budgets(dim, 4, 0.98)[0] - SLACK, blocks_of(dim, 4)[0]
+    rows = []
+    for pair in range(150):
+        u, away = (rng.standard_normal(cut.stop) for _ in range(2))
+        u /= np.linalg.norm(u)
+        away -= (away @ u) * u
+        angle = 2 * np.arcsin(np.sqrt(allowed * (1 - 1e-9)) / 2)
+        v = np.cos(angle) * u + np.sin(angle) * away / np.linalg.norm(away)
+        for k, part in enumerate((u, v)):
+            whole = np.zeros(dim)
+            whole[cut] = part
+            rows.append((2 * pair + k, (rotation(dim) @ whole).tolist(), pair))
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert [r.vec_id for r in got if r.n_links != 1] == []
+
+
+def test_slack_covers_single_precision():
+    rng = np.random.default_rng(10)
+    for dim in (16, 256, 4096):
+        for gap in (1e-3, 0.01, 0.2):
+            u = rng.standard_normal(dim)
+            u /= np.linalg.norm(u)
+            v = u + gap * (w := rng.standard_normal(dim)) / np.linalg.norm(w)
+            a, b = (x.astype(np.float32).astype(np.float64) for x in (u, v))
+            assert abs(((a - b) ** 2).sum() - gap**2) <= 1.5 * slack(gap**2)
+
+
+def test_clashing_columns_and_nothing_left_behind(spark):
+    from pathlib import Path
+
+    from sparkgate.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    rows = [(1, [1.0, 0.0], 1, 5, "n"), (2, [1.0, 0.01], 1, 6, "c"), (3, [0.0, 1.0], 1, 7, "x")]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, row int, class string")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+    assert [p.name.split("-")[1] for p in set(folder.iterdir()) - before] == ["links"]

@@ -80,3 +80,20 @@ def test_null_and_repeated_ids_match_sql(spark, tmp_path):
     read = {r.record_id: r for r in read_archives(spark, path).collect()}
     assert len(read) == len(rows)
     assert all(read[r.refers_to].record_type == "response" and read[r.refers_to].digest == r.digest for r in read.values() if r.record_type == "revisit")
+
+
+def test_pages_without_an_id_revisit_one_that_has_it(spark, tmp_path):
+    """Type and target are what the archive says, not what the query makes of it."""
+    rows = [(None, "u", "x", 1), (None, "v", "x", 2), (3, "w", "x", 3), (None, "u", "y", 4), (None, "u", "y", 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    path = str(tmp_path / "archives")
+    write_archives(pages, path)
+    got = sorted((r.record_type, r.refers_to or "", r.record_id == "<urn:page:3>") for r in read_archives(spark, path).collect())
+    assert got == [("response", "", False)] * 2 + [("response", "", True)] + [("revisit", "<urn:page:3>", False)] * 2
+    pages.select("page_id", "url", "html").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    key = lambda r: tuple((x is None, x) if x is not None else (True, 0) for x in r)
+    want = sorted(con.execute(f"SELECT {', '.join(names)} FROM ({OP8_SQL})").fetchall(), key=key)
+    assert sorted((tuple(r) for r in op8_warc_segments(spark, str(tmp_path)).select(*names).collect()), key=key) == want
