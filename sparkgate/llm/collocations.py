@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from sparkgate.session import drop_materialized, materialize, scratch_path
 
 #: Words of a block, the unit whose lists are kept together (a text is never cut), blocks of a file, which bounds what a reader holds, and the most bits of a filter of frequent phrases.
-BLOCK_WORDS, FILE_BLOCKS, FILTER_BITS = 1 << 16, 48, 1 << 28
+BLOCK_WORDS, FILE_BLOCKS, FILTER_BITS = 1 << 16, 128, 1 << 28
 #: Entries of counts that a task holds before it sends them on, and about how many words make a share of all counts.
 HELD_COUNTS, SHARE_WORDS = 1 << 21, 1 << 22
 #: Ends of pieces become a word of their own, which no text can hold; tabs become spaces.
@@ -26,28 +27,41 @@ FIELDS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("phrases", pa
 LISTS = "block long, lang string, phrases array<string>, hashes binary, last binary, lengths binary, positions binary"
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers below 2^32 in little space: byte by byte of all, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").reshape(-1)
+
+
 @dataclass
 class Lists:
-    """The inverted lists of one block: its phrases, their hashes and those of their last words, how often each occurs, and where, list after list in ascending order."""
+    """The inverted lists of one block: its phrases, their hashes and those of their last words, how often each occurs, and where, list after list in ascending order. What was not read is None."""
 
     block: int
     lang: str
-    phrases: list
+    phrases: pa.StringArray | None
     hashes: np.ndarray
-    last: np.ndarray
+    last: np.ndarray | None
     lengths: np.ndarray
-    positions: np.ndarray
+    positions: np.ndarray | None
 
     def batch(self) -> pa.RecordBatch:
-        """As a row. Positions are stored as steps from the one before, which are small."""
-        steps = np.diff(self.positions, prepend=0).astype("<i4").tobytes()
-        values = [self.block, self.lang, self.phrases, self.hashes.astype("<u8").tobytes(), self.last.astype("<u8").tobytes(), self.lengths.astype("<i4").tobytes(), steps]
-        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, FIELDS)], schema=FIELDS)
+        """As a row. Positions are stored as steps from the one before, which are small; words are their own last words."""
+        phrases = pa.ListArray.from_arrays(pa.array([0, len(self.phrases)], pa.int32()), self.phrases)
+        last = None if self.last is self.hashes else self.last.astype("<u8").tobytes()
+        values = [self.hashes.astype("<u8").tobytes(), last, _pack(self.lengths), _pack(np.diff(self.positions, prepend=0))]
+        return pa.RecordBatch.from_arrays([pa.array([self.block], pa.int64()), pa.array([self.lang], pa.string()), phrases, *(pa.array([v], pa.binary()) for v in values)], schema=FIELDS)
 
     def select(self, keep: np.ndarray) -> Lists:
         """The lists of some phrases."""
         (at,) = np.nonzero(keep)
-        return Lists(self.block, self.lang, [self.phrases[k] for k in at.tolist()], self.hashes[at], self.last[at], self.lengths[at], self.positions[np.repeat(keep, self.lengths)])
+        hashes = self.hashes[at]
+        last = hashes if self.last is self.hashes else None if self.last is None else self.last[at]
+        return Lists(self.block, self.lang, None if self.phrases is None else self.phrases.take(pa.array(at)), hashes, last, self.lengths[at], None if self.positions is None else self.positions[np.repeat(keep, self.lengths)])
 
     def longer(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first, second, times, positions) of the phrases that are one word longer: each occurrence is merge-joined with the postings of the word behind it.
@@ -65,12 +79,20 @@ class Lists:
         return found // max(1, len(self.lengths)), found % max(1, len(self.lengths)), np.diff(np.r_[edge, len(pair)]), met[order]
 
 
+#: Columns of lists that a count of their phrases needs, and one of longer phrases.
+COUNT, PLACES = ["lang", "hashes", "lengths"], ["lang", "hashes", "last", "lengths", "positions"]
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Lists]:
     for batch in batches:
+        names = batch.schema.names
+        get = lambda name, k: batch.column(names.index(name))[k] if name in names else None  # noqa: B023, E731
         for k in range(batch.num_rows):
-            block, lang, phrases, *arrays = (c[k].as_py() for c in batch.columns)
-            hashes, last, lengths, steps = (np.frombuffer(x, dtype=d) for x, d in zip(arrays, ("<u8", "<u8", "<i4", "<i4")))
-            yield Lists(block, lang, phrases, hashes, last, lengths.astype(np.int64), np.cumsum(steps, dtype=np.int64))
+            hashes = np.frombuffer(get("hashes", k).as_py(), dtype="<u8")
+            phrases, last, positions, block = (get(n, k) for n in ("phrases", "last", "positions", "block"))
+            last = None if last is None else hashes if last.as_py() is None else np.frombuffer(last.as_py(), dtype="<u8")
+            positions = None if positions is None else np.cumsum(_unpack(positions.as_py()), dtype=np.int64)
+            yield Lists(0 if block is None else block.as_py(), get("lang", k).as_py(), None if phrases is None else phrases.values, hashes, last, _unpack(get("lengths", k).as_py()).astype(np.int64), positions)
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -114,7 +136,7 @@ def postings(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bl
             if len(words) > 1:
                 seed, own = xxhash.xxh64_intdigest(lang), list(words)[1:]
                 hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in own), dtype=np.uint64, count=len(own))
-                yield Lists(number + at, lang, own, hashes, hashes, lengths[1:], order[lengths[0] :]).batch()
+                yield Lists(number + at, lang, pa.array(own, pa.string()), hashes, hashes, lengths[1:], order[lengths[0] :]).batch()
                 at += 1
 
         for batch in batches:
@@ -179,6 +201,12 @@ def _unpacked(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").reshape(-1), dtype=np.uint64), raw[8 * n :].astype(np.int64)
 
 
+def _bits(words: int) -> tuple[int, int]:
+    """(bits, low): of a phrase's hash the bits that count, and those of them that don't say which share it belongs to."""
+    bits = max(16, (16 * words).bit_length())
+    return bits, bits - max(0, (words // SHARE_WORDS).bit_length())
+
+
 def counted(lists: DataFrame, known: Filter | None, least: int, words: int) -> Filter:
     """A filter of all phrases that occur `least` times or more: those of lists where known is None, else those one word longer that known lets through.
 
@@ -187,8 +215,7 @@ def counted(lists: DataFrame, known: Filter | None, least: int, words: int) -> F
     """
     if least > 255:
         raise ValueError("counts are packed up to 255")
-    bits = max(16, (16 * words).bit_length())
-    low = bits - max(0, (words // SHARE_WORDS).bit_length())
+    bits, low = _bits(words)
     mask = np.uint64((1 << bits) - 1)
     shared, most = lists.sparkSession.sparkContext.broadcast(known), HELD_COUNTS
 
@@ -221,7 +248,8 @@ def counted(lists: DataFrame, known: Filter | None, least: int, words: int) -> F
         keys, counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
         return pa.table({"key": pa.array((keys[counts >= least] | np.uint64(table["part"][0].as_py() << low)).astype(np.int64))})
 
-    found = materialize(lists.mapInArrow(run, "part long, n long, data binary").groupBy("part").applyInArrow(enough, "key long"), "counted")
+    read = lists.select(*(COUNT if known is None else PLACES))
+    found = materialize(read.mapInArrow(run, "part long, n long, data binary").groupBy("part").applyInArrow(enough, "key long"), "counted")
     out = Filter(found, bits)
     drop_materialized(found)
     return out
@@ -241,24 +269,57 @@ def extended(lists: DataFrame, known: Filter, wanted: Filter) -> DataFrame:
             keep = after.has(hashes)
             if keep.any():
                 a, b = first[keep], second[keep]
-                names = [f"{block.phrases[x]} {block.phrases[y].rpartition(' ')[2]}" for x, y in zip(a.tolist(), b.tolist())]
+                behind = pc.replace_substring_regex(block.phrases.take(pa.array(b)), "^.* ", "")
+                names = pc.binary_join_element_wise(block.phrases.take(pa.array(a)), behind, " ")
                 yield Lists(block.block, block.lang, names, hashes[keep], block.last[b], times[keep], positions[np.repeat(keep, times)]).batch()
 
     return lists.mapInArrow(run, LISTS)
 
 
-def frequent(lists: DataFrame, known: Filter, least: int) -> DataFrame:
-    """(lang, phrase, f) of the phrases that lists hold `least` times or more in all blocks of their language. f is the length of the phrase's list; known only spares the others the way."""
-    shared = lists.sparkSession.sparkContext.broadcast(known)
+def frequent(lists: DataFrame, known: Filter, least: int, words: int) -> DataFrame:
+    """(lang, phrase, f) of the phrases that lists hold `least` times or more in all blocks of their language. f is the length of the phrase's list; known only spares the others the way.
+
+    A task adds up its blocks and sends the phrases of a share, sorted and packed, to one group, as counted() does with hashes. Phrases are compared by their texts.
+    """
+    bits, low = _bits(words)
+    shared, most = lists.sparkSession.sparkContext.broadcast(known), HELD_COUNTS // 4
+    keys = ["lang", "phrase"]
+
+    def total(tables: list[pa.Table], extra: list[str]) -> pa.Table:
+        return pa.concat_tables(tables).group_by([*extra, *keys]).aggregate([("n", "sum")]).rename_columns([*extra, *keys, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = total(held, ["part"]).sort_by([("part", "ascending"), ("lang", "ascending"), ("phrase", "ascending")])
+            parts = table["part"].to_numpy()
+            edges = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]][: len(parts)]).tolist()
+            for a, b in zip(edges, [*edges[1:], len(parts)]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.drop_columns("part").schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(table.drop_columns("part").slice(a, b - a).combine_chunks())
+                yield pa.RecordBatch.from_arrays([pa.array([int(parts[a])], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "data"])
+
         for block in _read(batches):
-            (at,) = np.nonzero(shared.value.has(block.hashes))
-            names = pa.array(block.phrases, pa.string()).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([pa.array([block.lang] * len(at), pa.string()), names, pa.array(block.lengths[at])], names=["lang", "phrase", "n"])
+            block = block.select(shared.value.has(block.hashes))
+            part = ((block.hashes & np.uint64((1 << bits) - 1)) >> np.uint64(low)).astype(np.int64)
+            held.append(pa.table({"part": pa.array(part), "lang": pa.array([block.lang] * len(part), pa.string()), "phrase": block.phrases, "n": pa.array(block.lengths)}))
+            if sum(len(t) for t in held) > most:
+                held[:] = [total(held, ["part"])]
+                if len(held[0]) > most // 2:
+                    yield from flush()
+                    held.clear()
+        if held:
+            yield from flush()
+
+    def enough(table: pa.Table) -> pa.Table:
+        every = total([pa.ipc.open_stream(d.as_py()).read_all() for d in table["data"]], [])
+        found = every.filter(pc.greater_equal(every["n"], least)).rename_columns([*keys, "f"])
+        return found.cast(pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())]))
 
-    each = lists.mapInArrow(run, "lang string, phrase string, n long")
-    return each.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    read = lists.select(*COUNT, "phrases")
+    return read.mapInArrow(run, "part long, data binary").groupBy("part").applyInArrow(enough, "lang string, phrase string, f long")
 
 
 #: floor(2000000 * a / (l + r)); decimals, as the product may pass 64 bits.
@@ -280,16 +341,23 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, most: int =
     of score go by a, then by the phrase's bytes. Repeated rows count each. A very long text is in one block, whole. Other columns are not read.
     """
     lists = _stored(postings(docs, text_col, lang_col, block_words))
-    shares = lists.groupBy("lang").agg(F.sum(F.octet_length("positions").cast("long") / 4).cast("long").alias("n"))
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(_unpack(x.as_py()).sum()) for x in batch.column(1)], pa.int64())], names=["lang", "n"])
+
+    shares = lists.select("lang", "lengths").mapInArrow(sizes, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
     totals = materialize(shares, "totals")
     words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     levels, passing = [], counted(lists, None, least, words)
     for k in range(1, longest + 1):
-        levels.append(materialize(frequent(lists, passing, least).withColumn("words", F.lit(k)), "frequent"))
+        levels.append(materialize(frequent(lists, passing, least, words).withColumn("words", F.lit(k)), "frequent"))
         if k < longest:
             wanted = counted(lists, passing, least, words)
-            longer = _stored(extended(lists, passing, wanted))
-            drop_materialized(lists)
+            longer = extended(lists, passing, wanted)
+            if k + 1 < longest:  # the lists of the longest phrases are only counted
+                longer = _stored(longer)
+                drop_materialized(lists)
             lists, passing = longer, wanted
     drop_materialized(lists)
     known = materialize(reduce(DataFrame.unionByName, levels), "phrases")

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkgate.llm.collocations import OP12_SQL, SCORE, Filter, _packed, _summed, _unpacked, collocations, op12_phrase_lists, postings
+from sparkgate.llm.collocations import OP12_SQL, SCORE, Filter, _packed, _summed, _unpack, _unpacked, collocations, op12_phrase_lists, postings
 from sparkgate.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -64,7 +64,7 @@ def test_overlapping_occurrences_count(spark):
 def test_positions_are_exact_and_lists_ascend(spark):
     lists = postings(spark.createDataFrame([("b a b. b",), ("a",)], "text string").coalesce(1).withColumn("lang", F.lit("x"))).collect()
     (row,) = lists
-    lengths, steps = (np.frombuffer(x, dtype="<i4") for x in (row.lengths, row.positions))
+    lengths, steps = _unpack(row.lengths), _unpack(row.positions)
     assert dict(zip(row.phrases, lengths.tolist())) == {"b": 3, "a": 2}
     assert np.cumsum(steps).tolist() == [0, 2, 4, 1, 6]
 
