@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkgate.operators import resolve, trees
 from sparkgate.plans.catalogue import table
 from sparkgate.plans.tabled import case, fill
-from sparkgate.sources import python_symbols
+from sparkgate.session import materialize, settled
+from sparkgate.sources import python_symbols, python_tree
 from sparkgate.sources.python_calls import python_calls
 
 BODY = '''import os, json as js
@@ -72,27 +74,89 @@ def files(spark, sf):
     return table(spark, sf, "part").select(fill("p{x}/f{k}.py", x=k % 20, k=k).alias("path"), text.alias("text"))
 
 
+def dealt(files):
+    """files dealt out by path: a table of one block feeds all tasks."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("path"))
+
+
 def s13(spark, sf):
-    return python_calls(files(spark, sf))
+    return python_calls(dealt(files(spark, sf)))
+
+
+def parsed(spark, sf, of=files):
+    return materialize(python_tree.nodes(of(spark, sf)), "nodes")
 
 
 def x20(spark, sf):
-    return python_symbols.functions(files(spark, sf))
+    return settled(lambda: trees.functions(parsed(spark, sf)), spark, "functions")
 
 
 def x22(spark, sf):
-    return python_symbols.imports(files(spark, sf))
+    return settled(lambda: trees.imports(parsed(spark, sf)), spark, "imports")
 
 
 def x07(spark, sf):
-    return python_symbols.names(files(spark, sf))
+    return settled(lambda: trees.names(parsed(spark, sf)), spark, "names")
 
 
 def x15(spark, sf):
-    return python_symbols.fields(files(spark, sf))
+    return python_symbols.fields(dealt(files(spark, sf)))
+
+
+BINDS = ['m = "m{k}"', 'm, n = "a", "b"', 'm = "x"\n{i}m += "y"', "for m in names: pass", "m = MODEL", "pass"]
+#: Where a name is bound and where it is used: {b} and {u} stand for the lines.
+PLACES = [
+    "    {b}\n    {u}\n", "    if p:\n        {b}\n        {u}\n", "    if p:\n        {b}\n    {u}\n", "    try:\n        {b}\n    except E:\n        {u}\n",
+    "    with open(p) as w:\n        {b}\n    {u}\n", "    {b}\n    def inner(q):\n        {u}\n",
+]
+
+
+def project(spark, sf):
+    """A file per part that binds a model's name in one of six ways in one of six places and takes it from a library of a supplier, which takes it from another file. Every third library and its file take it from each other."""
+    k, j = F.col("p_partkey"), F.col("s_suppkey")
+    b, w = k % 6, F.floor(k / 6) % 6
+    source = [F.concat(F.lit('from lib{j} import MODEL, Base\nclass Mid(Base):\n    why: Team\nclass Out(Mid):\n    own: bool\ndef ask(p, names, m):\n'), F.lit(place)) for place in PLACES]
+    indent = F.when(w.isin(0, 5), "    ").otherwise("        ")
+    bound = F.replace(F.element_at(F.array(*map(F.lit, BINDS)), (b + 1).cast("int")), F.lit("{i}"), indent)
+    # The last way binds nothing: the name is the parameter.
+    text = F.element_at(F.array(*source), (w + 1).cast("int"))
+    for key, value in (("{b}", bound), ("{u}", F.lit('client.run(model=m, input="{k}")')), ("{j}", F.col("j").cast("string")), ("{k}", k.cast("string"))):
+        text = F.replace(text, F.lit(key), value)
+    most = table(spark, sf, "supplier").agg(F.max("s_suppkey").alias("most"))
+    parts = table(spark, sf, "part").crossJoin(most).withColumn("j", k % F.col("most") + 1).select(fill("f{k}.py", k=k).alias("path"), text.alias("text"))
+    library = fill("from base{j} import NAME as MODEL, Root as Base\n", j=j)
+    base = F.when(j % 3 == 0, fill("from lib{j} import MODEL as NAME, Base as Root\n", j=j)).otherwise(fill('NAME = "g{j}"\nclass Root:\n    ok: bool\n    why: str\n', j=j))
+    suppliers = table(spark, sf, "supplier")
+    return parts.unionByName(suppliers.select(fill("lib{j}.py", j=j).alias("path"), library.alias("text"))).unionByName(suppliers.select(fill("base{j}.py", j=j).alias("path"), base.alias("text")))
+
+
+def linked(nodes):
+    """(the ends of all chains of names) of a tree: its imports resolved to files, chains followed."""
+    froms = nodes.where("kind = 'ImportFrom'").select("path", "node", F.col("extra").cast("int").alias("level"), F.coalesce("name", F.lit("")).alias("module"))
+    exact, suffixes, package = resolve.python_candidates(F.col("path"), F.col("level"), F.col("module"), ["openai", "anthropic"])
+    wanted = froms.select(F.concat_ws(":", "path", "node").alias("id"), exact.alias("exact"), suffixes.alias("suffixes"), package.alias("package"))
+    files_ = nodes.select(F.col("path").alias("rel")).distinct()
+    found = resolve.resolve_imports(wanted, files_).where("target is not null").select(F.regexp_extract("id", "^(.*):[0-9]+$", 1).alias("path"), F.regexp_extract("id", ":([0-9]+)$", 1).cast("int").alias("import"), "target")
+    return materialize(trees.followed(trees.module_links(nodes, found)), "ends")
+
+
+def x09(spark, sf):
+    def make():
+        nodes = parsed(spark, sf, project)
+        return trees.keyword_values(nodes, ["model", "input"], linked(nodes), trees.module_values(nodes)).select("path", "key", "value", "state")
+
+    return settled(make, spark, "models")
+
+
+def x16(spark, sf):
+    def make():
+        nodes = parsed(spark, sf, project)
+        return trees.inherited(trees.annotated_fields(nodes), trees.class_bases(nodes, linked(nodes)), ["note"])
+
+    return settled(make, spark, "fields")
 
 
-QUERIES = {"s13_python_tree": s13, "x20_functions": x20, "x22_imports": x22, "x07_names": x07, "x15_class_fields": x15}
+QUERIES = {"s13_python_tree": s13, "x20_functions": x20, "x22_imports": x22, "x07_names": x07, "x15_class_fields": x15, "x09_values_by_name": x09, "x16_inherited_fields": x16}
 
 _parsed = "p AS (SELECT *, p_partkey AS k, 'p' || (p_partkey % 20) || '/f' || p_partkey || '.py' AS path FROM part WHERE p_partkey % 29 <> 0)"
 _line = {x: n for n, x in enumerate(BODY.split("\n"), 1)}
@@ -113,4 +177,12 @@ SQL = {
       FROM p, {_rows([(_q(s), _q(n), str(line), t) for s, n, line, t in [('', 'MODEL', _at('MODEL'), 'true'), ('', 'LIMITS', _at('LIMITS'), 'true'), ('', 'TWICE', _at('TWICE = 1'), 'false'), ('', 'TWICE', _at('TWICE = 2'), 'false'), ('', 'MADE', _at('MADE'), 'true'), ('ask', 'count', _at('count'), 'true')]])} n(scope, name, line, single)""",
     "x15_class_fields": f"""WITH {_parsed} SELECT path, class, field, kind, CASE field WHEN 'team' THEN p_brand || '|other' WHEN 'maybe' THEN p_brand || '|other' WHEN 'kind' THEN p_type || '|x' WHEN 'tags' THEN 'p' || p_size || '|q' WHEN 'stars' THEN '1|' || (k % 5 + 2) WHEN 'noted' THEN '0|1' ELSE '' END AS options, field IN ('kind', 'maybe') AS nullable
       FROM p, {_rows([(_q(c), _q(f), _q(x)) for c, f, x in [('Base', 'ok', 'yes_no'), ('Out', 'ok', 'yes_no'), ('Out', 'team', 'choice'), ('Out', 'kind', 'choice'), ('Out', 'maybe', 'choice'), ('Out', 'tags', 'labels'), ('Out', 'stars', 'score'), ('Out', 'noted', 'score'), ('Out', 'either', 'free'), ('Out', 'why', 'free')]])} f(class, field, kind)""",
+    "x09_values_by_name": """WITH f AS (SELECT p_partkey AS k, p_partkey % 6 AS b, p_partkey // 6 % 6 AS w, p_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS j FROM part),
+      s AS (SELECT *, CASE WHEN b = 5 THEN 'parameter' WHEN b = 2 OR w IN (2, 3) THEN 'several' WHEN b IN (1, 3) THEN 'unpacked' WHEN b = 0 THEN 'local' WHEN j % 3 = 0 THEN 'unknown' ELSE 'name' END AS state FROM f)
+      SELECT 'f' || k || '.py' AS path, 'model' AS key, CASE state WHEN 'local' THEN '"m' || k || '"' WHEN 'name' THEN '"g' || j || '"' END AS value, state FROM s
+      UNION ALL SELECT 'f' || k || '.py', 'input', '"' || k || '"', 'literal' FROM s""",
+    "x16_inherited_fields": """WITH f AS (SELECT 'f' || p_partkey || '.py:' AS p, (p_partkey % (SELECT max(s_suppkey) FROM supplier) + 1) % 3 <> 0 AS held FROM part)
+      SELECT p || 'Mid' AS class, 'why' AS field, 0 AS depth, 'Team' AS note FROM f UNION ALL SELECT p || 'Out', 'own', 0, 'bool' FROM f UNION ALL SELECT p || 'Out', 'why', 1, 'Team' FROM f
+      UNION ALL SELECT p || 'Mid', 'ok', 1, 'bool' FROM f WHERE held UNION ALL SELECT p || 'Out', 'ok', 2, 'bool' FROM f WHERE held
+      UNION ALL SELECT 'base' || s_suppkey || '.py:Root', unnest(['ok', 'why']), 0, unnest(['bool', 'str']) FROM supplier WHERE s_suppkey % 3 <> 0""",
 }
