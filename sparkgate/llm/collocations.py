@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from sparkgate.session import drop_materialized, materialize, scratch_path
 
 #: Words of a block, the unit whose lists are kept together (a text is never cut), blocks of a file, which bounds what a reader holds, and the most bits of a filter of frequent phrases.
-BLOCK_WORDS, FILE_BLOCKS, FILTER_BITS = 1 << 16, 128, 1 << 28
+BLOCK_WORDS, FILE_BLOCKS, FILTER_BITS = 1 << 16, 32, 1 << 28
 #: Entries of counts that a task holds before it sends them on, and about how many words make a share of all counts.
-HELD_COUNTS, SHARE_WORDS = 1 << 21, 1 << 22
+HELD_COUNTS, SHARE_WORDS = 1 << 20, 1 << 20
 #: Ends of pieces become a word of their own, which no text can hold; tabs become spaces.
 ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".......... ")
 FIELDS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("phrases", pa.list_(pa.string())), ("hashes", pa.binary()), ("last", pa.binary()), ("lengths", pa.binary()), ("positions", pa.binary())])
@@ -92,6 +92,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Lists]:
             phrases, last, positions, block = (get(n, k) for n in ("phrases", "last", "positions", "block"))
             last = None if last is None else hashes if last.as_py() is None else np.frombuffer(last.as_py(), dtype="<u8")
             positions = None if positions is None else np.cumsum(_unpack(positions.as_py()), dtype=np.int64)
+            # What earlier blocks took goes back to the system.
+            pa.default_memory_pool().release_unused()
             yield Lists(0 if block is None else block.as_py(), get("lang", k).as_py(), None if phrases is None else phrases.values, hashes, last, _unpack(get("lengths", k).as_py()).astype(np.int64), positions)
 
 
