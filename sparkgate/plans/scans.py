@@ -8,7 +8,7 @@ from sparkgate.operators import resolve, trees
 from sparkgate.plans.catalogue import table
 from sparkgate.plans.tabled import case, fill
 from sparkgate.session import materialize, settled
-from sparkgate.sources import python_symbols, python_tree
+from sparkgate.sources import python_symbols, python_tree, tree
 from sparkgate.sources.python_calls import python_calls
 
 BODY = '''import os, json as js
@@ -156,7 +156,18 @@ def x16(spark, sf):
     return settled(make, spark, "fields")
 
 
-QUERIES = {"s13_python_tree": s13, "x20_functions": x20, "x22_imports": x22, "x07_names": x07, "x15_class_fields": x15, "x09_values_by_name": x09, "x16_inherited_fields": x16}
+IGNORED = {".gitignore": "*.txt\nd3/\n!d3/e1/\n", "d1/.gitignore": "e2/*\n!e2/*1.py\n", "d5/.gitignore": "!*.txt\n", "d7/e0/.gitignore": "*\n", "d8/.gitignore": "*.py\n", "d8/.ignore": "!f*5.py\n"}
+
+
+def s17(spark, sf):
+    """Files of parts in a tree whose ignore files exclude, bring back, and can't bring back."""
+    k = F.col("p_partkey")
+    listed = table(spark, sf, "part").select(F.concat(fill("d{d}/e{e}/f{k}.", d=k % 9, e=F.floor(k / 9) % 4, k=k), F.when(k % 5 == 0, "txt").otherwise("py")).alias("rel"))
+    rules = spark.createDataFrame(list(IGNORED.items()), "rel string, text string")
+    return tree.not_ignored(listed, tree.ignore_rules(rules))
+
+
+QUERIES = {"s17_ignored_tree": s17, "s13_python_tree": s13, "x20_functions": x20, "x22_imports": x22, "x07_names": x07, "x15_class_fields": x15, "x09_values_by_name": x09, "x16_inherited_fields": x16}
 
 _parsed = "p AS (SELECT *, p_partkey AS k, 'p' || (p_partkey % 20) || '/f' || p_partkey || '.py' AS path FROM part WHERE p_partkey % 29 <> 0)"
 _line = {x: n for n, x in enumerate(BODY.split("\n"), 1)}
@@ -185,4 +196,7 @@ SQL = {
       SELECT p || 'Mid' AS class, 'why' AS field, 0 AS depth, 'Team' AS note FROM f UNION ALL SELECT p || 'Out', 'own', 0, 'bool' FROM f UNION ALL SELECT p || 'Out', 'why', 1, 'Team' FROM f
       UNION ALL SELECT p || 'Mid', 'ok', 1, 'bool' FROM f WHERE held UNION ALL SELECT p || 'Out', 'ok', 2, 'bool' FROM f WHERE held
       UNION ALL SELECT 'base' || s_suppkey || '.py:Root', unnest(['ok', 'why']), 0, unnest(['bool', 'str']) FROM supplier WHERE s_suppkey % 3 <> 0""",
+    "s17_ignored_tree": """WITH f AS (SELECT p_partkey AS k, p_partkey % 9 AS d, p_partkey // 9 % 4 AS e, CASE WHEN p_partkey % 5 = 0 THEN 'txt' ELSE 'py' END AS x FROM part)
+      SELECT 'd' || d || '/e' || e || '/f' || k || '.' || x AS rel FROM f
+      WHERE d <> 3 AND NOT (d = 7 AND e = 0) AND CASE WHEN d = 1 AND e = 2 THEN x = 'py' AND k % 10 = 1 WHEN d = 5 THEN true WHEN d = 8 THEN x = 'py' AND k % 10 = 5 ELSE x = 'py' END""",
 }

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkgate.session import materialize
+from sparkgate.sources.tree import MAX_FILE_BYTES, all_files, ignore_rules, not_ignored
 
-# The largest source file, folders that are not searched, grammars by extension.
-MAX_FILE_BYTES = 1024 * 1024
-SKIP_DIRS = ["node_modules", ".venv", "venv", "site-packages", "dist", "build", "__pycache__", ".git"]
+# Grammars by extension.
 GRAMMARS = {"py": "python", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript"}
 
 
@@ -23,17 +22,13 @@ def grammar(path: Column) -> Column:
 def source_files(spark: SparkSession, root: str) -> DataFrame:
     """(rel, grammar, bytes, state, text) of the source files under root.
 
-    state is ok, too_large or not_utf8; text is null unless ok. Hidden files and folders and SKIP_DIRS are not searched; ignore files are
-    not read. Files of no bytes are not listed, as the file reader passes over them. Only the contents of files within the size limit leave the reader.
+    state is ok, too_large or not_utf8; text is null unless ok. Hidden files and folders, vendored folders and what ignore files exclude are left out; empty files are listed. Only the
+    contents of files within the size limit leave the reader.
     """
-    base = root.rstrip("/")
-    rel = F.expr("substr(path, instr(path, '%s/') + %d)" % (base.replace("'", "\\'"), len(base) + 1))
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).withColumn("rel", rel)
-    folders = F.slice(F.split("rel", "/"), 1, F.size(F.split("rel", "/")) - 1)
-    seen = found.withColumn("grammar", grammar(F.col("rel"))).where(F.col("grammar").isNotNull() & ~F.arrays_overlap(folders, F.array(*map(F.lit, SKIP_DIRS))) & ~F.col("rel").rlike(r"(^|/)\."))
-    small = F.when(F.col("length") <= MAX_FILE_BYTES, F.col("content").cast("string"))
-    state = F.when(F.col("length") > MAX_FILE_BYTES, "too_large").when(F.is_valid_utf8(small), "ok").otherwise("not_utf8")
-    return seen.select("rel", "grammar", F.col("length").alias("bytes"), state.alias("state"), F.when(F.is_valid_utf8(small), small).alias("text"))
+    found = all_files(spark, root).withColumn("text", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")))
+    seen = not_ignored(found.where(grammar(F.col("rel")).isNotNull() & ~F.col("rel").rlike(r"(^|/)\.[^/]*$")), ignore_rules(found))
+    state = F.when(F.col("bytes") > MAX_FILE_BYTES, "too_large").when(F.col("text").isNotNull(), "ok").otherwise("not_utf8")
+    return seen.select("rel", grammar(F.col("rel")).alias("grammar"), "bytes", state.alias("state"), "text")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:

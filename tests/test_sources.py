@@ -10,11 +10,11 @@ from sparkgate.sources import files
 
 
 def test_source_files(spark, tmp_path):
-    for rel, data in {"a.py": b"x = 1", "b/c.tsx": b"t", "b/none.py": b"", "b/types.d.ts": b"x", "node_modules/d.js": b"x", "b/e.txt": b"x", ".hidden/f.py": b"x", "b/g.py": b"\xff\xfe", "h.mjs": b"y" * (files.MAX_FILE_BYTES + 1), "build.py": b"z"}.items():
+    for rel, data in {"a.py": b"x = 1", "b/c.tsx": b"t", "b/none.py": b"", "b/types.d.ts": b"x", "node_modules/d.js": b"x", "b/e.txt": b"x", ".hidden/f.py": b"x", "b/g.py": b"\xff\xfe", "h.mjs": b"y" * (files.MAX_FILE_BYTES + 1), "build.py": b"z", ".gitignore": b"*.ts\n!d.ts\n", "out.ts": b"x", "d.ts": b"x", "b/.gitignore": b"/d.py", "b/d.py": b"x"}.items():
         (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / rel).write_bytes(data)
     got = {r.rel: (r.grammar, r.bytes, r.state, r.text) for r in files.source_files(spark, str(tmp_path)).collect()}
-    assert got == {"a.py": ("python", 5, "ok", "x = 1"), "b/c.tsx": ("tsx", 1, "ok", "t"), "b/g.py": ("python", 2, "not_utf8", None), "h.mjs": ("javascript", files.MAX_FILE_BYTES + 1, "too_large", None), "build.py": ("python", 1, "ok", "z")}
+    assert got == {"a.py": ("python", 5, "ok", "x = 1"), "b/c.tsx": ("tsx", 1, "ok", "t"), "b/none.py": ("python", 0, "ok", ""), "b/g.py": ("python", 2, "not_utf8", None), "h.mjs": ("javascript", files.MAX_FILE_BYTES + 1, "too_large", None), "build.py": ("python", 1, "ok", "z"), "d.ts": ("typescript", 1, "ok", "x")}
 
 
 def test_numbered_lines_over_splits(spark, tmp_path):
