@@ -8,7 +8,7 @@ from sparkgate.operators import evidence, graph, judge, metrics, resolve
 from sparkgate.plans.catalogue import ALL_EDGES, RECORDS, all_edges, table, tries, valid
 from sparkgate.session import materialize, scratch_path
 from sparkgate.sources import files
-from sparkgate.streaming import flows
+from sparkgate.streaming import flows, ledger
 
 
 def m14(spark, sf):
@@ -148,10 +148,27 @@ def x02(spark, sf):
     return flows.drained(judged.select("conv_id", "turn", "status", "reason"), spark, "judged")
 
 
+def spending(spark, sf):
+    """Ledger events of a table of events: each user's purchases hold an amount, later events of the same attempt settle it, fail it or let it go, some users cancel."""
+    k, v = F.col("event_id"), (F.col("value") * 100).cast("long")
+    kind = F.when(k % 5 < 2, "reserve").when(k % 5 == 2, "settle").when(k % 5 == 3, "fail").when(k % 97 == 4, "cancel").otherwise("release")
+    amount = F.when(k % 11 == 0, F.lit(None).cast("long")).when(k % 13 == 0, -v).otherwise(v)
+    return table(spark, sf, "events").select(F.col("user_id").cast("long").alias("run"), k.cast("long").alias("seq"), F.timestamp_seconds(F.lit(1_700_000_000) + k).alias("at"), kind.alias("kind"), (F.floor(k / 5) % 3).alias("attempt"), amount.alias("amount"), F.when(k % 3 > 0, (F.lit(200) + k % 4 * 104).cast("int")).alias("status"))
+
+
+def x03(spark, sf):
+    was = spark.conf.get(ledger.PROVIDER)
+    spark.conf.set(ledger.PROVIDER, ledger.ROCKS)
+    try:
+        return flows.drained(ledger.ledger(flows.in_order(spending(spark, sf), spark, "spending", "seq"), 100_000, 600_000), spark, "ledger")
+    finally:
+        spark.conf.set(ledger.PROVIDER, was)
+
+
 QUERIES = {
     "m14_output_agreement": m14, "m15_adjudication": m15, "m16_run_estimate": m16, "m17_recorded_price": m17, "m18_policy_blockers": m18, "j08_policy_coverage": j08, "i08_order_violations": i08,
     "i09_field_names": i09, "i12_supplied_rows": i12, "r03_cache_lookup": r03, "r04_cache_upsert": r04,
-    "r05_model_catalogue": r05, "r06_resolve_model": r06, "r07_rows_of_sites": r07, "r08_unmatched_keys": r08, "g06_occurrence_status": g06, "g07_dispositions": g07, "x01_stream_admission": x01, "x02_stream_judge": x02,
+    "r05_model_catalogue": r05, "r06_resolve_model": r06, "r07_rows_of_sites": r07, "r08_unmatched_keys": r08, "g06_occurrence_status": g06, "g07_dispositions": g07, "x01_stream_admission": x01, "x02_stream_judge": x02, "x03_stream_ledger": x03,
 }
 
 Z2 = repr(metrics.Z * metrics.Z) + "::DOUBLE"
