@@ -203,6 +203,13 @@ def _unpacked(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").reshape(-1), dtype=np.uint64), raw[8 * n :].astype(np.int64)
 
 
+def _gathered(lists: DataFrame) -> DataFrame:
+    """lists in a quarter of the tasks, where that still fills the cluster twice: what occurs in many blocks is added up in fewer places before it is sent."""
+    n = lists.rdd.getNumPartitions()
+    least = 2 * lists.sparkSession.sparkContext.defaultParallelism
+    return lists.coalesce(max(n // 4, least)) if n > least else lists
+
+
 def _bits(words: int) -> tuple[int, int]:
     """(bits, low): of a phrase's hash the bits that count, and those of them that don't say which share it belongs to."""
     bits = max(16, (16 * words).bit_length())
@@ -250,7 +257,7 @@ def counted(lists: DataFrame, known: Filter | None, least: int, words: int) -> F
         keys, counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
         return pa.table({"key": pa.array((keys[counts >= least] | np.uint64(table["part"][0].as_py() << low)).astype(np.int64))})
 
-    read = lists.select(*(COUNT if known is None else PLACES))
+    read = _gathered(lists.select(*(COUNT if known is None else PLACES)))
     found = materialize(read.mapInArrow(run, "part long, n long, data binary").groupBy("part").applyInArrow(enough, "key long"), "counted")
     out = Filter(found, bits)
     drop_materialized(found)
@@ -284,7 +291,7 @@ def frequent(lists: DataFrame, known: Filter, least: int, words: int) -> DataFra
     A task adds up its blocks and sends the phrases of a share, sorted and packed, to one group, as counted() does with hashes. Phrases are compared by their texts.
     """
     bits, low = _bits(words)
-    shared, most = lists.sparkSession.sparkContext.broadcast(known), HELD_COUNTS // 4
+    shared, most = lists.sparkSession.sparkContext.broadcast(known), HELD_COUNTS
     keys = ["lang", "phrase"]
 
     def total(tables: list[pa.Table], extra: list[str]) -> pa.Table:
@@ -320,7 +327,7 @@ def frequent(lists: DataFrame, known: Filter, least: int, words: int) -> DataFra
         found = every.filter(pc.greater_equal(every["n"], least)).rename_columns([*keys, "f"])
         return found.cast(pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())]))
 
-    read = lists.select(*COUNT, "phrases")
+    read = _gathered(lists.select(*COUNT, "phrases"))
     return read.mapInArrow(run, "part long, data binary").groupBy("part").applyInArrow(enough, "lang string, phrase string, f long")
 
 
