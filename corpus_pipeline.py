@@ -14,7 +14,7 @@ from sparkgate.llm.mixing import mixed_documents
 from sparkgate.llm.packing import pack
 from sparkgate.llm.quality import quality_rules
 from sparkgate.llm.secrets import redact
-from sparkgate.session import materialize
+from sparkgate.session import drop_materialized, settled
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     text = F.when(F.col("text").isNull(), "-").otherwise(F.concat(F.lit(":"), "text"))
     keyed = docs.withColumn("_key", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text), 256))
-    chosen = materialize(near_duplicates(keyed, carried=("_key",)).where("chosen").select("_key"), "chosen")
+    chosen = settled(lambda: near_duplicates(keyed, carried=("_key",)).where("chosen").select("_key"), spark, "chosen")
     one = keyed.where("doc_id is not null").join(chosen.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"])
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
@@ -59,7 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other. What a stage wrote on its way goes when its result is written, and that when the next one's is: the last stage's input is all that stays, as it is read with the result."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), spark, f"stage-{name.replace(' ', '-')}")
+        if before is not None:
+            drop_materialized(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 import tempfile
 from collections import Counter
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -10,6 +11,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from sparkgate.llm.packing import TOKENIZER
 from sparkgate.llm.quality import op5_quality_ratio
+from sparkgate.session import shared_dir
 from tests.llm.test_minhash import brute, shingles
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +86,10 @@ def test_empty_documents(spark):
 
 def test_shingles_are_those_of_the_contract():
     assert shingles("A b") == {("a", "b")}
+
+
+def test_a_run_leaves_its_last_table_only(spark):
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert [p.name.split("-")[1:3] for p in set(folder.iterdir()) - before] == [["stage", "mixing"]]
