@@ -101,8 +101,9 @@ def m05(spark, sf):
 
 
 def m06(spark, sf):
-    rows = spark.createDataFrame([(t,) for t in (0.5, 0.8, 0.9, 0.95, 0.99, 0.999, 0.9999)], "target double")
-    return rows.select("target", metrics.rows_needed(F.col("target")).alias("n"))
+    """How many agreements each part's target of 0.0002 to 0.9998 needs."""
+    rows = table(spark, sf, "part").select("p_partkey", ((F.col("p_partkey") % 4999 + 1) / F.lit(5000.0)).alias("target"))
+    return rows.select("p_partkey", "target", metrics.rows_needed(F.col("target")).alias("n"))
 
 
 def m07(spark, sf):
@@ -321,9 +322,12 @@ def s01(spark, sf):
 
 
 def s02(spark, sf):
+    """A copy of an example source for each supplier."""
     from sparkgate.sources.python_calls import EXAMPLES, python_calls
 
-    return python_calls(spark.createDataFrame(EXAMPLES, "path string, text string"))
+    examples = spark.createDataFrame([(k, *x) for k, x in enumerate(EXAMPLES)], "k int, name string, text string")
+    own = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % len(EXAMPLES)).cast("int").alias("k")).join(examples, "k")
+    return python_calls(own.select(F.concat_ws("/", F.concat(F.lit("s"), "s_suppkey"), "name").alias("path"), "text"))
 
 
 QUERIES = {
@@ -374,7 +378,7 @@ SQL = {
     "m03_threshold_sweep": f"WITH {SWEEP} SELECT * FROM swept",
     "m04_gate_choice": f"WITH {SWEEP} SELECT * FROM gate",
     "m05_wilson_table": f"WITH t AS (SELECT event_type, count(*) FILTER (value >= 50) AS hits, count(*) AS n FROM events GROUP BY 1) SELECT event_type, hits, n, {_low5} AS low, {_high5} AS high FROM t",
-    "m06_rows_needed": f"WITH t AS (SELECT unnest([0.5, 0.8, 0.9, 0.95, 0.99, 0.999, 0.9999]::DOUBLE[]) AS target) SELECT target, (SELECT min(x) FROM range(1, 60000) r(x) WHERE x / (x + {metrics.Z * metrics.Z!r}::DOUBLE) >= target) AS n FROM t",
+    "m06_rows_needed": f"WITH t AS (SELECT p_partkey, (p_partkey % 4999 + 1) / 5000.0::DOUBLE AS target FROM part), d AS (SELECT DISTINCT target FROM t), n AS (SELECT target, (SELECT min(x) FROM range(1, 60000) r(x) WHERE x / (x + {metrics.Z * metrics.Z!r}::DOUBLE) >= target) AS n FROM d) SELECT p_partkey, target, n FROM t JOIN n USING (target)",
     "m07_choice_confusion": "WITH r AS (SELECT CAST(label AS VARCHAR) AS reference, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS VARCHAR) AS candidate FROM embeddings), l AS (SELECT CAST(x AS VARCHAR) AS label FROM range(10) t(x)) SELECT a.label AS reference, b.label AS candidate, count(r.reference) AS n FROM l a CROSS JOIN l b LEFT JOIN r ON r.reference = a.label AND r.candidate = b.label GROUP BY 1, 2",
     "m08_multilabel_metrics": f"WITH {RECORDS}, x AS (SELECT 'quality' AS label, ref, cand FROM records UNION ALL SELECT 'toxic', toxic, 1 - p >= 0.3::DOUBLE FROM records), g AS (SELECT * FROM (VALUES ('quality'), ('toxic')) a(label), (VALUES (false), (true)) b(ref), (VALUES (false), (true)) c(cand)) SELECT g.label, g.ref, g.cand, count(x.label) AS n FROM g LEFT JOIN x ON x.label = g.label AND x.ref = g.ref AND x.cand = g.cand GROUP BY 1, 2, 3",
     "m09_score_levels": f"WITH l AS (SELECT {_level('p_size')} AS level_ref, {_level('((p_partkey * 7) % 50 + 1)')} AS level_cand FROM part) SELECT level_ref, level_cand, count(*) AS n, abs(level_ref - level_cand) <= 1 AS within_one FROM l GROUP BY ALL",

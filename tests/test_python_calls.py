@@ -2,8 +2,7 @@
 
 import pytest
 
-from sparkgate.plans.registry import QUERIES
-from sparkgate.sources.python_calls import ENDINGS, INSTRUCTOR, LIMIT_KEYS, PROMPT_KEYS, calls_of, python_calls
+from sparkgate.sources.python_calls import ENDINGS, EXAMPLES, INSTRUCTOR, LIMIT_KEYS, PROMPT_KEYS, calls_of, python_calls
 from sparkgate.sources.python_symbols import imports
 
 
@@ -26,7 +25,7 @@ def test_keys():
 
 
 def test_fixture(spark):
-    got = sorted((r.path, r.line, r.sdk, r.model, r.tier, r.max_tokens) for r in QUERIES["s02_python_scan"](spark, "").collect() if r.path.startswith("d/"))
+    got = sorted((r.path, r.line, r.sdk, r.model, r.tier, r.max_tokens) for r in python_calls(spark.createDataFrame(EXAMPLES, "path string, text string")).collect() if r.path.startswith("d/"))
     assert got == [
         ("d/chain.py", 5, "langchain", "m", "sure", None), ("d/chain.py", 6, "langchain", None, "sure", None),
         ("d/endings.py", 2, "openai", None, "not_decision", None), ("d/endings.py", 3, "openai", None, "not_decision", None), ("d/endings.py", 4, "openai", None, "not_decision", None), ("d/endings.py", 5, "openai", None, "not_decision", None),
