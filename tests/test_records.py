@@ -100,7 +100,7 @@ def test_block_digests_have_two_levels_at_any_size(spark):
 
 def test_digests_like_their_sql_below_one_block(spark):
     sf = "/root/testdata/sf0.001"
-    for name in ("e02_digests",):
+    for name in ("e02_digests", "e05_results"):
         con = duckdb.connect()
         for t in ("events", "documents", "labels"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
