@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql.streaming import DataStreamWriter
 
 from sparkgate.operators import judge
 from sparkgate.plans.registry import QUERIES
@@ -50,3 +51,19 @@ def test_stream_in_several_batches(spark):
     judged.awaitTermination()
     assert sum(p["numInputRows"] > 0 for p in judged.recentProgress) == 5 and max(p["numInputRows"] for p in judged.recentProgress) < 300
     assert sorted((tuple(r) for r in spark.table("judged").collect()), key=str) == folded(rows, 3000)
+
+
+def test_streams_are_few_batches_and_state_stores(spark, monkeypatch):
+    """One micro-batch per million rows, and no more state stores than cores, whatever the session's number of shuffle partitions."""
+    seen, was = [], spark.conf.get("spark.sql.shuffle.partitions")
+    start = DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **k: seen.append(start(self, *a, **k)) or seen[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        rows = spark.range(50_000).selectExpr("id % 10 AS run", "id AS seq", "id % 7 AS amount")
+        assert flows.drained(flows.admitted(flows.in_order(rows, spark, "tries", "seq"), 1000), spark, "admitted").count() == 50_000
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "50"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    progress = [p for p in seen[0].recentProgress if p["numInputRows"]]
+    assert len(progress) == 1 and progress[0]["stateOperators"][0]["numShufflePartitions"] <= spark.sparkContext.defaultParallelism
