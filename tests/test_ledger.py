@@ -8,7 +8,7 @@ import pytest
 from sparkgate.plans import further
 from sparkgate.session import scratch_path
 from sparkgate.streaming import flows
-from sparkgate.streaming.ledger import PROVIDER, ROCKS, failed_cost, ledger
+from sparkgate.streaming.ledger import PROVIDER, ROCKS, Ledger, failed_cost, ledger
 
 EVENTS = "run long, seq long, at timestamp, kind string, attempt long, amount long, status int"
 BUDGET, TIMEOUT = 100, 50_000
@@ -106,3 +106,18 @@ def test_the_query_like_the_plain_version(spark):
     rows = [(r.run, r.seq, int(r.at.timestamp() * 1000), r.kind, r.attempt, r.amount, r.status) for r in further.spending(spark, sf).orderBy("seq").collect()]
     got = [tuple(r) for r in further.x03(spark, sf).collect()]
     assert sorted(got, key=str) == sorted(plain(rows, 100_000, 600_000), key=str) and len({r[3] for r in got}) >= 8
+
+
+def test_an_event_looks_at_due_reservations_only():
+    """Thousands of open reservations cost an event nothing: only deadlines that have come are looked at."""
+
+    class Watched(dict):
+        def items(self):
+            raise AssertionError("all open reservations are read")
+
+    held = Ledger(10**9, open={a: (1, 1000 + a) for a in range(5000)})
+    held.totals["reserved"] = 5000
+    held.open = Watched(held.open)
+    assert [a for a, *_ in held.expire(1002)] == [0, 1, 2]
+    assert held.apply("settle", 3, 1, None, 0) == ("settled", 1) and held.apply("reserve", 3, 1, None, 1003) == ("reserved", 0)
+    assert [a for a, *_ in held.expire(1004)] == [3, 4] and held.totals["reserved"] == 5000 - 5
