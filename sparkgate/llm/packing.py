@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import bisect
 import json
+import struct
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +17,26 @@ from pyspark.sql import functions as F
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces that share a drain of the pools: bounds what a task holds, in tokens.
 POOL_TOKENS = 1 << 19
-#: Distinct pre-tokens that a worker remembers, some 100 MB of them.
-MEMORY = 250_000
+#: Distinct parts of texts between blanks that a worker remembers, some 100 MB of them, and the most characters that are cut by the tokenizer's own pattern at once.
+MEMORY, SHORT = 400_000, 256
 #: Texts on which the cached path must give the library's own ids before it is used.
 PROBES = ("", "Hello, world! It's 12345 o'clock.", "  two  blanks \n\n\tand\ttabs \r\n", "naïve Straße Ελληνικά Привет 日本語 한국어 العربية", "😀👩‍👩‍👧 e\u0301 \u00a0\u200b", "def f(x):\n    return x['a'] + 0x1F  # ünï", "A" * 70 + "aaaa" * 30, "don't WE'LL I'VE 3rd 1,000.50 ---==== <|x|>", "\x00\x7f\x1b")
 
 
+class Known(dict):
+    """What `make` gives for each short text, as bytes of ids, remembered for the first MEMORY of them: what comes early is what comes often."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        got = self.make(text)
+        if len(text) <= 40 and len(self) < MEMORY:
+            self[text] = got
+        return got
+
+
 @cache
 def cached_path_holds(path: str | None) -> bool:
     """Does the cached path give the library's own ids on PROBES? Asked once, before tasks start, so that workers don't hold the library's tokenizer beside it."""
@@ -66,29 +80,32 @@ def encoder(path: str | None, cached: bool) -> Callable[[str], np.ndarray] | Non
     if any(c not in letter for token in vocabulary for c in token):
         return None
     ranks = {bytes(letter[c] for c in token): k for token, k in vocabulary.items()}
-    # The pattern takes a pre-token whole, as it comes from the split below.
+    whole = tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    # This pattern takes a pre-token whole, as it comes from the split below.
     pieces = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
     split = regex.compile(public_tokenizers.PATTERN).findall
     marks = regex.compile("|".join(map(regex.escape, special))) if special else None
-    known: dict[str, tuple[int, ...]] = {}
-
-    def ids(text: str) -> list[int]:
-        out = []
-        for token in split(text):
-            got = known.get(token)
-            if got is None:
-                got = tuple(pieces.encode_ordinary(token))
-                if len(token) <= 40 and len(known) < MEMORY:  # what comes early is what comes often
-                    known[token] = got
-            out.append(got)
-        return list(chain.from_iterable(out))
+    white, cut = regex.compile(r"[\s\x1c-\x1f] "), regex.compile(r"(?<![\s\x1c-\x1f]) ")
+
+    def plain(text: str) -> list[int]:
+        # On long runs of white characters the first one's pattern would give up.
+        return whole.encode_ordinary(text) if len(text) <= SHORT else [x for token in split(text) for x in pieces.encode_ordinary(token)]
+
+    packed = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+    spaced = Known(lambda part: packed(plain(" " + part)))
+
+    def ids(text: str) -> bytes:
+        # A pre-token holds no blank behind its first character unless it is white all through: one starts at every blank behind what is not white. Texts are cut there, and what lies between
+        # such blanks is looked up whole; a run of white characters stays in one part.
+        first, *rest = cut.split(text) if white.search(text) else text.split(" ")
+        return packed(plain(first)) + b"".join(map(spaced.__getitem__, rest))
 
     def encode(text: str) -> np.ndarray:
         out, at = [], 0
         for m in marks.finditer(text) if marks else ():
-            out += [*ids(text[at : m.start()]), special[m[0]]]
+            out += [ids(text[at : m.start()]), packed([special[m[0]]])]
             at = m.end()
-        return np.array(out + ids(text[at:]) if at or out else ids(text), dtype="<u4")
+        return np.frombuffer(b"".join([*out, ids(text[at:] if at else text)]), dtype="<u4")
 
     return encode
 

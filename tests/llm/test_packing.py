@@ -107,3 +107,17 @@ def test_ids_that_are_no_ranks_come_from_the_library(tmp_path):
     assert not cached_path_holds(str(path)) and encoder(str(path), False)(text).tolist() == want != encoder(None, True)(text).tolist()
     other = public_tokenizers.path("word_bpe_49k.json")
     assert not cached_path_holds(other) and encoder(other, False)(text).tolist() == Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids
+
+
+def test_parts_between_blanks_give_the_librarys_ids(whole, monkeypatch):
+    from sparkgate.llm import packing
+
+    rng = np.random.default_rng(5)
+    pool = [" ", " ", "  ", "\n", "\t", "\x1c", "\x1f", "​", "\x85", "　", "\r\n", "a", "Bc", "'s", "'", "don't", "12", "é", "日本", ".", "...", ",", "_", " a", " 1", "<|endoftext|>", "<|x|>"]
+    texts = ["".join(rng.choice(pool, int(rng.integers(0, 14)))) for _ in range(2000)] + [" " * 100_000, "a" + " \n" * 50_000, "\n" * 1000 + " b"]
+    encode = encoder.__wrapped__(None, True)
+    assert all(encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids for t in texts)
+    monkeypatch.setattr(packing, "MEMORY", 2)
+    made = []
+    known = packing.Known(lambda t: made.append(t) or t.encode())
+    assert [known[t] for t in "abcabc"] == [t.encode() for t in "abcabc"] and made == list("abcc")
