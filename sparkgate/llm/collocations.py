@@ -15,12 +15,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkgate.session import drop_materialized, materialize, scratch_path
+from sparkgate.session import batches_of, drop_materialized, materialize, scratch_path
 
 #: Words of a block, the unit whose lists are kept together (a text is never cut), blocks of a file, which bounds what a reader holds, and the most bits of a filter of frequent phrases.
 BLOCK_WORDS, FILE_BLOCKS, FILTER_BITS = 1 << 16, 32, 1 << 28
 #: Entries of counts that a task holds before it sends them on, and about how many words make a share of all counts.
 HELD_COUNTS, SHARE_WORDS = 1 << 20, 1 << 20
+#: Bytes of blocks that go to Python at once.
+BATCH_BYTES = 1 << 22
 #: Ends of pieces become a word of their own, which no text can hold; tabs become spaces.
 ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".......... ")
 FIELDS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("phrases", pa.list_(pa.string())), ("hashes", pa.binary()), ("last", pa.binary()), ("lengths", pa.binary()), ("positions", pa.binary())])
@@ -349,6 +351,11 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, most: int =
     n is the number of words of the language. A null text is empty, a null language is und; languages without a candidate give no row, nor does an empty table. Ties
     of score go by a, then by the phrase's bytes. Repeated rows count each. A very long text is in one block, whole. Other columns are not read.
     """
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        return _collocations(docs, least, longest, most, inside, block_words, text_col, lang_col)
+
+
+def _collocations(docs: DataFrame, least: int, longest: int, most: int, inside: tuple[int, int], block_words: int, text_col: str, lang_col: str) -> DataFrame:
     lists = _stored(postings(docs, text_col, lang_col, block_words))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

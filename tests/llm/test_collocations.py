@@ -133,3 +133,14 @@ def test_nothing_stays_behind(spark):
     before = set(folder.iterdir())
     collocations(spark.createDataFrame([("a b", "en")] * 3, "text string, lang string"), least=3).collect()
     assert [p.name.split("-")[1] for p in set(folder.iterdir()) - before] == ["collocations"]
+
+
+def test_blocks_go_to_python_in_small_batches(spark, monkeypatch):
+    """A task's batch holds a few blocks, not all of them, and the session's own setting comes back."""
+    from sparkgate.llm import collocations as c
+
+    name, seen, read = "spark.sql.execution.arrow.maxBytesPerBatch", [], c._stored
+    before = spark.conf.get(name)
+    monkeypatch.setattr(c, "_stored", lambda lists: seen.append(spark.conf.get(name)) or read(lists))
+    collocations(spark.createDataFrame([("a b. a b", "x")] * 40, "text string, lang string"), block_words=64).count()
+    assert seen and all(int(x.rstrip("b")) == c.BATCH_BYTES for x in seen) and spark.conf.get(name) == before
