@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkgate.functions.text import let
 from sparkgate.operators.inputs import invalid_reason
 
 Output = tuple[str, str, dict]
@@ -48,14 +49,16 @@ def canonical_answer(answer: Column, outputs: list[Output]) -> Column:
 
 def unfenced(text: Column) -> Column:
     """JSON text of a model answer without the blanks and the Markdown fence around it; null if it is not JSON."""
-    plain = F.regexp_replace(text, r"^\s+|\s+$", "")
-    inner = F.regexp_replace(F.regexp_extract(plain, r"(?s)^```(?:json)?(.*)```$", 1), r"^\s+|\s+$", "")
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     whole = lambda c: F.when((c != "") & F.try_parse_json(c).isNotNull(), c)
-    return F.coalesce(whole(plain), whole(inner))
+    return let(bare(text), lambda plain: F.coalesce(whole(plain), let(bare(F.regexp_extract(plain, r"(?s)^```(?:json)?(.*)```$", 1)), whole)))
 
 
 def batch_inputs(text: Column, fields: dict[str, tuple[str, bool]], count: int) -> Column:
     """struct(inputs, rejected) of a model answer {"inputs": [...]}: the first `count` items that are objects, or text of objects, of the input schema; the other items are rejected. Null without such a list."""
-    items = F.from_json(unfenced(text), "inputs array<string>")["inputs"]
-    good = F.slice(F.filter(items, lambda x: invalid_reason(x, fields).isNull()), 1, count)
-    return F.when(items.isNotNull(), F.struct(good.alias("inputs"), (F.size(items) - F.size(good)).alias("rejected")))
+
+    def split(items: Column) -> Column:
+        good = F.slice(F.filter(items, lambda x: invalid_reason(x, fields).isNull()), 1, count)
+        return let(good, lambda g: F.when(items.isNotNull(), F.struct(g.alias("inputs"), (F.size(items) - F.size(g)).alias("rejected"))))
+
+    return let(F.from_json(unfenced(text), "inputs array<string>")["inputs"], split)

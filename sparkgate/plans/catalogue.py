@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by key: a table of one block feeds all tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key))
+
+
 # --- An evaluation over documents and labels. The candidate is a fixed arithmetic rule on the text; it only exercises the operators.
 
 RECORDS = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkgate.operators import resolve, trees
-from sparkgate.plans.catalogue import table
+from sparkgate.plans.catalogue import dealt, table
 from sparkgate.plans.tabled import case, fill
 from sparkgate.session import materialize, settled
 from sparkgate.sources import python_symbols, python_tree, tree
@@ -74,13 +74,8 @@ def files(spark, sf):
     return table(spark, sf, "part").select(fill("p{x}/f{k}.py", x=k % 20, k=k).alias("path"), text.alias("text"))
 
 
-def dealt(files):
-    """files dealt out by path: a table of one block feeds all tasks."""
-    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("path"))
-
-
 def s13(spark, sf):
-    return python_calls(dealt(files(spark, sf)))
+    return python_calls(dealt(files(spark, sf), "path"))
 
 
 def parsed(spark, sf, of=files):
@@ -100,7 +95,7 @@ def x07(spark, sf):
 
 
 def x15(spark, sf):
-    return python_symbols.fields(dealt(files(spark, sf)))
+    return python_symbols.fields(dealt(files(spark, sf), "path"))
 
 
 BINDS = ['m = "m{k}"', 'm, n = "a", "b"', 'm = "x"\n{i}m += "y"', "for m in names: pass", "m = MODEL", "pass"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkgate.functions import schemas
 from sparkgate.functions import text as T
 from sparkgate.operators import answers, inputs, resolve, runs
-from sparkgate.plans.catalogue import table
+from sparkgate.plans.catalogue import dealt, table
 from sparkgate.plans.records import AT
 
 
@@ -61,7 +61,7 @@ def i11(spark, sf):
     fenced = F.concat(F.lit(' ```json\n{"inputs": ['), F.array_join(F.transform(F.sequence(F.lit(1), F.col("c_nationkey") + 1), item), ", "), F.lit("]}\n``` "))
     text = case(k % 6, plain, fenced, F.lit('```{"inputs": []}```'), F.concat(F.lit("sorry "), "c_name"), F.concat(F.lit('{"items": ["'), "c_name", F.lit('"]}')), F.lit(None).cast("string"))
     b = answers.batch_inputs(text, {"ticket": ("string", True)}, 2)
-    return table(spark, sf, "customer").withColumn("b", b).select("c_custkey", F.array_join("b.inputs", ";").alias("inputs"), "b.rejected")
+    return dealt(table(spark, sf, "customer"), "c_custkey").withColumn("b", b).select("c_custkey", F.array_join("b.inputs", ";").alias("inputs"), "b.rejected")
 
 
 def i03(spark, sf):
