@@ -115,7 +115,7 @@ def schema_texts():
 
 
 def x13(spark, sf):
-    rows = schemas.answer_spaces(table(spark, sf, "part").select("p_partkey", schema_texts().alias("schema")), "p_partkey")
+    rows = schemas.answer_spaces(dealt(table(spark, sf, "part"), "p_partkey").select("p_partkey", schema_texts().alias("schema")), "p_partkey")
     return rows.select("id", "state", "name", "description", "kind", F.array_join("options", "|").alias("options"), "nullable", F.array_join(F.transform("levels", lambda x: F.round(x * 100).cast("long").cast("string")), ",").alias("levels"))
 
 
