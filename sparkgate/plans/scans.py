@@ -78,8 +78,8 @@ def s13(spark, sf):
     return python_calls(dealt(files(spark, sf), "path"))
 
 
-def parsed(spark, sf, of=files):
-    return materialize(python_tree.nodes(of(spark, sf)), "nodes")
+def parsed(spark, sf, of=files, only=None):
+    return materialize(python_tree.nodes(of(spark, sf), only=only), "nodes")
 
 
 def x20(spark, sf):
@@ -87,7 +87,7 @@ def x20(spark, sf):
 
 
 def x22(spark, sf):
-    return settled(lambda: trees.imports(parsed(spark, sf)), spark, "imports")
+    return settled(lambda: trees.imports(parsed(spark, sf, only=trees.IMPORT_NODES)), spark, "imports")
 
 
 def x07(spark, sf):
