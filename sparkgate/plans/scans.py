@@ -83,7 +83,7 @@ def parsed(spark, sf, of=files, only=None):
 
 
 def x20(spark, sf):
-    return settled(lambda: trees.functions(parsed(spark, sf)), spark, "functions")
+    return settled(lambda: trees.functions(parsed(spark, sf, only=trees.FUNCTION_NODES)), spark, "functions")
 
 
 def x22(spark, sf):
