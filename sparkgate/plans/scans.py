@@ -91,7 +91,7 @@ def x22(spark, sf):
 
 
 def x07(spark, sf):
-    return settled(lambda: trees.names(parsed(spark, sf)), spark, "names")
+    return settled(lambda: trees.names(parsed(spark, sf, only=trees.NAME_NODES)), spark, "names")
 
 
 def x15(spark, sf):
