@@ -34,3 +34,11 @@ def test_the_nodes_that_a_table_needs_are_enough(spark, read, only):
     assert some.count() < every.count() / 3
     found = sorted(map(str, read(some).collect()))
     assert found and found == sorted(map(str, read(every).collect()))
+
+
+def test_the_collector_rests_while_files_are_parsed():
+    import gc
+
+    with python_tree.uncollected():
+        assert not gc.isenabled()
+    assert gc.isenabled()
