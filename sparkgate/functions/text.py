@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
+from functools import lru_cache
+from json.encoder import encode_basestring
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -202,8 +204,10 @@ def canonical_json(value: object) -> str:
         return "{" + ",".join(f"{canonical_json(k)}:{canonical_json(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be"))) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical_json, value)) + "]"
-    if isinstance(value, bool) or value is None or isinstance(value, str):
-        return json.dumps(value, ensure_ascii=False)
+    if isinstance(value, str):
+        return encode_basestring(value)
+    if isinstance(value, bool) or value is None:
+        return {True: "true", False: "false", None: "null"}[value]
     return _number(float(value))
 
 
@@ -211,6 +215,7 @@ def canonical_json(value: object) -> str:
 def jcs(texts: pd.Series) -> pd.Series:
     """Canonical form of a JSON text; null for what is no JSON or is nested deeper than Python's parser goes."""
 
+    @lru_cache(64)
     def one(t):
         try:
             return None if t is None else canonical_json(json.loads(t))

@@ -42,7 +42,7 @@ PROTOCOL, REFERENCE = '{"target": 0.9, "split_rule": "hash_order_half"}', '{"mod
 
 def recorded(spark, sf):
     """The records, what results say of them, and a policy that agrees."""
-    rows = materialize(records(spark, sf), "records")
+    rows = records(spark, sf)
     fixed = {"split_rule": export.SPLIT_RULE, "reference": REFERENCE, "protocol": PROTOCOL, "policy_evidence": "measured", "target": 0.9, "min_accepted": 20, "threshold": 0.8, "model": "m", "definition_revision": "d"}
     made = export.digests(rows)
     results = made.select("dataset", export.revision(F.col("evidence"), F.lit(REFERENCE), F.lit(PROTOCOL)).alias("revision"), *[F.lit(v).alias(k) for k, v in fixed.items()])

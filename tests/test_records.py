@@ -7,7 +7,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from sparkgate.functions import text as T
-from sparkgate.operators import export, runs, sites, validation
+from sparkgate.operators import export, rank, runs, sites, validation
+from sparkgate.plans import exports
 from sparkgate.plans.registry import QUERIES, SQL
 
 
@@ -106,3 +107,25 @@ def test_digests_like_their_sql_below_one_block(spark):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
         want = con.execute(SQL[name]).fetchall()
         assert [tuple(r) for r in QUERIES[name](spark, sf).collect()] == want
+
+
+def test_blocks_count_falls_and_sums(spark):
+    rng = random.Random(8)
+    for n in (0, 1, 3, 4, 50):
+        keys = [rng.choice(["a", "b", "c", None]) if k % 5 else f"k{k}" for k in range(n)]
+        want = sum(a is not None and b is not None and a >= b for a, b in zip(keys, keys[1:], strict=False))
+        rows = spark.createDataFrame([(k + 1, x, f"t{k}", k % 2) for k, x in enumerate(keys)], "at long, key string, t string, odd int").repartition(3)
+        (r,) = export.block_digests(rows, "at", ["t"], width=3, rising="key", sums=("odd",)).collect()
+        (plain,) = export.block_digests(rows, "at", ["t"], width=3).collect()
+        assert (r.n, r.falls, r.odd, r.t) == (n, want, n // 2, plain.t)
+
+
+def test_verify_reads_each_text_once(spark, monkeypatch):
+    """The clean and the planted export: no table is written but in its order, and JSON goes to Python once to be verified."""
+    written = []
+    for module in (exports, rank):
+        monkeypatch.setattr(module, "materialize", lambda df, name, write=module.materialize: written.append(name) or write(df, name))
+    clean = QUERIES["e03_verify_clean"](spark, "/root/testdata/sf0.001")
+    assert written == ["ranked", "results"] and not any(r.n for r in clean.collect())
+    plan = clean._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan")[0]
+    assert plan.count("ArrowEvalPython") == 2  # of the rows, and of the one row of results
