@@ -60,8 +60,7 @@ def e04(spark, sf):
     rows, results, policy = recorded(spark, sf)
     k = F.col("event_id")
     again = rows.unionByName(rows.where(k % 83 == 0).withColumn("origin", F.lit("again")))
-    placed = again.drop("at", "split").withColumn("_key", F.concat_ws("/", "input_hash", F.when(F.col("origin") == "again", "1").otherwise("0")))
-    ranked = materialize(export.global_rank(placed, "_key", "at").drop("_key"), "ranked")
+    ranked = export.global_rank(again.drop("at", "split"), ["input_hash", F.col("origin") == "again"], "at")
     total = ranked.agg(F.count("*").alias("_n"))
     rule = F.col("at") <= F.floor(F.col("_n") / 2)
     split = F.when(rule == (k % 89 != 0), "calibration").otherwise("held_out")

@@ -129,3 +129,8 @@ def test_verify_reads_each_text_once(spark, monkeypatch):
     assert written == ["ranked", "results"] and not any(r.n for r in clean.collect())
     plan = clean._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan")[0]
     assert plan.count("ArrowEvalPython") == 2  # of the rows, and of the one row of results
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.001/events.parquet'")
+    planted = QUERIES["e04_verify_planted"](spark, "/root/testdata/sf0.001")
+    assert written == ["ranked", "results"] * 2 + ["ranked"]
+    assert sorted(tuple(r) for r in planted.collect()) == sorted(con.execute(SQL["e04_verify_planted"]).fetchall())
