@@ -109,6 +109,20 @@ def test_digests_like_their_sql_below_one_block(spark):
         assert [tuple(r) for r in QUERIES[name](spark, sf).collect()] == want
 
 
+def test_divergence_by_brute_force(spark):
+    """Drawn chains, repeated rows among them; a chain is sent once."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(60), k, [rng.choice("ab") for _ in range(rng.randrange(5))]) for k in range(200)]
+    want = {}
+    for occ in {o for o, _, _ in rows}:
+        chains = [c for o, _, c in sorted(rows) if o == occ]
+        apart = [i for i, x in enumerate(chains[0]) if any(c[i : i + 1] != [x] for c in chains)]
+        want[occ] = (apart[0], chains[0][apart[0]]) if apart else (None, None)
+    found = sites.divergence(spark.createDataFrame(rows + rows[::7], "occ int, alt int, chain array<string>"))
+    assert {r.occ: (r.at, r.id) for r in found.collect()} == want
+    assert found._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan")[0].count("Exchange") == 1
+
+
 def test_blocks_count_falls_and_sums(spark):
     rng = random.Random(8)
     for n in (0, 1, 3, 4, 50):
