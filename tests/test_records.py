@@ -123,6 +123,22 @@ def test_divergence_by_brute_force(spark):
     assert found._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan")[0].count("Exchange") == 1
 
 
+def test_report_by_brute_force(spark, monkeypatch):
+    """Drawn records, half of them of one id; each of the two orders is one shuffle."""
+    rng = random.Random(6)
+    rows = [(k, rng.choice(["occurrence", "occurrence", "wrapper_definition"]), rng.choice("fg"), rng.randrange(3), rng.randrange(5), rng.choice(["x", "x", "y", "z"])) for k in range(400)]
+    numbers, names = {}, {}
+    for at, kind, file, line, byte, id_ in sorted(rows, key=lambda r: (r[1], r[2], r[3], r[4] if r[1] != "occurrence" else 0, r[0])):
+        numbers[id_] = numbers.get(id_, 0) + 1
+        names[at] = id_ if numbers[id_] == 1 else f"{id_}-{numbers[id_]}"
+    want = [(at, names[at], k + 1) for k, (_, _, _, _, at) in enumerate(sorted((r[2], r[3], r[5], r[1], r[0]) for r in rows))]
+    plans, write = [], rank.materialize
+    monkeypatch.setattr(rank, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    got = sites.report(spark.createDataFrame(rows, "at long, kind string, file string, line int, byte int, id string"))
+    assert sorted((r.at, r.unique_id, r.position) for r in got.collect()) == sorted(want)
+    assert [(p.count("Exchange rangepartitioning"), "row_number" in p) for p in plans] == [(1, False)] * 2
+
+
 def test_blocks_count_falls_and_sums(spark):
     rng = random.Random(8)
     for n in (0, 1, 3, 4, 50):
