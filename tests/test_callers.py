@@ -40,3 +40,15 @@ def test_pairs_are_not_shuffled(spark):
     before = written()
     assert runs.callers(calls, *none, wrappers).count() == 800_000
     assert written() - before < 1_000_000
+
+
+def test_calls_are_sent_to_bindings_and_wrappers_only(spark):
+    """Neither repeated ids nor a few modules have all calls sent anew, nor are calls sent once per kind of row that repeats."""
+    calls = spark.range(4000).selectExpr("id AS call", "0 AS file", "true AS python", "'grade' AS name", "if(id % 2 = 0, 'm', null) AS object", "0L AS byte", "true AS schema_keyword")
+    wrappers = spark.range(200).selectExpr("id AS wrapper", "1 AS file", "id % 5 AS start", "9L AS end", "true AS python", "'grade' AS name", "id % 3 = 0 AS method")
+    bound = spark.range(4000).selectExpr("id AS call", "1 AS target", "id % 5 AS start")
+    spaces, modules = spark.createDataFrame([(0, "m", 1)], SPACES), spark.createDataFrame([(1, "grade", 2)], MODULES)
+    found = runs.callers(calls, bound, spaces, modules, wrappers)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") <= 6
+    assert {r.how: r["count"] for r in found.groupBy("how").count().collect()} == {"plain": 2000 * 133 // 5, "namespace": 2000 * 27}
