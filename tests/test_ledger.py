@@ -121,3 +121,43 @@ def test_an_event_looks_at_due_reservations_only():
     assert [a for a, *_ in held.expire(1002)] == [0, 1, 2]
     assert held.apply("settle", 3, 1, None, 0) == ("settled", 1) and held.apply("reserve", 3, 1, None, 1003) == ("reserved", 0)
     assert [a for a, *_ in held.expire(1004)] == [3, 4] and held.totals["reserved"] == 5000 - 5
+
+
+def test_a_run_has_one_timer():
+    """Thousands of open reservations take one timer, at the earliest deadline; when it fires, all that is due settles at once and the next one is set."""
+    import pandas as pd
+
+    from sparkgate.streaming.ledger import LedgerProcessor
+
+    class Held(dict):
+        def iterator(self):
+            return iter(self.items())
+
+        updateValue, removeKey = dict.__setitem__, dict.pop
+
+    class Value:
+        held = None
+        get = lambda self: self.held
+        update = lambda self, held: setattr(self, "held", held)
+
+    class Handle:
+        timers: set = set()
+        getValueState = lambda self, *_: Value()
+        getMapState = lambda self, *_: Held()
+        registerTimer = lambda self, at: self.timers.add(at)
+        deleteTimer = lambda self, at: self.timers.remove(at)
+
+    class Now:
+        def __init__(self, at):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: at
+
+    handle, processor = Handle(), LedgerProcessor(10**9, 1000)
+    processor.init(handle)
+    events = lambda seqs, kind: pd.DataFrame({"seq": seqs, "at": pd.to_datetime(seqs, unit="ms"), "kind": kind, "attempt": [s % 2000 for s in seqs], "amount": 1, "status": None})
+    assert len(pd.concat(processor.handleInputRows((1,), [events(list(range(500)), "reserve")], None))) == 500
+    assert handle.timers == {1000}
+    list(processor.handleInputRows((1,), [events([500], "reserve").assign(attempt=0), events([501, 502], "settle").assign(attempt=[0, 1])], None))
+    assert handle.timers == {1002}
+    handle.timers.clear()  # a timer that fires is gone
+    out = pd.concat(processor.handleExpiredTimer((1,), Now(1100), Now(1002)))
+    assert out["attempt"].tolist() == list(range(2, 101)) and set(out["outcome"]) == {"expired"} and handle.timers == {1101}
